@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import fingerprint_documents
 from .html_text import extract_pages
 from .neardup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .quality import grade_documents
+from .secret_scan import default_ratios, scan, span_text
 from .sharding import shard_by_bytes
 
 
@@ -41,6 +43,23 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"), default_ratios(spark))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(span_text(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_permutation_index": op4_permutation_index,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_html_extraction": op6_html_extraction,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op10_quality_classifier": op10_quality_classifier,
     }
