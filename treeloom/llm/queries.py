@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_documents
 from .html_text import extract_pages
+from .license_scan import scan_licenses
 from .neardup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -25,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -72,6 +77,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op3_sharding": op3_sharding,
         "op4_permutation_index": op4_permutation_index,
         "op5_best_fit_packing": op5_best_fit_packing,
