@@ -11,6 +11,7 @@ from .common import table
 from .fingerprints import fingerprint_documents
 from .html_text import extract_pages
 from .license_scan import scan_licenses
+from .mixing import mix
 from .neardup import near_duplicates
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -30,6 +31,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the languages in the training mix.
+LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+
+
+def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of domains: the rated documents' languages."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def op2_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix(docs, language_labels(docs, table(spark, sf_dir, "labels")), LANGUAGE_TARGETS)
+    return mixed.select("doc_id", F.col("mix_tokens").alias("n_tokens"), "posterior", "rate", "copies")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -78,6 +94,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_domain_mixing": op2_domain_mixing,
         "op3_sharding": op3_sharding,
         "op4_permutation_index": op4_permutation_index,
         "op5_best_fit_packing": op5_best_fit_packing,
