@@ -9,9 +9,10 @@ second collection): ``tables ** 2`` tables of ``2 * rows`` minhashes each come f
 ``2 * tables * rows`` minhashes.  Most band values occur once; they are sieved out before
 pairs are formed, so only documents that share a value on both sides are expanded.
 
-Inside a table's bucket all members are compared with the bucket's smallest and largest
-member (two stars, linear in the bucket).  Members that are still in different components
-after that are compared with each other.  Every comparison runs on full shingle sets.
+Inside a table's bucket all members are compared with one hub, the member that meets most
+others (a star, linear in the bucket).  Members that are in different components after that
+are compared with each other where their differences from the hub allow a link (see
+``loose_pairs``; no link is lost by it).  Every comparison runs on full shingle sets.
 
 Words are runs of non-blank bytes after lower-casing A-Z; a text with fewer words than a
 shingle has one shingle, the whole sequence; a null text or one without words has an
@@ -120,55 +121,20 @@ def near_duplicates(
     )
     classes = cut(classes)
 
-    half = F.when(F.col("nth") < tables, 0).otherwise(1)
-    posted = classes.select("rep", F.posexplode("bands").alias("nth", "value"))
-    shared = posted.groupBy("nth", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    sides = (
-        posted.join(shared.select("nth", "value"), ["nth", "value"])
-        .groupBy("rep")
-        .agg(
-            F.collect_set(F.when(half == 0, F.struct("nth", "value"))).alias("left"),
-            F.collect_set(F.when(half == 1, F.struct("nth", "value"))).alias("right"),
-        )
-    )
-    keys = cut(
-        sides.select("rep", F.explode("left").alias("l"), "right")
-        .select("rep", "l", F.explode("right").alias("r"))
-        .select("rep", F.xxhash64("l.nth", "l.value", "r.nth", "r.value").alias("key"))
-    )
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    met = keys.join(buckets, "key")
-    stars = (
-        met.select("rep", F.explode(F.array("low", "high")).alias("hub"))
-        .where("rep != hub")
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
-    )
-    sizes = classes.select("rep", "n_shingles")
-    links = cut(confirm(stars, source, sizes, shingle, percent))
+    met = cut(table_buckets(classes, tables))
+    sets = cut(shingle_sets(source, met.select(F.col("rep").alias("doc_id")).distinct(), shingle))
+
+    # every bucket has one hub, the member that meets most others; all members are compared with it
+    counts = met.groupBy("key").count()
+    central = met.join(counts, "key").groupBy("rep").agg(F.sum("count").alias("meets"))
+    hubs = met.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
+    stars = met.join(hubs, "key").where("rep != hub").select("hub", "rep").distinct()
+    compared = cut(common_shingles(stars, sets))
+    links = compared.where(alike(percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     found = components(links)
-    # members of one bucket that no star has joined
-    labelled = (
-        met.select("key", "rep")
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    )
-    split = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        .where("c0 < c1")
-        .select("key")
-    )
-    loose = labelled.join(split, "key").join(sizes, "rep")
-    x, y = loose.alias("x"), loose.alias("y")
-    rest = (
-        x.join(y, F.expr(f"""x.key = y.key and x.component < y.component
-                 and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"""))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = cut(confirm(rest, source, sizes, shingle, percent))
+
+    more = common_shingles(cut(loose_pairs(compared, found, sets, percent)), sets, "a", "b")
+    more = cut(more.where(alike(percent, "a", "b")).select("a", "b"))
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -187,42 +153,124 @@ def near_duplicates(
     )
 
 
-def confirm(pairs: DataFrame, source: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those ``pairs`` (a, b) whose full sets are alike enough.
-
-    Pairs whose sizes alone exclude a link go first.  Texts of the remaining documents are
-    dealt by document; ``b``'s set is sent to its partners, bounded by the pairs kept.
-    """
-    bound = (
-        pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a")), "a")
-        .join(sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b")
+def table_buckets(classes: DataFrame, tables: int) -> DataFrame:
+    """``key, rep``: representatives by table key, without those that are alone in their bucket."""
+    left = F.col("nth") < tables
+    posted = classes.select("rep", F.posexplode("bands").alias("nth", "value"))
+    several = lambda df, *by: df.groupBy(*by).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(*by)  # noqa: E731, E501
+    sides = (
+        posted.join(several(posted, "nth", "value"), ["nth", "value"])
+        .groupBy("rep")
+        .agg(
+            F.collect_set(F.when(left, F.struct("nth", "value"))).alias("left"),
+            F.collect_set(F.when(~left, F.struct("nth", "value"))).alias("right"),
+        )
     )
-    bound = cut(bound)
-    wanted = bound.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    keys = cut(
+        sides.select("rep", F.explode("left").alias("l"), "right")
+        .select("rep", "l", F.explode("right").alias("r"))
+        .select("rep", F.xxhash64("l.nth", "l.value", "r.nth", "r.value").alias("key"))
+    )
+    return keys.join(several(keys, "key"), "key")
+
+
+def shingle_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, items`` (sorted shingle hashes) of the wanted documents."""
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(shingle)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "items": [shingles(t).view(np.int64) for t in b["text"]]})
 
-    sets = cut(
+    return (
         source.join(wanted, "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .mapInPandas(to_sets, "doc_id long, items array<long>")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = []
-            for s, t in zip(b["items_a"], b["items_b"], strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                hit.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.loc[np.array(hit, dtype=bool), ["a", "b"]]
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("items").alias(f"items_{name}"))
-    return bound.join(side("a"), "a").join(side("b"), "b").mapInPandas(compare, "a long, b long")
+    return pairs.join(side(a), a).join(side(b), b)
+
+
+def common_shingles(pairs: DataFrame, sets: DataFrame, a: str = "hub", b: str = "rep") -> DataFrame:
+    """``a, b`` with the sizes of both full sets and of their intersection."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = rows[f"items_{a}"], rows[f"items_{b}"]
+            both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)]
+            yield pd.DataFrame({a: rows[a], b: rows[b], f"n_{a}": x.map(len), f"n_{b}": y.map(len), "both": both})
+
+    return _with_sets(pairs.select(a, b), sets, a, b).mapInPandas(
+        compare, f"{a} long, {b} long, n_{a} long, n_{b} long, both long"
+    )
+
+
+def alike(percent: int, a: str = "hub", b: str = "rep") -> str:
+    return f"100 * both >= {percent} * (n_{a} + n_{b} - both)"
+
+
+def loose_pairs(compared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of one hub's members that may be linked though the components keep them apart.
+
+    Against its hub a member has ``more`` shingles (that the hub lacks) and ``less`` (that it
+    lacks).  Two members that share none of their added shingles differ in at least
+    ``more + more' + |less - less'|``, and a link allows a difference of
+    ``(100 - percent) / (100 + percent)`` of both sizes.  So every link is among the pairs
+    that share an added shingle, or among those few whose numbers alone allow it; the
+    latter are found by classes of equal numbers, not by member.
+    """
+    members = compared.select(
+        "hub", "rep", "n_hub", F.col("n_rep").alias("n"), (F.col("n_rep") - F.col("both")).alias("more"), (F.col("n_hub") - F.col("both")).alias("less")
+    )
+    itself = members.select("hub", F.col("hub").alias("rep"), "n_hub", F.col("n_hub").alias("n"), F.lit(0).cast("long").alias("more"), F.lit(0).cast("long").alias("less")).distinct()
+    named = (
+        members.union(itself)
+        .join(found, F.col("rep") == F.col("node"), "left")
+        .select("hub", "rep", "n", "more", "less", F.coalesce("component", "rep").alias("component"))
+    )
+    apart = named.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("hub")
+    named = cut(named.join(apart, "hub"))
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    pair = (F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+    # by numbers alone
+    kinds = named.groupBy("hub", "n", "more", "less").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    x, y = kinds.alias("x"), kinds.alias("y")
+    close = x.join(
+        y,
+        F.expr(f"""x.hub = y.hub and struct(x.more, x.less) <= struct(y.more, y.less) and {fits}
+            and (x.c0 < y.c1 or y.c0 < x.c1)
+            and {100 + percent} * (x.more + y.more + abs(x.less - y.less)) <= {100 - percent} * (x.n + y.n)"""),
+    ).select("x.hub", F.col("x.more").alias("xm"), F.col("x.less").alias("xl"), F.col("y.more").alias("ym"), F.col("y.less").alias("yl"))
+    x, y = named.alias("x"), named.alias("y")
+    by_numbers = (
+        close.alias("c")
+        .join(x, F.expr("c.hub = x.hub and c.xm = x.more and c.xl = x.less"))
+        .join(y, F.expr("c.hub = y.hub and c.ym = y.more and c.yl = y.less and x.component != y.component"))
+        .select(*pair)
+    )
+
+    # by an added shingle
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            new = [np.setdiff1d(t, s, assume_unique=True) for s, t in zip(rows["items_hub"], rows["items_rep"], strict=True)]
+            long = np.array([len(i) for i in new], dtype=np.int64)
+            columns = {c: np.repeat(rows[c].to_numpy(), long) for c in ("hub", "rep", "n", "component")}
+            yield pd.DataFrame(columns | {"item": np.concatenate([*new, np.empty(0, np.int64)])})
+
+    posted = cut(
+        _with_sets(named.where("rep != hub").select("hub", "rep", "n", "component"), sets, "hub", "rep").mapInPandas(
+            added, "hub long, rep long, n long, component long, item long"
+        )
+    )
+    shared = posted.groupBy("hub", "item").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    few = cut(posted.join(shared.select("hub", "item"), ["hub", "item"]))
+    x, y = few.alias("x"), few.alias("y")
+    by_item = x.join(y, F.expr(f"x.hub = y.hub and x.item = y.item and x.component < y.component and {fits}")).select(*pair)
+    return by_numbers.union(by_item).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
