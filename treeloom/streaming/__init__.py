@@ -1 +1,58 @@
-"""Part of the treeloom engine."""
+"""Documents that arrive in pieces: chunk reassembly with state, and windows over events."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.tokenizer import parse
+
+CHUNKS = "doc_id long, chunk int, last boolean, text string"
+DOCUMENT = "doc_id long, xml string, complete boolean"
+
+
+def reassemble(chunks: DataFrame) -> DataFrame:
+    """Stream of chunks (``CHUNKS``, any order and any cut) to a stream of documents.
+
+    A document is given out when its last chunk and all before it have come; until then
+    its chunks are state.  Chunks that come twice count once.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        numbers, texts, last = state.get if state.exists else ([], [], -1)
+        held = dict(zip(numbers, texts, strict=True))
+        for b in batches:
+            for chunk, ends, text in zip(b["chunk"], b["last"], b["text"], strict=True):
+                held[int(chunk)] = text
+                last = int(chunk) if ends else last
+        if last >= 0 and all(k in held for k in range(last + 1)):
+            state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "xml": ["".join(held[k] for k in range(last + 1))], "complete": [True]})
+        else:
+            state.update((list(held), list(held.values()), last))
+
+    return chunks.groupBy("doc_id").applyInPandasWithState(
+        step, DOCUMENT, "numbers array<int>, texts array<string>, last int", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def parse_stream(chunks: DataFrame) -> DataFrame:
+    """Stream of chunks to a stream of node rows."""
+    return parse(reassemble(chunks).select("doc_id", "xml"))
+
+
+def split_chunks(docs: DataFrame, size: int) -> DataFrame:
+    """Documents cut into chunks of ``size`` characters, as a source for tests and replays."""
+    count = F.greatest(F.ceil(F.length("xml") / size), F.lit(1)).cast("int")
+    cut = docs.select("doc_id", "xml", count.alias("n")).select("doc_id", "xml", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+    return cut.select("doc_id", F.col("chunk").cast("int"), (F.col("chunk") == F.col("n") - 1).alias("last"), F.col("xml").substr(F.col("chunk") * size + 1, F.lit(size)).alias("text"))
+
+
+def windowed_counts(records: DataFrame, time: str, width: str, late: str | None = None) -> DataFrame:
+    """Records per tumbling window; with ``late`` a watermark lets a stream close its windows."""
+    source = records.withWatermark(time, late) if late else records
+    return source.groupBy(F.window(time, width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
