@@ -25,6 +25,11 @@ def violation(rows: DataFrame, rule: str, message: Column) -> DataFrame:
     return rows.select("doc_id", "pre", F.lit(rule).alias("rule"), message.alias("message"))
 
 
+def fault(broken: Column, rule: str, message: Column) -> Column:
+    """A rule and message where ``broken`` holds, null members elsewhere."""
+    return F.struct(F.when(broken, F.lit(rule)).alias("rule"), F.when(broken, message).alias("message"))
+
+
 def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
@@ -61,61 +66,63 @@ def child_sequences(nodes: DataFrame, token: Column | None = None) -> DataFrame:
 
 
 def dtd_violations(nodes: DataFrame, grammar: Dtd, check_ids: bool = False) -> DataFrame:
-    """Violations of a DTD; prefixed elements are never checked, ID and IDREF only on demand."""
+    """Violations of a DTD; prefixed elements are never checked, ID and IDREF only on demand.
+
+    The rules of an element are gathered in one row, so all its checks are made in one pass.
+    """
     tables = grammar.tables(nodes.sparkSession)
-    rows = child_sequences(nodes).where(~F.contains(F.col("name"), F.lit(":")))
-    met = rows.join(F.broadcast(tables["dtd_elements"].withColumnRenamed("name", "declared")), F.col("name") == F.col("declared"), "left")
+    gathered = (
+        tables["dtd_attributes"]
+        .groupBy("element")
+        .agg(F.collect_list(F.struct("attribute", "type", "allowed", "use", "default_value")).alias("rules"))
+    )
+    rules = F.broadcast(tables["dtd_elements"].withColumnRenamed("name", "element").join(gathered, "element", "full"))
+    met = child_sequences(nodes).where(~F.contains(F.col("name"), F.lit(":"))).join(rules, F.col("name") == F.col("element"), "left")
+    unparsed = F.array(*[F.lit(n) for n, e in grammar.entities.items() if e[3] is not None]).cast("array<string>")
     names = F.filter(F.split("sequence", " "), lambda x: x != "")
-    parts = [
-        violation(met.where("declared is null"), "element-undeclared", F.concat(F.lit("undeclared element "), F.col("name"))),
-        violation(met.where("kind = 'EMPTY' and n_nodes > 0"), "content-empty", F.concat(F.lit("content in empty element "), F.col("name"))),
-        violation(met.where((F.col("kind") == "MIXED") & (F.size(F.array_except(names, "names")) > 0)), "content-mixed", F.concat(F.lit("child not allowed in "), F.col("name"))),
-        violation(met.where((F.col("kind") == "ELEMENT") & (~F.rlike(F.col("sequence"), F.col("pattern")) | F.col("own_text"))), "content-model", F.concat(F.lit("content of "), F.col("name"), F.lit(" doesn't match"))),
+    named = lambda before, after="": F.concat(F.lit(before), F.col("name"), F.lit(after))
+    of_element = [
+        fault(F.col("kind").isNull(), "element-undeclared", named("undeclared element ")),
+        fault((F.col("kind") == "EMPTY") & (F.col("n_nodes") > 0), "content-empty", named("content in empty element ")),
+        fault((F.col("kind") == "MIXED") & (F.size(F.array_except(names, "names")) > 0), "content-mixed", named("child not allowed in ")),
+        fault((F.col("kind") == "ELEMENT") & (~F.rlike(F.col("sequence"), F.col("pattern")) | F.col("own_text")), "content-model", named("content of ", " doesn't match")),
     ]
-    given = (
-        nodes.where("kind = 'element'")
-        .where(~F.contains(F.col("name"), F.lit(":")))
-        .select("doc_id", "pre", F.col("name").alias("element"), F.explode("attrs").alias("a"))
-        .select("doc_id", "pre", "element", F.col("a.name").alias("attribute"), F.col("a.value").alias("value"))
-    )
-    rules = tables["dtd_attributes"]
-    checked = given.join(F.broadcast(rules), ["element", "attribute"], "left")
-    unknown = checked.where("type is null and attribute not like 'xml%'")
-    value, kind = F.col("value"), F.col("type")
-    items = list_items(value)
-    good = (
-        F.when(kind.isin("ID", "IDREF", "ENTITY"), is_ncname(value))
-        .when(kind.isin("IDREFS", "ENTITIES"), (F.size(items) > 0) & F.forall(items, is_ncname))
-        .when(kind == "NMTOKEN", is_nmtoken(value))
-        .when(kind == "NMTOKENS", (F.size(items) > 0) & F.forall(items, is_nmtoken))
-        .when(kind.isin("ENUMERATION", "NOTATION"), F.array_contains("allowed", value))
-        .otherwise(True)
-    )
-    label = F.concat(F.lit("attribute "), F.col("attribute"), F.lit(" of "), F.col("element"))
-    parts += [
-        violation(unknown, "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
-        violation(checked.where(~good), "attribute-type", F.concat(F.lit("bad value for "), label)),
-        violation(checked.where("use = 'fixed' and value != default_value"), "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
-    ]
-    if grammar.entities or any(a.type in ("ENTITY", "ENTITIES") for a in grammar.attributes.values()):
-        named = checked.where("type in ('ENTITY', 'ENTITIES')").withColumn("entity", F.explode(items))
-        unparsed = tables["dtd_entities"].where("notation is not null").select(F.col("name").alias("entity"))
-        parts.append(violation(named.join(F.broadcast(unparsed), "entity", "left_anti"), "attribute-entity", F.concat(F.lit("undeclared entity in "), label)))
-    needed = rules.where("use = 'required'").select("element", F.col("attribute"))
-    missing = (
-        nodes.where("kind = 'element'")
-        .select("doc_id", "pre", F.col("name").alias("element"), "attrs")
-        .join(F.broadcast(needed), "element")
-        .where(~F.exists("attrs", lambda a: a["name"] == F.col("attribute")))
-    )
-    parts.append(violation(missing, "attribute-required", F.concat(F.lit("missing "), label)))
-    if check_ids:
-        ids = checked.where("type = 'ID'").select("doc_id", "pre", "value")
-        refs = checked.where("type in ('IDREF', 'IDREFS')").select("doc_id", "pre", F.explode(items).alias("value"))
-        twice = ids.join(duplicate_ids(ids), ["doc_id", "value"])
-        parts.append(violation(twice, "id-repeated", F.concat(F.lit("repeated ID "), F.col("value"))))
-        parts.append(violation(dangling_references(refs, ids), "idref-dangling", F.concat(F.lit("no ID "), F.col("value"))))
-    return all_of(parts)
+    own = F.coalesce("rules", F.array().cast("array<struct<attribute:string,type:string,allowed:array<string>,use:string,default_value:string>>"))
+
+    def of_attribute(a: Column) -> Column:
+        rule = F.get(F.filter(own, lambda r: r["attribute"] == a["name"]), F.lit(0))
+        value, kind, items = a["value"], rule["type"], list_items(a["value"])
+        good = (
+            F.when(kind.isin("ID", "IDREF", "ENTITY"), is_ncname(value))
+            .when(kind.isin("IDREFS", "ENTITIES"), (F.size(items) > 0) & F.forall(items, is_ncname))
+            .when(kind == "NMTOKEN", is_nmtoken(value))
+            .when(kind == "NMTOKENS", (F.size(items) > 0) & F.forall(items, is_nmtoken))
+            .when(kind.isin("ENUMERATION", "NOTATION"), F.array_contains(rule["allowed"], value))
+            .otherwise(True)
+        )
+        label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), F.col("name"))
+        return F.array(
+            fault(kind.isNull() & ~a["name"].startswith("xml"), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
+            fault(~good, "attribute-type", F.concat(F.lit("bad value for "), label)),
+            fault((rule["use"] == "fixed") & (value != rule["default_value"]), "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
+            fault(kind.isin("ENTITY", "ENTITIES") & (F.size(F.array_except(items, unparsed)) > 0), "attribute-entity", F.concat(F.lit("undeclared entity in "), label)),
+        )
+
+    lacking = F.filter(own, lambda r: (r["use"] == "required") & ~F.exists("attrs", lambda a: a["name"] == r["attribute"]))
+    missing = F.transform(lacking, lambda r: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), r["attribute"], F.lit(" of "), F.col("name")).alias("message")))
+    faults = F.concat(F.array(*of_element), F.flatten(F.transform("attrs", of_attribute)), missing)
+    out = met.select("doc_id", "pre", F.inline(F.filter(faults, lambda f: f["rule"].isNotNull())))
+    if not check_ids:
+        return out
+    typed = [(r.element, r.name, r.type) for r in grammar.attributes.values() if r.type in ("ID", "IDREF", "IDREFS")]
+    kinds = nodes.sparkSession.createDataFrame(typed, "name string, attribute string, type string")
+    given = nodes.where("kind = 'element'").select("doc_id", "pre", "name", F.explode("attrs").alias("a"))
+    given = given.select("doc_id", "pre", "name", F.col("a.name").alias("attribute"), F.col("a.value").alias("value")).join(F.broadcast(kinds), ["name", "attribute"])
+    ids = given.where("type = 'ID'").select("doc_id", "pre", "value")
+    refs = given.where("type != 'ID'").select("doc_id", "pre", F.explode(list_items(F.col("value"))).alias("value"))
+    twice = ids.join(duplicate_ids(ids), ["doc_id", "value"])
+    dangling = violation(dangling_references(refs, ids), "idref-dangling", F.concat(F.lit("no ID "), F.col("value")))
+    return all_of([out, violation(twice, "id-repeated", F.concat(F.lit("repeated ID "), F.col("value"))), dangling])
 
 
 # --- XML Schema -------------------------------------------------------------------------------------------------
@@ -136,7 +143,9 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     )
     token = F.concat(F.coalesce("ns_uri", F.lit("")), F.lit("}"), local_of(F.col("name")), F.lit(" "))
     rows = child_sequences(nodes, token).withColumn("local", local_of(F.col("name"))).withColumn("ns", F.coalesce("ns_uri", F.lit("")))
-    parents = nodes.where("kind = 'element'").select("doc_id", F.col("pre").alias("parent"), local_of(F.col("name")).alias("parent_local"))
+    # children of an element with xsi:type follow that type
+    stated = F.concat(F.lit("("), local_of(attribute(F.col("attrs"), "xsi:type")), F.lit(")"))
+    parents = nodes.where("kind = 'element'").select("doc_id", F.col("pre").alias("parent"), F.coalesce(stated, local_of(F.col("name"))).alias("parent_local"))
     rows = rows.join(parents, ["doc_id", "parent"], "left").na.fill("", ["parent_local"])
     texts = nodes.where("kind in ('text', 'cdata') and parent >= 0").groupBy("doc_id", F.col("parent").alias("pre")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "value"))), lambda p: p["value"]), "").alias("text")
@@ -146,11 +155,7 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("parent_local"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["parent_local", "local", "ns"], "left")
     far = near.join(F.broadcast(global_rules.select(F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("far"))), ["local", "ns"], "left")
     # xsi:type: a rule of that type
-    typed_rules = {r.type.name: k for k, r in reversed(list(enumerate(rules)))}
-    extra: list[tuple[str, int]] = []
-    for name in schema.parts["complexType"]:
-        if name[1] in typed_rules:
-            extra.append((name[1], typed_rules[name[1]]))
+    extra = [(r.name, k) for k, r in enumerate(rules) if r.context == "(type)"]
     by_type = spark.createDataFrame(extra, "xsi_type string, typed int")
     met = (
         far.withColumn("xsi_type", local_of(attribute(F.col("attrs"), "xsi:type")))
@@ -160,42 +165,48 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
         .withColumn("nil", F.coalesce(attribute(F.col("attrs"), "xsi:nil").isin("true", "1"), F.lit(False)))
         .withColumn("bare", (F.col("sequence") == "") & (F.col("text") == ""))
     )
-    filled = met.where("not nil")
     named = lambda text: F.concat(F.lit(text), F.col("name"))
     accepted = F.lit(True)
     for k, kind in enumerate(simple):
         if kind is not None:
             value = F.when(F.col("bare") & F.col("default_value").isNotNull(), F.col("default_value")).otherwise(F.col("text"))
             accepted = F.when(F.col("rule_id") == k, kind.accepts(value)).otherwise(accepted)
-    parts = [
-        violation(met.where("rule_id is null"), "element-undeclared", named("undeclared element ")),
-        violation(met.where("abstract and typed is null"), "element-abstract", named("abstract ")),
-        violation(met.where("nil and not coalesce(nillable, false)"), "nil-not-allowed", named("not nillable: ")),
-        violation(met.where("nil and not bare"), "nil-content", named("content in nilled ")),
-        violation(filled.where("content = 'EMPTY' and n_nodes > 0 and not bare"), "content-empty", named("content in empty element ")),
-        violation(filled.where(F.col("content").isin("ELEMENT", "MIXED") & ~F.rlike(F.col("sequence"), F.col("pattern"))), "content-model", named("children don't match in ")),
-        violation(filled.where("content = 'ELEMENT' and own_text"), "content-text", named("text in ")),
-        violation(filled.where("content = 'SIMPLE' and sequence != ''"), "content-simple", named("children in simple ")),
-        violation(filled.where((F.col("content") == "SIMPLE") & ~accepted), "value-type", named("bad value of ")),
-        violation(filled.where("fixed is not null and not bare and text != fixed"), "value-fixed", named("fixed value changed in ")),
+    c = F.col
+    filled = ~c("nil")
+    of_element = [
+        fault(c("rule_id").isNull(), "element-undeclared", named("undeclared element ")),
+        fault(c("abstract") & c("typed").isNull(), "element-abstract", named("abstract ")),
+        fault(c("nil") & ~F.coalesce("nillable", F.lit(False)), "nil-not-allowed", named("not nillable: ")),
+        fault(c("nil") & ~c("bare"), "nil-content", named("content in nilled ")),
+        fault(filled & (c("content") == "EMPTY") & (c("n_nodes") > 0) & ~c("bare"), "content-empty", named("content in empty element ")),
+        fault(filled & c("content").isin("ELEMENT", "MIXED") & ~F.rlike(c("sequence"), c("pattern")), "content-model", named("children don't match in ")),
+        fault(filled & (c("content") == "ELEMENT") & c("own_text"), "content-text", named("text in ")),
+        fault(filled & (c("content") == "SIMPLE") & (c("sequence") != ""), "content-simple", named("children in simple ")),
+        fault(filled & (c("content") == "SIMPLE") & ~accepted, "value-type", named("bad value of ")),
+        fault(filled & c("fixed").isNotNull() & ~c("bare") & (c("text") != c("fixed")), "value-fixed", named("fixed value changed in ")),
     ]
-    given = met.where("rule_id is not null and content != 'ANY'").select("doc_id", "pre", "name", "rule_id", "known", "any_attribute", F.explode("attrs").alias("a"))
-    given = given.where("a.name not like 'xmlns%' and a.name not like 'xsi:%' and a.name not like 'xml:%'")
-    label = F.concat(F.lit("attribute "), F.col("a.name"), F.lit(" of "), F.col("name"))
-    value_rules = [(k, a) for k, r in enumerate(rules) for a in r.type.attributes.values()]
-    good, unchanged = F.lit(True), F.lit(True)
-    for k, a in value_rules:
-        own = (F.col("rule_id") == k) & (F.col("a.name") == a.name)
-        good = F.when(own, a.type.accepts(F.col("a.value"))).otherwise(good)
-        if a.fixed is not None:
-            unchanged = F.when(own, F.col("a.value") == a.fixed).otherwise(unchanged)
-    missing = met.where("rule_id is not null").select("doc_id", "pre", "name", F.explode(F.array_except("needed", F.transform("attrs", lambda a: local_of(a["name"])))).alias("lacking"))
-    parts += [
-        violation(given.where("any_attribute is null and not array_contains(known, a.name)"), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
-        violation(given.where(~good), "attribute-type", F.concat(F.lit("bad value for "), label)),
-        violation(given.where(~unchanged), "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
-        violation(missing, "attribute-required", F.concat(F.lit("missing attribute "), F.col("lacking"), F.lit(" of "), F.col("name"))),
-    ]
+
+    def of_attribute(a: Column) -> Column:
+        good, unchanged = F.lit(True), F.lit(True)
+        for k, r in enumerate(rules):
+            for rule in r.type.attributes.values():
+                own = (c("rule_id") == k) & (a["name"] == rule.name)
+                good = F.when(own, rule.type.accepts(a["value"])).otherwise(good)
+                if rule.fixed is not None:
+                    unchanged = F.when(own, a["value"] == rule.fixed).otherwise(unchanged)
+        label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), c("name"))
+        return F.array(
+            fault(c("any_attribute").isNull() & ~F.array_contains("known", a["name"]), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
+            fault(~good, "attribute-type", F.concat(F.lit("bad value for "), label)),
+            fault(~unchanged, "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
+        )
+
+    plain = F.filter("attrs", lambda a: ~(a["name"].startswith("xmlns") | a["name"].startswith("xsi:") | a["name"].startswith("xml:")))
+    given = F.when(c("content") != "ANY", plain).otherwise(F.filter(plain, lambda a: F.lit(False)))
+    lacking = F.array_except("needed", F.transform("attrs", lambda a: local_of(a["name"])))
+    missing = F.transform(lacking, lambda n: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), n, F.lit(" of "), c("name")).alias("message")))
+    checked = F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(given, of_attribute)), missing)).otherwise(F.array(of_element[0]))
+    parts = [met.select("doc_id", "pre", F.inline(F.filter(checked, lambda f: f["rule"].isNotNull())))]
     parts += identity_violations(nodes, schema)
     return all_of(parts)
 
@@ -221,7 +232,7 @@ def schema_locations(nodes: DataFrame) -> DataFrame:
     """``doc_id, ns, location`` from ``xsi:schemaLocation`` and ``xsi:noNamespaceSchemaLocation``."""
     el = nodes.where("kind = 'element'")
     words = list_items(attribute(F.col("attrs"), "xsi:schemaLocation"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) / 2 - 1), lambda k: F.struct(F.get(words, (k * 2).cast("int")).alias("ns"), F.get(words, (k * 2 + 1).cast("int")).alias("location")))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 2).cast("int") - 1), lambda k: F.struct(F.get(words, (k * 2).cast("int")).alias("ns"), F.get(words, (k * 2 + 1).cast("int")).alias("location")))
     given = el.where(F.size(words) >= 2).select("doc_id", F.inline(pairs))
     plain = el.where(attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation").isNotNull())
     return given.union(plain.select("doc_id", F.lit(""), attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation"))).distinct()

@@ -357,9 +357,14 @@ class Schema:
     # -- results
 
     def elements(self) -> list[ElementRule]:
-        """Rules for each element in the context of its parent's name; global ones have the context ""."""
-        out, seen = list(self.globals.values()), []
-        edge = [(r.name, r.type) for r in out]
+        """Rules for each element in the context of its parent's name; global ones have the context "".
+
+        A named complex type has a rule of its own (context "(type)"), and its children have
+        the type's name in parentheses as a context, for elements that name it by xsi:type.
+        """
+        types = [t for t in (self.type(n) for n in self.parts["complexType"] if "#" not in n[1]) if isinstance(t, ComplexType)]
+        out, seen = [*self.globals.values(), *(ElementRule("(type)", "", t.name, t) for t in types)], []
+        edge = [(r.name, r.type) for r in self.globals.values()] + [(f"({t.name})", t) for t in types]
         while edge:
             (parent, kind), edge = edge[0], edge[1:]
             if any(kind is k and parent == p for p, k in seen):

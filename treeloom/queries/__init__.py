@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversion, trees, values
+from . import conversion, grammars, trees, values
 
 
 def queries():
-    return trees.QUERIES | conversion.QUERIES | values.QUERIES
+    return trees.QUERIES | conversion.QUERIES | values.QUERIES | grammars.QUERIES
 
 
 def oracle_sql():
-    return trees.ORACLES | conversion.ORACLES | values.ORACLES
+    return trees.ORACLES | conversion.ORACLES | values.ORACLES | grammars.ORACLES

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import navigate as nav
 from ..operators import serialize as ser
+from ..plans.lineage import fresh_folder
 from ..sources.readers import read_events, read_records
 from ..sources.records import parse_records
 from ..sources.tokenizer import nodes_of, parse, status_of
@@ -17,19 +16,6 @@ from . import synth
 from .synth import element, table
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors see."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="treeloom-")
-        sc.setCheckpointDir(configured)
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def shred_lineitem_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parse_records(synth.orders(spark, sf_dir), "/order/line", {"flag": "@flag", "qty": "qty", "price100": "price100"})
     return rows.groupBy("flag").agg(F.sum(F.col("qty").cast("long")).alias("sum_qty"), F.sum(F.col("price100").cast("long")).alias("sum_price100"), F.count("*").alias("n"))
@@ -58,7 +44,7 @@ def native_from_xml_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def native_read_xml_rowtag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = fresh_folder(spark)
     n = table(spark, sf_dir, "nation")
     n.select("n_nationkey", "n_name", "n_regionkey").write.format("xml").option("rootTag", "nations").option("rowTag", "nation").save(folder)
     rows = read_records(spark, folder, "nation", "n_nationkey int, n_name string, n_regionkey int")
