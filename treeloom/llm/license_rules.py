@@ -40,7 +40,7 @@ WEIGHT = {NOTICE: 0.95, NAME: 0.85, SHORT: 0.6, REMARK: 0.3}
 #: label, versions (blank-separated; "-" for none), priority, keyword, signature
 SIGNATURES = """
 gpl-V | 1.0 2.0 3.0 | notice | general | under the terms of the gnu general public license ~6 version V
-gpl-V-or-later | 1.0 2.0 3.0 | notice | later | gnu? general public license ~12 version V ~4 or at? your? option? any later version?
+gpl-V-or-later | 1.0 2.0 3.0 | notice | later | gnu? general public license ~12 version V ~4 or at? your? option? any? later version?
 gpl-V-only | 1.0 2.0 3.0 | notice | only | gnu? general public license ~3 version? V only
 gpl-V | 1.0 2.0 3.0 | name | general | gnu? general public license version? V
 gpl-V | 1.0 2.0 3.0 | short | gpl | gpl version? V
@@ -48,14 +48,14 @@ gpl-V-or-later | 1.0 2.0 3.0 | short | gpl | gpl version? V or later
 gpl-V-only | 1.0 2.0 3.0 | short | gpl | gpl version? V only
 lgpl-V | 2.0 2.1 3.0 | notice | lesser | under the terms of the gnu lesser general public license ~6 version V
 lgpl-V | 2.0 2.1 3.0 | notice | library | under the terms of the gnu library general public license ~6 version V
-lgpl-V-or-later | 2.0 2.1 3.0 | notice | later | gnu? lesser|library general public license ~12 version V ~4 or at? your? option? any later version?
+lgpl-V-or-later | 2.0 2.1 3.0 | notice | later | gnu? lesser|library general public license ~12 version V ~4 or at? your? option? any? later version?
 lgpl-V-only | 2.0 2.1 3.0 | notice | only | gnu? lesser|library general public license ~3 version? V only
 lgpl-V | 2.0 2.1 3.0 | name | general | gnu? lesser|library general public license version? V
 lgpl-V | 2.0 2.1 3.0 | short | lgpl | lgpl version? V
 lgpl-V-or-later | 2.0 2.1 3.0 | short | lgpl | lgpl version? V or later
 lgpl-V-only | 2.0 2.1 3.0 | short | lgpl | lgpl version? V only
 agpl-V | 1.0 3.0 | notice | affero | under the terms of the gnu? affero general public license ~6 version V
-agpl-V-or-later | 1.0 3.0 | notice | affero | gnu? affero general public license ~12 version V ~4 or at? your? option? any later version?
+agpl-V-or-later | 1.0 3.0 | notice | affero | gnu? affero general public license ~12 version V ~4 or at? your? option? any? later version?
 agpl-V-only | 1.0 3.0 | notice | affero | gnu? affero general public license ~3 version? V only
 agpl-V | 1.0 3.0 | name | affero | gnu? affero general public license version? V
 agpl-V | 1.0 3.0 | short | agpl | agpl version? V
@@ -87,7 +87,7 @@ mit | - | name | expat | expat license
 x11 | - | name | x11 | x11 license
 mit-0 | - | name | attribution | mit no attribution
 mit-0 | - | short | mit | mit 0 license
-isc | - | notice | isc | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc | - | notice | hereby | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc | - | name | isc | isc license
 0bsd | - | name | 0bsd | 0bsd
 0bsd | - | name | zero | zero clause bsd
@@ -120,7 +120,7 @@ epl | - | name | eclipse | eclipse public license
 edl-V | 1.0 | name | eclipse | eclipse distribution license version? V
 cpl-V | 1.0 | name | common | common public license version? V
 ipl-V | 1.0 | name | ibm | ibm public license version? V
-cddl-V | 1.0 1.1 | notice | cddl | subject to the terms of the common development and distribution license ~4 V
+cddl-V | 1.0 1.1 | notice | development | subject to the terms of the common development and distribution license ~4 V
 cddl-V | 1.0 1.1 | name | development | common development and distribution license ~1 version? V
 cddl-V | 1.0 1.1 | short | cddl | cddl version? V
 cddl | - | name | development | common development and distribution license
@@ -175,7 +175,7 @@ cdla-sharing-V | 1.0 | name | community | community data license agreement shari
 ogl-V | 1.0 2.0 3.0 | name | government | open government licence|license version? V
 ogl | - | name | government | open government licence|license
 openrail | - | name | openrail | openrail license
-openrail | - | name | rail | responsible ai license
+openrail | - | name | responsible | responsible ai license
 cc0-V | 1.0 | name | cc0 | cc0 version? V
 cc0 | - | short | cc0 | cc0
 cc0 | - | notice | waived | has waived all copyright and related or neighboring rights
@@ -205,7 +205,7 @@ public-domain | - | remark | public | public domain
 proprietary | - | notice | proprietary | proprietary and confidential
 proprietary | - | notice | proprietary | proprietary software|license|licence
 proprietary | - | notice | prohibited | unauthorized copying|reproduction|distribution ~8 strictly prohibited
-proprietary | - | notice | permission | no part of this publication|book|work may be reproduced
+proprietary | - | notice | reproduced | no part of this publication|book|work may be reproduced
 non-commercial | - | notice | commercial | for non? noncommercial|commercial use only
 reserved | - | name | reserved | all rights reserved
 reserved | - | short | reserved | some rights reserved
@@ -218,7 +218,7 @@ license-notice | - | remark | licen | license|licence agreement
 """
 
 #: The words with which the prefilter finds texts worth taking apart: the stem of a license remark.
-STEMS = ("licen[cs]", "copyright", "reserved", "redistribut", "warrant", "permission", "proprietary", "prohibited", "spdx",
+STEMS = ("licen[cs]", "copyright", "reproduced", "reserved", "redistribut", "warrant", "permission", "proprietary", "prohibited", "spdx",
          "unlicense", "wtfpl", "cc0", "0bsd", "agpl", "lgpl", "gpl", "gfdl", "cddl", "eupl", "odbl", "cecill", "waived", "exception",
          "creative", "mozilla", "apache", "clause", "itself", "altered", "advertising", "attribution")
 PAIRS = (("cc", "by"), ("public", "domain"), ("mpl",), ("epl",), ("osl",), ("afl",), ("asl",), ("commercial", "use"))
