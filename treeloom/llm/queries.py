@@ -106,5 +106,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Shingle sets, all linked pairs by their common shingles, and the smallest document reachable from each.
+NEARDUP_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+    from words
+), items as (
+    select doc_id, unnest(s) as item from sets
+), common as (
+    select a.doc_id as x, b.doc_id as y, count(*) as n from items a join items b on a.item = b.item and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select x, y from common join sets a on a.doc_id = x join sets b on b.doc_id = y where 100 * n >= 85 * (len(a.s) + len(b.s) - n)
+), steps as (
+    select x, y from links union select y, x from links
+), reached(doc_id, other) as (
+    select doc_id, doc_id from sets union select r.doc_id, t.y from reached r join steps t on r.other = t.x
+)
+select doc_id, cast(any_value(len(s)) as bigint) as n_shingles, min(other) as component_id, min(other) = doc_id as kept
+from sets join reached using (doc_id) group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the one operator that it can express; the others are tested against plain Python in tests/llm."""
+    return {"op9_minhash_neardup": NEARDUP_SQL}
