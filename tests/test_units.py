@@ -139,3 +139,17 @@ def test_unknown_types_allow_everything(spark):
 
 def test_pseudo_attributes():
     assert pseudo_attributes("href=\"a.rng\" type='x'") == {"href": "a.rng", "type": "x"}
+
+
+def test_edited_trees_have_the_regions_of_a_fresh_parse(spark):
+    from treeloom.operators import edit
+
+    docs = spark.createDataFrame([(1, "<a><b><c/>t</b><b/><d><b><c/></b></d></a>"), (2, "<b/>")], "doc_id long, xml string")
+    nodes = nodes_of(parse(docs))
+    more = edit.append_child(nodes, F.col("name") == "b", "element", F.lit("n"), None)
+    less = edit.remove_subtrees(more, more.where("name = 'c'"))
+    xml = {r.doc_id: r.xml for r in ser.to_text(less).collect()}
+    assert xml == {1: "<a><b>t<n/></b><b><n/></b><d><b><n/></b></d></a>", 2: "<b><n/></b>"}
+    fresh = nodes_of(parse(spark.createDataFrame(list(xml.items()), "doc_id long, xml string")))
+    columns = ["doc_id", "pre", "post", "level", "parent", "sib", "occ", "kind", "name", "path"]
+    assert sorted(map(repr, less.select(columns).collect())) == sorted(map(repr, fresh.select(columns).collect()))

@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.datatypes import list_items
+from ..functions.datatypes import canonical_value, list_items
 from ..functions.text import attribute, is_ncname, is_nmtoken, local_of
 from ..plans.dtd import Dtd
-from ..plans.xsd import Schema
+from ..plans.xsd import ComplexType, Schema
 from .identity import dangling_references, duplicate_ids, incomplete, repeated, tuples, unmatched
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
@@ -136,7 +136,7 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     """
     spark = nodes.sparkSession
     rules = schema.elements()
-    simple = [r.type.simple for r in rules]
+    simple = [r.type.simple if isinstance(r.type, ComplexType) else r.type for r in rules]
     table = spark.createDataFrame(
         [(k, r.context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.fixed, r.default, r.nillable, r.abstract or r.type.abstract, sorted(a.name for a in r.type.attributes.values() if a.use == "required"), sorted(r.type.attributes), r.type.any_attribute) for k, r in enumerate(rules)],
         "rule_id int, context string, r_ns string, r_name string, content string, pattern string, fixed string, default_value string, nillable boolean, abstract boolean, needed array<string>, known array<string>, any_attribute string",
@@ -173,6 +173,12 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
             accepted = F.when(F.col("rule_id") == k, kind.accepts(value)).otherwise(accepted)
     c = F.col
     filled = ~c("nil")
+    # fixed values are compared in the type's value space
+    changed = c("text") != c("fixed")
+    for k, r in enumerate(rules):
+        if r.fixed is not None and simple[k] is not None and not simple[k].members and simple[k].item is None:
+            base = simple[k].base
+            changed = F.when(c("rule_id") == k, canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)).otherwise(changed)
     of_element = [
         fault(c("rule_id").isNull(), "element-undeclared", named("undeclared element ")),
         fault(c("abstract") & c("typed").isNull(), "element-abstract", named("abstract ")),
@@ -183,7 +189,7 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
         fault(filled & (c("content") == "ELEMENT") & c("own_text"), "content-text", named("text in ")),
         fault(filled & (c("content") == "SIMPLE") & (c("sequence") != ""), "content-simple", named("children in simple ")),
         fault(filled & (c("content") == "SIMPLE") & ~accepted, "value-type", named("bad value of ")),
-        fault(filled & c("fixed").isNotNull() & ~c("bare") & (c("text") != c("fixed")), "value-fixed", named("fixed value changed in ")),
+        fault(filled & c("fixed").isNotNull() & ~c("bare") & changed, "value-fixed", named("fixed value changed in ")),
     ]
 
     def of_attribute(a: Column) -> Column:
@@ -193,7 +199,7 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
                 own = (c("rule_id") == k) & (a["name"] == rule.name)
                 good = F.when(own, rule.type.accepts(a["value"])).otherwise(good)
                 if rule.fixed is not None:
-                    unchanged = F.when(own, a["value"] == rule.fixed).otherwise(unchanged)
+                    unchanged = F.when(own, canonical_value(a["value"], rule.type.base) == canonical_value(F.lit(rule.fixed), rule.type.base)).otherwise(unchanged)
         label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), c("name"))
         return F.array(
             fault(c("any_attribute").isNull() & ~F.array_contains("known", a["name"]), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),

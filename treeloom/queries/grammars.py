@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import defaults as df
+from ..operators import edit
 from ..operators import identity as ident
 from ..operators import navigate as nav
+from ..operators import serialize as ser
 from ..operators import validate as val
+from ..plans import wildcards as wild
 from ..plans.catalog import Catalog, resolve_by_join
 from ..plans.dtd import compile_dtd
 from ..plans.lineage import stored
@@ -300,13 +303,69 @@ def schema_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("ns", "location").agg(F.count("*").alias("n"))
 
 
+def rng_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grammars that documents name in ``xml-model`` instructions, without Python on the rows."""
+    r = table(spark, sf_dir, "region")
+    xml = F.concat(F.lit('<?xml-model href="g'), (F.col("r_regionkey") % 2).cast("string"), F.lit('.rng" type="application/xml"?><r/>'))
+    nodes = nodes_of(parse(r.select(F.col("r_regionkey").cast("long").alias("doc_id"), xml.alias("xml"))))
+    data = nav.first_instruction(nodes, "xml-model")
+    return data.groupBy(F.regexp_extract("data", r"""href=["']([^"']*)""", 1).alias("href")).agg(F.count("*").alias("n"))
+
+
+def wildcard_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = ["##any", "##other", "##local urn:a", "##targetNamespace urn:b"]
+    rows = []
+    for a in tokens:
+        for b in tokens:
+            x, y = wild.parse(a, "urn:t"), wild.parse(b, "urn:t")
+            rows.append((a, b, wild.shown(wild.intersection(x, y)), wild.shown(wild.union(x, y)), wild.is_subset(x, y)))
+    return spark.createDataFrame(rows, "a string, b string, both string, either string, inside boolean")
+
+
+def type_derivation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestors of each type with the methods on the way, by a recursive query over the compiled derivations."""
+    derived = '<xs:complexType name="{0}"><xs:complexContent><xs:{2} base="{1}"/></xs:complexContent></xs:complexType>'
+    schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="a"/>' + "".join(derived.format(*d) for d in (("b", "a", "extension"), ("c", "b", "restriction"), ("d", "a", "restriction"))) + "</xs:schema>")
+    spark.createDataFrame(schema.derivation(), "type string, base string, method string").createOrReplaceTempView("treeloom_derivation")
+    return spark.sql("with recursive up(type, ancestor, methods) as (select type, base, method from treeloom_derivation union all select u.type, d.base, concat(u.methods, ',', d.method) from up u join treeloom_derivation d on d.type = u.ancestor) select type, ancestor, methods, contains(methods, 'extension') as by_extension from up")
+
+
+def value_space_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed value is compared as a value: 1, 1.0 and +01.00 are one decimal."""
+    schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="v" type="xs:decimal" fixed="1.0"/></xs:schema>')
+    texts = ["1", "1.0", "+01.00", "1.01", "-1"]
+    docs = spark.createDataFrame([(k, f"<v>{t}</v>") for k, t in enumerate(texts)], "doc_id long, xml string")
+    bad = val.xsd_violations(nodes_of(parse(docs)), schema)
+    return bad.select("doc_id", "rule")
+
+
+def append_and_remove_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add a comment and an element, then remove the first region element that equals a given one."""
+    n = table(spark, sf_dir, "nation")
+    xml = F.concat(F.lit("<n><name>"), F.col("n_name"), F.lit('</name><r k="'), F.col("n_regionkey").cast("string"), F.lit('" a="1"/><r a="1" k="2"/></n>'))
+    nodes = stored(nodes_of(parse(n.select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml")))))
+    more = edit.append_child(nodes, F.col("level") == 0, "comment", None, F.lit("added"))
+    more = stored(edit.append_child(more, F.col("level") == 0, "element", F.lit("e"), None))
+    given = nodes_of(parse(spark.createDataFrame([(0, '<r a="1" k="2"/>')], "doc_id long, xml string")))
+    left = edit.remove_first_equal(more, more.where("path = '/n/r' and kind = 'element'"), given)
+    return ser.to_text(left).select(F.col("doc_id").alias("n_nationkey"), "xml")
+
+
 QUERIES = {f.__name__: f for f in (
     dtd_content_model_conversations, dtd_violation_rules, dtd_first_violation, dtd_default_merge, dtd_internal_defaults, dtd_entity_expansion, dtd_rule_tables,
     grammar_merge_keep_first, id_idref_parts, xsd_order_violations, violations_rollup, xsd_sequence_choice_all, xsd_wildcard_namespaces, xsd_default_fixed,
     xsd_union_list, xsd_xsi_type_nil, substitution_group_closure, xsd_schema_rules, xsd_native_differential, identity_unique_lineitem, identity_key_lineitem,
-    identity_keyref_orders_customer, catalog_rewrite_pages, catalog_suffix_pages, catalog_delegate_public, rng_defaults, default_precedence, schema_locations,
+    identity_keyref_orders_customer, catalog_rewrite_pages, catalog_suffix_pages, catalog_delegate_public, rng_defaults, default_precedence, schema_locations, rng_references, wildcard_algebra, type_derivation_closure,
+    value_space_fixed, append_and_remove_children,
 )}
 
+_O, _A, _B = "not:|urn:t", "in:|urn:a", "in:urn:b|urn:t"
+_ALGEBRA = [
+    ("##any", "##any", "any", "any", True), ("##any", "##other", _O, "any", False), ("##any", "##local urn:a", _A, "any", False), ("##any", "##targetNamespace urn:b", _B, "any", False),
+    ("##other", "##any", _O, "any", True), ("##other", "##other", _O, _O, True), ("##other", "##local urn:a", "in:urn:a", "not:urn:t", False), ("##other", "##targetNamespace urn:b", "in:urn:b", "not:", False),
+    ("##local urn:a", "##any", _A, "any", True), ("##local urn:a", "##other", "in:urn:a", "not:urn:t", False), ("##local urn:a", "##local urn:a", _A, _A, True), ("##local urn:a", "##targetNamespace urn:b", "in:", "in:|urn:a|urn:b|urn:t", False),
+    ("##targetNamespace urn:b", "##any", _B, "any", True), ("##targetNamespace urn:b", "##other", "in:urn:b", "not:", False), ("##targetNamespace urn:b", "##local urn:a", "in:", "in:|urn:a|urn:b|urn:t", False), ("##targetNamespace urn:b", "##targetNamespace urn:b", _B, _B, True),
+]
 _ROLES = "(select conv_id, string_agg(role, ' ' order by turn, role) || ' ' as s from conversations group by 1)"
 _LINES = "select l.* from lineitem l join orders o on o.o_orderkey = l.l_orderkey"
 _KIDS = "(select c_custkey, list_aggregate([['a', 'b', 'c'][cast((c_custkey + i) % 3 as integer) + 1] for i in range(0, c_custkey % 4 + 1)], 'string_agg', '') as s from customer)"
@@ -341,5 +400,10 @@ ORACLES = {
     "catalog_delegate_public": "select * from (values ('-//T//DTD X//EN', 'urn:s', '/c/x.dtd', '/c/s.dtd', '/c/x.dtd'), ('-//T//DTD Y//EN', '', '/c/sub/y.dtd', null, '/c/sub/y.dtd'), ('-//T//DTD Z//EN', '', '/c/z.dtd', null, '/c/z.dtd'), ('-//D//One//EN', '', '/c/d1.dtd', null, '/c/d1.dtd'), ('-//D//Two//EN', '', null, null, null), ('urn:publicid:-:T:DTD+X:EN', '', '/c/x.dtd', null, '/c/x.dtd'), ('none', 'a/b.dtd', null, '/c/any.dtd', '/c/any.dtd'), ('none', 'urn:s', null, '/c/s.dtd', '/c/s.dtd'), ('none', 'x/none', null, null, null)) x(public_id, system_id, \"public\", \"system\", entity)",
     "rng_defaults": "select name, region, lang, seg, count(*) as n from customer, (values ('customer', 'global', null, true), ('name', null, 'en', false), ('bal100', null, 'en', false)) v(name, region, lang, seg) group by 1, 2, 3, 4",
     "default_precedence": "select 'dtd' as p, 'dtd' as q, 'xsd' as r, cast(null as varchar) as s, count(*) as n from customer",
+    "rng_references": "select 'g' || (r_regionkey % 2) || '.rng' as href, count(*) as n from region group by 1",
+    "wildcard_algebra": "select * from (values " + ", ".join(f"('{a}', '{b}', '{x}', '{y}', {z})" for a, b, x, y, z in _ALGEBRA) + ") x(a, b, \"both\", either, inside)",
+    "type_derivation_closure": "select * from (values ('b', 'a', 'extension', true), ('c', 'b', 'restriction', false), ('c', 'a', 'restriction,extension', true), ('d', 'a', 'restriction', false)) x(type, ancestor, methods, by_extension)",
+    "value_space_fixed": "select doc_id::bigint as doc_id, 'value-fixed' as rule from (values (3), (4)) x(doc_id)",
+    "append_and_remove_children": """select n_nationkey::bigint as n_nationkey, '<n><name>' || n_name || '</name>' || case when n_regionkey = 2 then '' else '<r k="' || n_regionkey || '" a="1"/>' end || case when n_regionkey = 2 then '<r a="1" k="2"/>' else '' end || '<!--added--><e/></n>' as xml from nation""",
     "schema_locations": "select 'urn:a' as ns, 'a.xsd' as location, count(*) as n from region union all select '', 'n.xsd', count(*) from region union all select 'urn:' || r_regionkey, 'b.xsd', 1 from region",
 }
