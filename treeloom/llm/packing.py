@@ -15,6 +15,7 @@ each; rows with a null id too.  Extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,36 +27,71 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Blanks to Python's split() that the tokenizer takes for text, and the starts of its own marks.
-_PLAIN = re.compile("[\x1c-\x1f]|<\\|")
 
 
-class ChunkTokenizer:
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+def _class(kind: str) -> str:
+    """Latin characters of a general category, as the inside of a regular expression's class."""
+    return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: What the tokenizer takes for one word, for texts of Latin letters and common punctuation.
+_WORD = re.compile(f"[{_class('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+#: Other characters, control characters that are blanks to Python alone, and the starts of the tokenizer's own marks.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]|<\\|")
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+class MemoTokenizer:
     """Token ids of whole texts as packed little-endian 32-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so ids of blank-separated
-    chunks can be memoised (up to a fixed number) and joined.
+    Texts of Latin script are split into words as the tokenizer does; a word's ids are
+    memoised (``memo`` words at most) and new words go to the merge model.  Any other text
+    goes through the whole tokenizer.
     """
 
-    def __init__(self, json: str, memo: int = 400_000):
+    def __init__(self, json: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.seen = Tokenizer.from_str(json), memo, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
+
+    def __call__(self, text: str) -> bytes:
+        if (not text.isascii() or "<|" in text or _CONTROL.search(text)) and _OTHER.search(text):
+            return self._direct(text)
         if len(self.seen) > self.memo:
             self.seen.clear()
-        seen = self.seen
-        split = [None if _PLAIN.search(t) else t.split() for t in texts]
-        new = list({w for s in split if s for w in s if w not in seen})
-        seen.update(zip(new, self._direct(new), strict=True))
-        return [
-            self._direct([t])[0] if s is None else b"".join([seen[w] for w in s])
-            for t, s in zip(texts, split, strict=True)
-        ]
+        seen, words = self.seen, _WORD.findall(text.lower())
+        for new in set(words).difference(seen):
+            seen[new] = self._word(new)
+        return b"".join(map(seen.__getitem__, words))
+
+
+#: The tokenizer of this Python worker, kept from task to task.
+_KEPT: dict[int, MemoTokenizer] = {}
+
+
+def kept_tokenizer(json: str) -> MemoTokenizer:
+    key = zlib.crc32(json.encode())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = MemoTokenizer(json)
+    return _KEPT[key]
 
 
 class BoundedBestFit:
@@ -100,18 +136,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = ChunkTokenizer(shared.value)
+        tokenizer = kept_tokenizer(shared.value)
         for b in batches:
-            for at in range(0, len(b), 512):
-                part, rows = b.iloc[at : at + 512], []
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                for doc_id, packed in zip(part["doc_id"], tokenizer(texts), strict=True):
-                    ids = packed + end
-                    for k in range(0, len(ids), 4 * capacity):
-                        own = ids[k : k + 4 * capacity]
-                        rows.append((doc_id, k // (4 * capacity), k // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+            rows = []
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = tokenizer(text if isinstance(text, str) else "") + end
+                for k in range(0, len(ids), 4 * capacity):
+                    own = ids[k : k + 4 * capacity]
+                    rows.append((doc_id, k // (4 * capacity), k // 4, len(own) // 4, zlib.crc32(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(pieces, PIECES)
 
