@@ -169,7 +169,7 @@ def _pack_groups(pieces: DataFrame, groups: int, capacity: int, open_bins: int,
     )
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_rows: int = 8192) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 16_384, group_rows: int = 8192) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; a row of ``pieces`` is read several times, so cut it before."""
     full = pieces.where(F.col("length") == capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -186,6 +186,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 1024,
     return full.select(keep).union(first.where(~loose).select(keep)).union(again.select(keep))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 16_384) -> DataFrame:
     """Tokenise, cut and pack every row of ``docs``."""
     return pack_pieces(cut(tokenize_pieces(docs, tokenizer_path, capacity)), capacity, open_bins)
