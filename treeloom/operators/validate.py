@@ -47,19 +47,20 @@ def verdicts(nodes: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def child_sequences(nodes: DataFrame, token: Column | None = None) -> DataFrame:
-    """``doc_id, pre, sequence, own_text``: child tokens (each with a blank behind) and whether there is text of its own."""
+    """Elements with ``sequence`` (child tokens, each with a blank behind), ``text``, ``own_text`` and ``n_nodes``: one grouping by parent."""
     token = F.concat(F.col("name"), F.lit(" ")) if token is None else token
     inner = nodes.where("parent >= 0").select(
         "doc_id", F.col("parent").alias("pre"), "sib", F.when(F.col("kind") == "element", token).alias("token"),
-        (F.col("kind").isin("text", "cdata") & ~F.col("value").rlike(r"\A[ \t\r\n]*\z")).alias("told"),
+        F.when(F.col("kind").isin("text", "cdata"), F.col("value")).alias("value"),
     )
     grouped = inner.groupBy("doc_id", "pre").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("sib", "token")))), lambda t: t["token"]), "").alias("sequence"),
-        F.max("told").alias("own_text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("sib", "value")))), lambda t: t["value"]), "").alias("text"),
         F.count("*").alias("n_nodes"),
     )
-    el = nodes.where("kind = 'element'").select("doc_id", "pre", "name", "ns_uri", "attrs", "parent", "level")
-    return el.join(grouped, ["doc_id", "pre"], "left").na.fill("", ["sequence"]).na.fill(False, ["own_text"]).na.fill(0, ["n_nodes"])
+    el = nodes.where("kind = 'element'").select("doc_id", "pre", "name", "ns_uri", "attrs", "parent", "level", "path")
+    met = el.join(grouped, ["doc_id", "pre"], "left").na.fill("", ["sequence", "text"]).na.fill(0, ["n_nodes"])
+    return met.withColumn("own_text", ~F.col("text").rlike(r"\A[ \t\r\n]*\z"))
 
 
 # --- DTD --------------------------------------------------------------------------------------------------------
@@ -143,14 +144,11 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     )
     token = F.concat(F.coalesce("ns_uri", F.lit("")), F.lit("}"), local_of(F.col("name")), F.lit(" "))
     rows = child_sequences(nodes, token).withColumn("local", local_of(F.col("name"))).withColumn("ns", F.coalesce("ns_uri", F.lit("")))
-    # children of an element with xsi:type follow that type
+    # the parent's name stands in the path; children of an element with xsi:type follow that type
     stated = F.concat(F.lit("("), local_of(attribute(F.col("attrs"), "xsi:type")), F.lit(")"))
-    parents = nodes.where("kind = 'element'").select("doc_id", F.col("pre").alias("parent"), F.coalesce(stated, local_of(F.col("name"))).alias("parent_local"))
-    rows = rows.join(parents, ["doc_id", "parent"], "left").na.fill("", ["parent_local"])
-    texts = nodes.where("kind in ('text', 'cdata') and parent >= 0").groupBy("doc_id", F.col("parent").alias("pre")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "value"))), lambda p: p["value"]), "").alias("text")
-    )
-    rows = rows.join(texts, ["doc_id", "pre"], "left").na.fill("", ["text"])
+    typed_parents = nodes.where("kind = 'element'").where(stated.isNotNull()).select("doc_id", F.col("pre").alias("parent"), stated.alias("stated"))
+    by_path = F.when(F.col("level") > 0, local_of(F.element_at(F.split("path", "/"), -2))).otherwise("")
+    rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("parent_local", F.coalesce("stated", by_path))
     local_rules, global_rules = table.where("context != ''"), table.where("context = ''")
     near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("parent_local"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["parent_local", "local", "ns"], "left")
     far = near.join(F.broadcast(global_rules.select(F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("far"))), ["local", "ns"], "left")

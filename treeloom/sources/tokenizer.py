@@ -22,30 +22,37 @@ _BOM = "﻿"
 
 
 class NodeRows:
-    """Collects node rows column by column; attributes as flat lists with offsets."""
+    """Collects node rows as tuples, the ends of subtrees beside them, attributes as flat lists with offsets."""
 
-    NAMES = ("doc_id", "pre", "post", "level", "parent", "sib", "occ", "kind", "name", "ns_uri", "value", "path")
+    NAMES = ("doc_id", "pre", "level", "parent", "sib", "occ", "kind", "name", "ns_uri", "value", "path")
 
     def __init__(self):
-        self.columns = {n: [] for n in self.NAMES}
+        self.rows: list[tuple] = []
+        self.posts: list[int] = []
         self.offsets, self.attr_names, self.attr_values = [0], [], []
 
     def __len__(self) -> int:
-        return len(self.columns["doc_id"])
-
-    def add(self, *values, attrs=()) -> None:
-        for column, value in zip(self.columns.values(), values, strict=True):
-            column.append(value)
-        self.attr_names += attrs[::2]
-        self.attr_values += attrs[1::2]
+        return len(self.rows)
+
+    def add(self, row: tuple, attrs=()) -> None:
+        """A row of ``NAMES``; its subtree ends with itself until told otherwise."""
+        self.rows.append(row)
+        self.posts.append(row[1])
+        if attrs:
+            self.attr_names += attrs[::2]
+            self.attr_values += attrs[1::2]
         self.offsets.append(len(self.attr_names))
 
     def cut_back(self, rows: int) -> None:
-        for column in self.columns.values():
-            del column[rows:]
+        del self.rows[rows:], self.posts[rows:]
         del self.offsets[rows + 1 :]
         del self.attr_names[self.offsets[-1] :], self.attr_values[self.offsets[-1] :]
 
+    @property
+    def columns(self) -> dict[str, list]:
+        columns = zip(*self.rows, strict=True) if self.rows else ([] for _ in self.NAMES)
+        return {n: list(c) for n, c in zip(self.NAMES, columns, strict=True)} | {"post": self.posts}
+
     def batch(self) -> pa.RecordBatch:
         integer = pa.int32()
         types = {"doc_id": pa.int64()} | dict.fromkeys(("pre", "post", "level", "parent", "sib", "occ"), integer)
@@ -73,59 +80,52 @@ class DocumentParser:
             self._parse(doc_id, [chunks] if isinstance(chunks, str) else chunks)
         except (expat.ExpatError, ValueError) as e:
             self.rows.cut_back(first)
-            self.rows.add(doc_id, 0, 0, 0, -1, 0, 0, ERROR, None, None, str(e), None)
+            self.rows.add((doc_id, 0, 0, -1, 0, 0, ERROR, None, None, str(e), None))
 
     def _parse(self, doc_id: int, chunks: list[str] | None) -> None:
         if chunks is None:
             raise ValueError("no document")
-        rows, columns = self.rows, self.rows.columns
+        rows = self.rows
+        posts = rows.posts
         base = len(rows)
         p = expat.ParserCreate("utf-8")
         p.ordered_attributes = p.buffer_text = True
         p.buffer_size = 1 << 16
         if self.external:
             p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_ALWAYS)
-        open_pre, paths, spaces = [-1], [""], [{"xml": XML_URI, "xmlns": XMLNS_URI, "": ""}]
-        children, named = [0], [{}]
+        # for each open element: its place, path, bound prefixes, number of nodes, numbers by name
+        frames: list[list] = [[-1, "", {"xml": XML_URI, "xmlns": XMLNS_URI, "": ""}, 0, {}]]
         in_cdata: list[str] | None = None
         subset_at = 0
         data = [c.encode("utf-8", "surrogatepass") for c in chunks]
 
-        def leaf(kind: str, name: str | None, value: str | None, attrs: tuple | list = (), occ: int = 0) -> None:
-            pre = len(rows) - base
-            rows.add(doc_id, pre, pre, len(open_pre) - 1, open_pre[-1], children[-1], occ, kind, name, None, value, paths[-1], attrs=attrs)
-            children[-1] += 1
+        def leaf(kind: str, name: str | None, value: str | None, attrs: tuple | list = ()) -> None:
+            frame = frames[-1]
+            rows.add((doc_id, len(posts) - base, len(frames) - 1, frame[0], frame[3], 0, kind, name, None, value, frame[1]), attrs)
+            frame[3] += 1
 
         def start(name: str, attrs: list[str]) -> None:
-            bound = spaces[-1]
-            if attrs:
-                declared = {
-                    k[6:]: v for k, v in zip(attrs[::2], attrs[1::2], strict=True) if k == "xmlns" or k.startswith("xmlns:")
-                }
-                if declared:
-                    bound = bound | declared
-            prefix = name.partition(":")[0] if ":" in name else ""
-            occ = named[-1].get(name, 0)
-            named[-1][name] = occ + 1
-            pre = len(rows) - base
-            path = f"{paths[-1]}/{name}"
-            rows.add(doc_id, pre, pre, len(open_pre) - 1, open_pre[-1], children[-1], occ, "element", name, bound.get(prefix), None, path, attrs=attrs)
-            children[-1] += 1
-            open_pre.append(pre)
-            paths.append(path)
-            spaces.append(bound)
-            children.append(0)
-            named.append({})
+            frame = frames[-1]
+            bound, named = frame[2], frame[4]
+            for k in range(0, len(attrs), 2):
+                if attrs[k].startswith("xmlns") and (attrs[k] == "xmlns" or attrs[k][5] == ":"):
+                    bound = bound | {attrs[k][6:]: attrs[k + 1]}
+            occ = named.get(name, 0)
+            named[name] = occ + 1
+            pre = len(posts) - base
+            path = f"{frame[1]}/{name}"
+            uri = bound.get(name.partition(":")[0] if ":" in name else "")
+            rows.add((doc_id, pre, len(frames) - 1, frame[0], frame[3], occ, "element", name, uri, None, path), attrs)
+            frame[3] += 1
+            frames.append([pre, path, bound, 0, {}])
 
         def end(_name: str) -> None:
-            columns["post"][base + open_pre.pop()] = len(rows) - base - 1
-            for stack in (paths, spaces, children, named):
-                stack.pop()
+            posts[base + frames.pop()[0]] = len(posts) - base - 1
 
         def text(value: str) -> None:
             if in_cdata is not None:
                 in_cdata.append(value)
-            elif len(open_pre) > 1:
+            elif len(frames) > 1:
                 leaf("text", None, value)
 
         def cdata_start() -> None:
