@@ -94,8 +94,8 @@ class OrdinalModel:
 
 
 def fit(
-    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.15, decay: float = 2e-4,
-    least_documents: int = 3, seed: int = 3,
+    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.15, decay: float = 4e-3,
+    least_documents: int = 10, seed: int = 3,
 ) -> OrdinalModel:
     """Maximum likelihood by mini-batch AdaGrad; features in fewer than ``least_documents`` rows are ignored."""
     counts = np.bincount(np.concatenate(rows), minlength=DIMENSIONS)
