@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; five-word shingles, similarity 0.8 or more."""
-    groups = near_duplicates(docs, shingle=5, percent=80, tables=10, rows=4)
+    groups = near_duplicates(docs, shingle=5, percent=80)
     dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 

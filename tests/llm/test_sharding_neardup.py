@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from treeloom.llm.neardup import near_duplicates
+from treeloom.llm.neardup import missed, near_duplicates, tables_for
 from treeloom.llm.sharding import shard_by_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, rep long"
@@ -72,6 +72,31 @@ def test_near_duplicates_edge_cases(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def pairs_at_threshold(pairs, n_words, changed, seed):
+    """Groups of two texts that differ in their last words; no word occurs in two groups."""
+    rng = random.Random(seed)
+    word = lambda: f"{rng.getrandbits(60):x}"
+    out = []
+    for i in range(pairs):
+        words = [word() for _ in range(n_words)]
+        out += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n_words - changed] + [word() for _ in range(changed)]))]
+    return out
+
+
+def test_pairs_at_the_threshold_are_compared(spark):
+    from corpus_pipeline import minhash_neardup
+
+    texts = pairs_at_threshold(1500, 40, 4, 3)  # 32 of 40 five-word shingles
+    assert brute_components(texts[:80], 5, 80) == {i: (36, i // 2 * 2) for i, _ in texts[:80]}
+    assert {r.doc_id for r in minhash_neardup(spark, frame(spark, texts), "").select("doc_id").collect()} == {i for i, _ in texts if i % 2 == 0}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_tables_follow_from_the_similarity(percent):
+    tables = tables_for(percent, 4)
+    assert missed(percent, tables, 4) <= 1e-4 < missed(percent, tables - 1, 4)
+
+
 def check_shards(rows, texts, shards):
     assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 8 for _, t in texts)
     assert {(r.doc_id, r.text_crc32) for r in rows} == {(i, zlib.crc32((t or "").encode())) for i, t in texts}
