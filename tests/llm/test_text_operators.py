@@ -109,6 +109,23 @@ def test_markov_model_on_held_out_strings(spark):
     assert right / len(scored) > 0.98
 
 
+HELD_OUT = "abstract adapter anchor archive binding bucket cluster compiler counter customer driver duration ledger migration namespace observer replica revision".split()
+
+
+def test_the_ratio_decides_for_every_class_of_characters(spark):
+    rng = random.Random(99)
+    lower, upper, digits = ss.ALPHABET[26:52], ss.ALPHABET[:26], ss.ALPHABET[52:62]
+    kinds = [lower + digits, upper + digits, upper + "234567", upper + lower, lower, upper, ss.ALPHABET[:62]]
+    secrets = ["".join(rng.choice(kinds[i % 7]) for _ in range(20 + i % 20)) for i in range(700)]
+    names = ["_-/"[i % 3].join(rng.choice(HELD_OUT) for _ in range(4)) if i % 2 else "".join(rng.choice(HELD_OUT).title() for _ in range(4)) for i in range(700)]
+    names += ["Rechtsschutzversicherungsgesellschaften", "internationalization", "anticonstitutionnellement", "x" * 99, "=-" * 20, "-" * 40, "12345678901234567890"]
+    texts = [f"the key {t} here" for t in secrets + names]
+    got = {r.doc_id: r.spans for r in ss.scan(frame(spark, list(enumerate(texts))), ss.default_ratios(spark)).select("doc_id", "spans").collect()}
+    missing = [t for i, t in enumerate(secrets) if [(x.start, x.end) for x in got[i]] != [(8, 8 + len(t))]]
+    wrong = [t for i, t in enumerate(names, len(secrets)) if got[i]]
+    assert len(missing) <= 7 and len(wrong) <= 1 and not {t for t in wrong if t in names[700:]}, (missing, wrong)
+
+
 def test_redaction(spark):
     r = ss.scan(frame(spark, [(1, "a token: abcdef1 b"), (2, None)]), ss.default_ratios(spark))
     assert [x[0] for x in r.select(ss.redact(r["text"], r["spans"])).collect()] == ["a [secret] b", None]

@@ -51,9 +51,32 @@ transaction transform tree trigger type unique unit update upload user util vali
 visible volume widget width window worker wrapper write zone""".split()
 
 
+#: Parts of longer words, by language.
+PARTS = tuple(
+    x.split()
+    for x in (
+        """ab auf aus bau beit berg bund chaft dienst ein en end ent er erung fahr freund gegen gemein ge geschwind haupt haus
+        heit ich ig igkeit isch keit land lich markt nach ordnung post recht regel schaft schein schreib schul sch spiel staat
+        stell straß t tag tung über um ung unter ver versicher verwalt vor wasser weise welt wirt wirtschaft zeit zu zug""".replace("ß", "ss").replace("ü", "ue"),
+        """a able ac action age al ance ant anti com con de dis ed el en ence ent er est ful graph hood house hyper in ing inter
+        ion ism ist ity ive land less light line logic ly man ment micro multi ness non of ology ous out over pre pro re semi
+        ship some st super th time tion trans un under up ward water way wh wise with work""",
+        """ai ait ant anti au ble ch chant con contre de des eau elle en ence ent er eur eux ier if ion ique ir is ison iste le
+        lement ment mer mi non oi ou par que qui re res ois son sous sur té tion tre trice un ure vi vent""".replace("é", "e"),
+        """a able aci ado al amiento ando ante ar as bre ci cion con contra dad de des do el en ente era es esta ez ia idad
+        iendo ion ista lla los mente mi miento na ncia ndo no os para pro que re ro ta te tra ue un ura za""",
+    )
+)
+UPPER, LOWER, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: What random strings are drawn from.
+SYMBOLS = (
+    ALPHABET[:62], ALPHABET[:64], LOWER + DIGITS, UPPER + DIGITS, UPPER + "234567", UPPER + LOWER, LOWER, UPPER,
+)
+
+
 @lru_cache(maxsize=1)
 def labelled_strings(each: int = 1500) -> tuple[tuple[str, int], ...]:
-    """The labelled samples, made by rule: random strings (1) and ordinary identifiers (0)."""
+    """The labelled samples, made by rule: random strings (1); ordinary identifiers, words, numbers and rules (0)."""
 
     def bits(name: str, i: int) -> bytes:
         return hashlib.sha256(f"{name}:{i}".encode()).digest() + hashlib.sha256(f"{i}:{name}".encode()).digest()
@@ -61,10 +84,11 @@ def labelled_strings(each: int = 1500) -> tuple[tuple[str, int], ...]:
     out = []
     for i in range(each):
         b = bits("random", i)
-        symbols = ALPHABET[:62] if i % 3 else ALPHABET[:64]
+        symbols = SYMBOLS[i % len(SYMBOLS)]
         out.append(("".join(symbols[x % len(symbols)] for x in b[: 24 + i % 24]), 1))
         b = bits("identifier", i)
-        words = [WORDS[(b[2 * j] * 256 + b[2 * j + 1]) % len(WORDS)] for j in range(3 + i % 4)]
+        known = PARTS[i // 6 % len(PARTS)] if i % 3 == 0 else WORDS
+        words = [known[(b[2 * j] * 256 + b[2 * j + 1]) % len(known)] for j in range(3 + i % 4)]
         number = str(b[60] % 100) if i % 5 == 0 else ""
         style = i % 6
         if style == 0:
@@ -76,7 +100,12 @@ def labelled_strings(each: int = 1500) -> tuple[tuple[str, int], ...]:
         else:
             name = ("_", "-", "/")[style - 3].join(words)
         out.append((name + number, 0))
-    return tuple(out)
+        if i % 6 == 1:  # a word of several parts
+            known = PARTS[i // 6 % len(PARTS)]
+            out.append(("".join(known[x % len(known)] for x in b[20:28]), 0))
+        if i % 10 == 2:  # a number
+            out.append(("".join(str(x % 10) for x in b[:24]), 0))
+    return (*out, *((c * 24, 0) for c in ALPHABET for _ in range(4)))  # rules and fillers
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -133,9 +162,9 @@ def match_spans(text: Column, pattern: str, kind: int, keep=None, group: int | N
 def token_ratio(token: Column, ratios: Sequence[float]) -> Column:
     """Mean log-likelihood ratio per step of a token over ``ALPHABET``."""
     n, table = len(ALPHABET), F.array(*[F.lit(float(x)) for x in ratios])
-    number = lambda i: F.instr(F.lit(ALPHABET), token.substr(i, F.lit(1))) - 1
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.get(table, number(i) * n + number(i + 1)))
+    numbers = F.transform(F.regexp_extract_all(token, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = F.zip_with(numbers, F.slice(numbers, F.lit(2), F.length(token)), lambda a, b: F.get(table, a * n + b))
+    total = F.aggregate(steps, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))  # nothing follows the last
     return total / (F.length(token) - 1)
 
 
@@ -153,8 +182,7 @@ def scan(docs: DataFrame, ratios: Sequence[float], threshold: float = 0.6) -> Da
             match_spans(text, HEX_RUN, 2),
         )
     )
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Z]") & t.rlike("[a-z]") & (token_ratio(t, ratios) > threshold)
-    random = match_spans(text, TOKEN, 3, mixed)
+    random = match_spans(text, TOKEN, 3, lambda t: token_ratio(t, ratios) > threshold)
     return (
         docs.drop("base_spans", "spans")
         .withColumn("base_spans", base)
