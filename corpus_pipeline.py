@@ -44,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def domain_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of languages below their target; none is left out."""
     labelled = language_labels(docs, table(spark, sf_dir, "labels"))
-    mixed = mix(docs, labelled, LANGUAGE_TARGETS, keep_all=True, most=4.0)
+    mixed = mix(docs, labelled, LANGUAGE_TARGETS, keep_all=True)
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(docs.columns)
 
 

@@ -1,13 +1,14 @@
 """Mixing, neighbours, packing, quality and the pipeline."""
 
 import random
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
 
 from treeloom.llm import packing as pk
-from treeloom.llm.mixing import mix
+from treeloom.llm.mixing import fit_rates, mix
 from treeloom.llm.neighbours import nearest_neighbours
 from treeloom.llm.quality import DIMENSIONS, Features, fit, grade_documents
 from treeloom.llm.queries import tokenizer_path
@@ -44,6 +45,29 @@ def test_rates_meet_the_targets(spark):
     assert all(r.rate >= 1 and r.copies >= 1 for r in kept)
 
 
+def test_pipeline_mix_meets_the_targets_of_a_hot_language(spark):
+    from corpus_pipeline import domain_mixing
+    from treeloom.llm.queries import LANGUAGE_TARGETS
+
+    rng = random.Random(8)
+    words = {d: [f"{d}{n}" for n in "abcdef"] for d in LANGUAGE_TARGETS}
+    langs = ["en"] * 540 + ["fr"] * 24 + ["de"] * 18 + ["es"] * 18  # 90, 4, 3 and 3 %
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[d], k=30)), d, "s", 0) for i, d in enumerate(langs)], DOCS)
+    labels, dir_ = docs.select("doc_id"), tempfile.mkdtemp(prefix="mix-")
+    labels.write.parquet(f"{dir_}/labels.parquet")
+    mixed = {r.lang: r["count"] for r in domain_mixing(spark, docs, dir_).groupBy("lang").count().collect()}
+    for d, share in LANGUAGE_TARGETS.items():
+        assert mixed[d] / sum(mixed.values()) == pytest.approx(share, abs=0.015)
+
+
+def test_missed_targets_are_told(spark):
+    cells = spark.createDataFrame([([1.0, 0.0], 97.0), ([0.0, 1.0], 3.0)], "posterior array<double>, tokens double")
+    with pytest.warns(UserWarning, match="missed"):
+        fit_rates(cells, [0.5, 0.5], least=1.0, most=4.0, iterations=1, further=200)
+    rates = cells.select("tokens", fit_rates(cells, [0.5, 0.5], least=1.0, iterations=1, further=200).rate(cells["posterior"]).alias("rate")).collect()
+    assert [r.tokens * r.rate for r in rates] == pytest.approx([97, 97], rel=0.011)
+
+
 def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, None, "s", 0), (1, None, None, "s", 0), (None, "x", "a", "s", 0), (2, "", "zz", "s", 0)], DOCS)
     labelled = docs.selectExpr("doc_id", "lang as domain")

@@ -22,6 +22,7 @@ labelled table without known domains gives equal posteriors; an empty table give
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -152,15 +153,42 @@ class RateFit:
     def rate(self, posterior: Column) -> Column:
         return self._replay(posterior)["r"]
 
+    def go_on(self, posteriors: np.ndarray, tokens: np.ndarray, target: np.ndarray, t: float, further: int, slack: float, close: float) -> None:
+        """More of the same moves, over the cells' values themselves."""
+        rate = was = np.ones(len(tokens))
+        most = math.inf if self.most is None else self.most
+        moved = lambda r, was, b, e: np.clip(r + b * (r - was) - self.step * (posteriors @ e), self.least, most)
+        for b, e in self.moves:
+            rate, was = moved(rate, was, b, np.array(e)), rate
+        for n in range(further + 1):
+            off = posteriors.T @ (tokens * rate) - target
+            if (abs(off) <= np.maximum(close * target, slack)).all():
+                return
+            if n == further:
+                break
+            later = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            momentum = (t - 1) / later if self.moves else 0.0
+            t = later
+            residual = posteriors.T @ (tokens * (rate + momentum * (rate - was))) - target
+            self.moves.append((float(momentum), [float(x) for x in residual]))
+            rate, was = moved(rate, was, momentum, residual), rate
+        got = posteriors.T @ (tokens * rate)
+        warnings.warn(f"targets missed: shares {(got / got.sum()).round(4).tolist()}, not {(target / target.sum()).round(4).tolist()}", stacklevel=4)
+
     def ahead(self, posterior: Column, momentum: float) -> Column:
         return _with(self._replay(posterior), lambda s: s["r"] + momentum * (s["r"] - s["was"]))
 
 
 def fit_rates(
     cells: DataFrame, shares: list[float], budget: float | None = None, least: float = 0.0, most: float | None = None,
-    iterations: int = 40, tolerance: float = 1e-4,
+    iterations: int = 40, tolerance: float = 1e-4, further: int = 0, close: float = 0.01,
 ) -> RateFit:
-    """Fit rates to ``cells`` (``posterior array<double>, tokens``); ``budget``: total of the mixed tokens."""
+    """Fit rates to ``cells`` (``posterior array<double>, tokens``); ``budget``: total of the mixed tokens.
+
+    While a domain is further than the share ``close`` from its target after ``iterations``,
+    up to ``further`` more follow on the driver, over the bounded table of cells.  A warning
+    gives the shares where the targets are missed all the same.
+    """
     k = len(shares)
     at = lambda i: F.get("posterior", F.lit(i))
     moments = cells.agg(
@@ -185,8 +213,11 @@ def fit_rates(
         sums = rated.agg(*[F.sum(F.col("tokens") * at(i) * F.col("mix_rate")).alias(f"s{i}") for i in range(k)]).first()
         residual = [sums[f"s{i}"] - target[i] for i in range(k)]
         if max(map(abs, residual)) <= tolerance * budget:
-            break
+            return fit
         fit.moves.append((momentum, residual))
+    if further:
+        rows = cells.select("posterior", "tokens").collect()
+        fit.go_on(np.array([r.posterior for r in rows]), np.array([r.tokens for r in rows]), np.array(target), t, further, tolerance * budget, close)
     return fit
 
 
@@ -196,8 +227,9 @@ def mix(
     """``docs`` with ``mix_tokens, posterior, rate, copies``.
 
     ``targets``: weight of each domain in the mix.  The mix has as many tokens as ``docs``;
-    with ``keep_all`` rates start at 1 and the mix is as large as that requires.  Columns of
-    ``docs`` named like the added ones are replaced.
+    with ``keep_all`` rates start at 1 and the mix is as large as that requires.  ``most``
+    caps the rates; with it, a domain that needs more copies stays below its target.  Columns
+    of ``docs`` named like the added ones are replaced.
     """
     domains = sorted(targets)
     total = sum(targets.values())
@@ -211,7 +243,7 @@ def mix(
         .coalesce(1)  # bounded by the grid of posteriors
     )
     budget = None if keep_all else cells.agg(F.sum("tokens")).first()[0] or 0.0
-    fit = fit_rates(cells, shares, budget, 1.0 if keep_all else 0.0, most)
+    fit = fit_rates(cells, shares, budget, 1.0 if keep_all else 0.0, most, further=360 if keep_all else 0)
     # one row for each used posterior of the grid: a bounded table
     rates = cells.select("mix_cell", "posterior", fit.rate(F.col("posterior")).alias("rate"))
     rated = celled.join(F.broadcast(rates), "mix_cell").drop("mix_cell")
