@@ -185,6 +185,17 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+LONG = ("words of a sentence " * 12).strip()
+
+
+def test_main_keeps_its_text_beside_teaser_articles():
+    cards = "".join(f"<article><p>Card {i}, read on</p></article>" for i in range(3))
+    got = main_text(f"<body><main><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{cards}</main></body>").split("\n")
+    assert got[:4] == ["Title", LONG, LONG, LONG]
+    got = main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><article><p>A card</p></article></div></body>")
+    assert got.split("\n")[:3] == [LONG] * 3
+
+
 def test_extract_pages_keeps_rows(spark):
     rows = [(i, "u", h, "t", 3) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], "t", 3), (None, None, "<p>z", "t", 3)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

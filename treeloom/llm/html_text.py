@@ -165,12 +165,11 @@ def content_lines(lines: list, names: dict[int, str], cover: float = 0.9) -> lis
         for number in around:
             held[number] = held.get(number, 0) + weight
     total = sum(weights)
-    marked = [n for n in held if names[n] in ("article", "main")]
-    articles = [n for n in marked if names[n] == "article"] or marked
-    if articles and max(held[n] for n in articles) > 0:
-        # the outermost articles; several make up a page together
-        chosen = {n for n in articles}
-        return [text for text, *_, around in lines if chosen.intersection(around)]
+    for kind in ("article", "main"):  # several make up a page together
+        chosen = {n for n in held if names[n] == kind}
+        own = sum(w for w, (*_, around) in zip(weights, lines, strict=True) if chosen.intersection(around))
+        if own > 0 and own >= cover * total:
+            return [text for text, *_, around in lines if chosen.intersection(around)]
     region = max((n for n in held if held[n] >= cover * total and names[n] not in ("p", "b", "i", "span", "a")), default=0)
     inside = [(line, w) for line, w in zip(lines, weights, strict=True) if not region or region in line[3]]
     return [text for (text, _, linked, _), w in inside if w or linked <= 0.6 * len(text)]
