@@ -196,6 +196,20 @@ def test_main_keeps_its_text_beside_teaser_articles():
     assert got.split("\n")[:3] == [LONG] * 3
 
 
+@pytest.mark.parametrize(
+    "names", ["wrapper has-sidebar", "content-side", "layout-with-nav", "entry-header", "post tags-linux", "no-sidebar", "sidebar", "related", "widget"]
+)
+def test_a_marked_wrapper_does_not_drop_the_page(names):
+    page = f"<body><nav>menu</nav><div class='{names}'><article><h1>Title</h1><p>{LONG}</p></article></div><div class=ad>buy</div></body>"
+    assert main_text(page) == f"Title\n{LONG}"
+    assert main_text(page.replace("article>", "section>")) == f"Title\n{LONG}"
+
+
+def test_headline_in_a_marked_element_of_an_article():
+    assert main_text(f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><div class='post-comments'>nice</div></article>") == f"Title\n{LONG}"
+    assert main_text(f"<article class=post><p>{LONG}</p></article><div id=comments><p>{LONG}</p><p>{LONG} twice</p></div>") == LONG
+
+
 def test_extract_pages_keeps_rows(spark):
     rows = [(i, "u", h, "t", 3) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], "t", 3), (None, None, "<p>z", "t", 3)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

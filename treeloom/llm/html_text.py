@@ -4,11 +4,13 @@ The standard library's parser sends start tags, end tags and text; the page is n
 as a tree.  Block-level tags end a line; every line knows its text, the number of tags it
 took and the elements that enclose it.  The text-to-tag ratios of a page's lines are
 smoothed with a Gaussian, and lines above a threshold form the content clusters.  The
-innermost element that holds nearly all clustered text is the content region, and an
-``article`` or ``main`` element is one by itself; the region's lines are the result, short
-ones too.  Lines inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, mark-up and reader comments never count: they are known by their
-element, role or class.
+content region holds nearly all clustered text: the page's ``article`` elements together,
+else its ``main``, where they do, or else the innermost element that does.  The region's
+lines are the result, short ones too.  Lines inside menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, mark-up and reader comments don't count: they are
+known by their element, role or class.  A mark of layout in a class ends at an ``article``
+or ``main`` inside, and a mark is not believed where its element holds most of the page's
+text.
 
 A null or empty page gives an empty text.  Unclosed and stray tags are put up with.
 Character references are decoded; white space inside a line becomes one blank.
@@ -44,24 +46,50 @@ SCOPE = frozenset("article aside body div dl footer form header html main nav ol
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Marks in class or id, as whole words between blanks, "-" and "_".
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|sidebars?|"
-    r"side|aside|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|comments?|replies|reply|respond|disqus|"
-    r"footer|foot|header|masthead|topbar|related|recommend\w*|newsletter|subscribe|subscription|signup|login|popup|"
-    r"modal|overlay|widgets?|toolbar|pagination|pager|skip|hidden|copyright|disclaimer|tags|byline-ad)(?:$|[\s_-])",
+    r"ads?|adsense|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|breadcrumbs?|share|sharing|social|"
+    r"comments?|replies|reply|respond|disqus|related|recommend\w*|newsletter|subscribe|subscription|signup|login|popup|modal|"
+    r"overlay|widgets?|toolbar|pagination|pager|skip|hidden|copyright|disclaimer|tags",
     re.I,
 )
+#: Marks that may also name a place in a layout that holds content.
+LAYOUT = re.compile(r"banner|sidebars?|side|aside|menus?|nav|navbar|navigation|footer|foot|header|masthead|topbar", re.I)
+COMMENTS = re.compile(r"comments?|replies|reply|respond|disqus", re.I)
+#: Beside these a mark of layout says nothing, and an element whose class is one is marked by whole classes only.
+CONTENT = re.compile(r"articles?|body|content|entry|hentry|layout|main|page|post|story|text|wrap|wrapper|container", re.I)
+BEFORE = frozenset("has have no not with without".split())
 #: Containers that hold content whatever their marks say.
 KEPT = frozenset(("html", "body", "article", "main"))
 WHITE = re.compile(r"\s+")
 
 
+def mark_of(names: str) -> str | None:
+    """What a class or id says of its element: ``comments``, ``noise``, ``layout`` or nothing."""
+    words = [w for w in names.split() if w]
+    content, found = any(map(CONTENT.fullmatch, words)), set()
+    for word in words:
+        parts = [p for p in re.split("[_-]", word) if p]
+        beside = content or any(map(CONTENT.fullmatch, parts))
+        for before, part in zip([word, *parts], parts):
+            if before in BEFORE and before != word or content and len(parts) > 1:
+                continue
+            if MARKS.fullmatch(part):
+                found.add("comments" if COMMENTS.fullmatch(part) else "noise")
+            elif LAYOUT.fullmatch(part) and not beside:
+                found.add("layout")
+    return next((kind for kind in ("comments", "noise", "layout") if kind in found), None)
+
+
 class LineCollector(HTMLParser):
-    """Turns events into lines: ``(text, tags, linked characters, enclosing elements)``."""
+    """Turns events into lines: ``(text, tags, linked characters, enclosing elements)``.
 
-    def __init__(self):
+    ``kept``: numbers of elements whose marks are not believed.
+    """
+
+    def __init__(self, kept: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.kept, self.marked, self.kinds = kept, {}, {}
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # name, number, whether its text is dropped
+        self.open: list[tuple[str, int, int]] = []  # name, number, the marked element that drops its text; -1: dropped for good
         self.names: dict[int, str] = {}
         self.count = self.tags = self.linked = self.links = 0
         self.text: list[str] = []
@@ -74,22 +102,28 @@ class LineCollector(HTMLParser):
                 self.tags = 0
             self.text, self.linked = [], 0
 
-    def _noise(self, tag: str, attrs: list) -> bool:
+    def _noise(self, tag: str, attrs: list) -> int:
+        """0, -1 or the new element's number, as in ``open``."""
         if tag in DROPPED:
-            return True
+            return -1
         inside = {name for name, _, _ in self.open}
         if tag == "header":
-            return "article" not in inside
+            return 0 if "article" in inside else -1
         given = {k: v or "" for k, v in attrs}
         if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in ROLES:
-            return tag not in ("html", "body")
+            return 0 if tag in ("html", "body") else -1
         marks = f"{given.get('class', '')} {given.get('id', '')}"
-        if tag == "article":  # reader comments are often articles
-            return bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", marks, re.I))
-        return tag not in KEPT and len(marks) > 1 and bool(MARKS.search(marks))
-
-    def _dropping(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+        if len(marks) == 1 or self.count in self.kept:
+            return 0
+        kind = mark_of(marks)
+        # reader comments are often articles
+        if kind is None or tag in KEPT and not (tag == "article" and kind == "comments"):
+            return 0
+        self.kinds[self.count] = kind
+        return self.count
+
+    def _dropping(self) -> int:
+        return self.open[-1][2] if self.open else 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -108,7 +142,11 @@ class LineCollector(HTMLParser):
                 break
         self.count += 1
         self.names[self.count] = tag
-        self.open.append((tag, self.count, self._dropping() or self._noise(tag, attrs)))
+        above = self._dropping()
+        if tag in ("article", "main") and self.kinds.get(above) == "layout":
+            above = 0
+        own = self._noise(tag, attrs) if above >= 0 else 0
+        self.open.append((tag, self.count, -1 if own < 0 else above or own))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -135,7 +173,10 @@ class LineCollector(HTMLParser):
         del self.open[k:]
 
     def handle_data(self, data: str) -> None:
-        if not self._dropping():
+        by = self._dropping()
+        if by > 0:
+            self.marked[by] = self.marked.get(by, 0) + len(data.strip())
+        if not by:
             self.text.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -179,11 +220,20 @@ def main_text(html: str | None) -> str:
     """The main text of one page, lines joined by a line feed."""
     if not html:
         return ""
-    collector = LineCollector()
-    collector.feed(html)
-    collector.close()
-    collector.flush()
-    return "\n".join(content_lines(collector.lines, collector.names))
+    kept: frozenset[int] = frozenset()
+    while True:
+        collector = LineCollector(kept)
+        collector.feed(html)
+        collector.close()
+        collector.flush()
+        # a marked element with most of the text (nearly all, beside an article) is no notice or side column; comments may be long
+        own = sum(len(text) for text, *_ in collector.lines)
+        every = own + sum(collector.marked.values())
+        share = 0.9 if any(collector.names[n] in ("article", "main") for *_, around in collector.lines for n in around) else 0.5
+        large = {n for n, size in collector.marked.items() if size > share * every and (collector.kinds[n] != "comments" or not own)}
+        if not large:
+            return "\n".join(content_lines(collector.lines, collector.names))
+        kept |= large
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
