@@ -72,6 +72,44 @@ def test_near_duplicates_edge_cases(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def chained_copies(n, n_words, edits, seed):
+    """Copies of one text with some of a few edits each: many lie near each other, fewer near the text itself."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(n_words)]
+    changes = [(rng.randrange(n_words), f"c{k}") for k in range(edits)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at, word in rng.sample(changes, rng.choice([0, 1, 2, 3, 5, 8])):
+            words[at] = word
+        if i % 3 == 0:
+            words[rng.randrange(n_words)] = f"own{i}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80), (1, 94)])
+def test_a_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, k, percent):
+    from treeloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 20)  # so that hubs, buckets and shingles of this group are spread
+    texts = chained_copies(260, 90, 14, k) + [(1000 + i, t) for i, t in chained_copies(120, 40, 9, 7 + k)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, texts), k, percent).collect()}
+    want = brute_components(texts, k, percent)
+    assert len({c for _, c in want.values()}) > 4 and got == want
+
+
+def test_words_with_equal_crc_are_different_words(spark):
+    texts = [(1, "yhcbdjwhj one two three"), (2, "cfmwjcitz one two three")]
+    assert zlib.crc32(b"yhcbdjwhj") == zlib.crc32(b"cfmwjcitz")
+    assert all(r.kept for r in near_duplicates(frame(spark, texts), 3, 50).collect())
+
+
+def test_one_id_with_several_texts(spark):
+    rows = near_duplicates(frame(spark, [(5, "a b c d"), (5, "e f g h"), (5, "a b c d"), (9, "e f g h"), (10, "x y z")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(5, 5), (5, 5), (5, 5), (9, 5), (10, 10)]
+
+
 def pairs_at_threshold(pairs, n_words, changed, seed):
     """Groups of two texts that differ in their last words; no word occurs in two groups."""
     rng = random.Random(seed)

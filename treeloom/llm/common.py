@@ -1,4 +1,4 @@
-"""Shared helpers: table access, lineage cuts, ASCII lower-casing, column hygiene."""
+"""Shared helpers: table access, lineage cuts, joins with hot keys, ASCII lower-casing."""
 
 from __future__ import annotations
 
@@ -28,6 +28,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot with more than this share of all rows (one in ``HOT_PARTS``), and with more than ``HOT_LEAST`` rows.
+HOT_PARTS, HOT_LEAST = 1000, 1000
+
+
+def hot_keys(counts: DataFrame, key: str) -> dict[int, int]:
+    """Hot values of a long column and the number of parts that each needs, from ``counts`` (``key, count``).
+
+    Fewer than ``HOT_PARTS`` keys can each hold more than that share, so the result is bounded.
+    """
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    part = max(HOT_LEAST, total // HOT_PARTS)
+    return {r[key]: -(-r["count"] // part) for r in counts.where(F.col("count") > part).select(key, "count").collect()}
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: dict[int, int], by: str, how: str = "inner") -> DataFrame:
+    """``many.join(one, key)`` where rows of a hot key are spread by ``by``; ``one`` is repeated for each of its parts."""
+    if not hot:
+        return many.join(one, key, how)
+    parts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col(key)], F.lit(1))
+    spread = many.withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    repeated = one.withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.join(repeated, [key, "hot_part"], how).drop("hot_part")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -11,8 +11,10 @@ pairs are formed, so only documents that share a value on both sides are expande
 
 Inside a table's bucket all members are compared with one hub, the member that meets most
 others (a star, linear in the bucket).  Members that are in different components after that
-are compared with each other where their differences from the hub allow a link (see
-``loose_pairs``; no link is lost by it).  Every comparison runs on full shingle sets.
+are compared with each other where their differences from the hub allow a link: a prefix
+join over the differing shingles, which loses none (see ``loose_pairs``).  Every comparison
+runs on full shingle sets.  Buckets, hubs, shingles and classes of copies that hold more
+than a thousandth of the rows are spread over several tasks (``salted_join``).
 
 Words are runs of non-blank bytes after lower-casing A-Z; a text with fewer words than a
 shingle has one shingle, the whole sequence; a null text or one without words has an
@@ -22,17 +24,15 @@ empty set and is linked with nothing.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-_MASK = (1 << 64) - 1
+from .common import cut, hot_keys, salted_join
 
 
 def _odd_constants(n: int, seed: int) -> np.ndarray:
@@ -46,6 +46,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _set_hash(items: np.ndarray) -> int:
+    return int(_mix(items * np.uint64(3)).sum(dtype=np.uint64).view(np.int64))
+
+
 class Shingler:
     """Distinct shingle hashes of a text; word hashes are memoised up to a fixed number of words."""
 
@@ -56,8 +60,7 @@ class Shingler:
     def _word(self, word: bytes) -> int:
         if len(self.seen) >= self.memo:
             self.seen.clear()
-        low = zlib.crc32(word)
-        value = (low | zlib.crc32(word, low ^ 0x5BD1E995) << 32) ^ (len(word) * 0x9E3779B97F4A7C15 & _MASK)
+        value = xxhash.xxh3_64_intdigest(word)
         self.seen[word] = value
         return value
 
@@ -106,8 +109,11 @@ def near_duplicates(
     itself meets in no table with a chance of at most 0.0001 (85: 14 tables, 0.00007; 80:
     19 tables, 0.00009); pairs above it are missed less.
 
-    Repeated rows are each returned, with the same component.  A row without a doc_id is
-    in no component and is kept.  Extra columns are ignored; an empty table gives no rows.
+    Repeated rows are each returned, with the same component.  Where rows of one doc_id have
+    different texts, each gets the component of its own text; if several of them stand for
+    their copies, the one with the smallest set hash is compared with other documents.  A
+    row without a doc_id is in no component and is kept.  Extra columns are ignored; an
+    empty table gives no rows.
     """
     tables = tables_for(percent, rows) if tables is None else tables
     mul, add = _odd_constants(2 * tables * rows, seed), _odd_constants(2 * tables * rows, seed + 1)
@@ -120,7 +126,7 @@ def near_duplicates(
             for text in b["text"]:
                 s = shingles(text)
                 n.append(len(s))
-                set_a.append(int(_mix(s * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
+                set_a.append(_set_hash(s))
                 set_b.append(int(np.bitwise_xor.reduce(_mix(s + np.uint64(77))).view(np.int64)) if len(s) else 0)
                 bands.append(_bands(s, mul, add, rows, weights) if len(s) else [])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": n, "set_a": set_a, "set_b": set_b, "bands": bands})
@@ -130,88 +136,102 @@ def near_duplicates(
         source.mapInPandas(featurise, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
     )
     same_set = ["set_a", "set_b", "n_shingles"]
-    classes = (
-        features.where("n_shingles > 0 and doc_id is not null")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = cut(
+        features.where(linkable)
         .groupBy(*same_set)
-        .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("count"), F.min_by("bands", "doc_id").alias("bands"))
     )
-    classes = cut(classes)
 
-    met = cut(table_buckets(classes, tables))
-    sets = cut(shingle_sets(source, met.select(F.col("rep").alias("doc_id")).distinct(), shingle))
+    speakers = cut(classes.groupBy("rep").agg(F.min("set_a").alias("set_a"), F.min_by("bands", "set_a").alias("bands")))
 
-    # every bucket has one hub, the member that meets most others; all members are compared with it
-    counts = met.groupBy("key").count()
-    central = met.join(counts, "key").groupBy("rep").agg(F.sum("count").alias("meets"))
-    hubs = met.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
-    stars = met.join(hubs, "key").where("rep != hub").select("hub", "rep").distinct()
-    compared = cut(common_shingles(stars, sets))
-    links = compared.where(alike(percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    found = components(links)
+    stars = cut(star_pairs(speakers, tables))
+    around = hot_keys(stars.groupBy("hub").count(), "hub")
+    met = stars.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct()
+    sets = cut(shingle_sets(source, speakers.join(met, "rep").select(F.col("rep").alias("doc_id"), "set_a"), shingle))
+    compared = cut(common_shingles(stars, sets, around))
+    found = components(compared.where(alike(percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
 
-    more = common_shingles(cut(loose_pairs(compared, found, sets, percent)), sets, "a", "b")
-    more = cut(more.where(alike(percent, "a", "b")).select("a", "b"))
+    loose = cut(loose_pairs(compared, found, sets, percent, around))
+    often = hot_keys(loose.groupBy("a").count(), "a")
+    more = cut(common_shingles(loose, sets, often, "a", "b").where(alike(percent, "a", "b")).select("a", "b"))
     if not more.isEmpty():
-        found = components(links.union(more))
+        renamed = more.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left")
+        merged = components(renamed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b"))
+        every = found.union(more.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("component")))
+        found = cut(
+            every.groupBy("node").agg(F.min("component").alias("was"))
+            .join(merged.toDF("was", "now"), "was", "left")
+            .select("node", F.coalesce("now", "was").alias("component"))
+        )
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         *same_set, F.coalesce("component", "rep").alias("component_id")
     )
+    # copies of one text: a class with many rows is spread
+    many = hot_keys(classes.select("set_a", "count").groupBy("set_a").agg(F.sum("count").alias("count")), "set_a")
+    spread = features.where(linkable).select("doc_id", *same_set, F.rand(seed).alias("by"))
+    placed = salted_join(
+        spread, named.withColumnsRenamed({"set_b": "other_b", "n_shingles": "other_n"}), "set_a", many, "by"
+    ).where("set_b = other_b and n_shingles = other_n")
+    alone = features.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
-        features.select("doc_id", *same_set)
-        .join(named, same_set, "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
+        placed.select("doc_id", "n_shingles", "component_id")
+        .union(alone)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def table_buckets(classes: DataFrame, tables: int) -> DataFrame:
-    """``key, rep``: representatives by table key, without those that are alone in their bucket."""
+def star_pairs(classes: DataFrame, tables: int) -> DataFrame:
+    """``hub, rep``: in each table's bucket every representative beside the one that meets most others.
+
+    Representatives that share a band value with nobody on one of the sides, and those that
+    are alone in their bucket, don't occur.
+    """
     left = F.col("nth") < tables
-    posted = classes.select("rep", F.posexplode("bands").alias("nth", "value"))
-    several = lambda df, *by: df.groupBy(*by).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(*by)  # noqa: E731, E501
+    posted = classes.select("rep", F.posexplode("bands").alias("nth", "value")).select(
+        "rep", "nth", F.xxhash64("nth", "value").alias("band")
+    )
+    several = lambda df, key: cut(df.groupBy(key).agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("count")).where("low < high").select(key, "count"))  # noqa: E731, E501
+    shared = several(posted, "band")
     sides = (
-        posted.join(several(posted, "nth", "value"), ["nth", "value"])
+        salted_join(posted, shared.select("band"), "band", hot_keys(shared, "band"), "rep")
         .groupBy("rep")
-        .agg(
-            F.collect_set(F.when(left, F.struct("nth", "value"))).alias("left"),
-            F.collect_set(F.when(~left, F.struct("nth", "value"))).alias("right"),
-        )
+        .agg(F.collect_set(F.when(left, F.col("band"))).alias("left"), F.collect_set(F.when(~left, F.col("band"))).alias("right"))
     )
     keys = cut(
         sides.select("rep", F.explode("left").alias("l"), "right")
         .select("rep", "l", F.explode("right").alias("r"))
-        .select("rep", F.xxhash64("l.nth", "l.value", "r.nth", "r.value").alias("key"))
+        .select("rep", F.xxhash64("l", "r").alias("key"))
     )
-    return keys.join(several(keys, "key"), "key")
+    shared = several(keys, "key")
+    hot = hot_keys(shared, "key")
+    met = cut(salted_join(keys, shared, "key", hot, "rep"))
+    central = met.groupBy("rep").agg(F.sum("count").alias("meets"))
+    hubs = met.join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
+    return salted_join(met.select("key", "rep"), hubs, "key", hot, "rep").where("rep != hub").select("hub", "rep").distinct()
 
 
 def shingle_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, items`` (sorted shingle hashes) of the wanted documents."""
+    """``doc_id, items`` (sorted shingle hashes) of the wanted documents' texts (``doc_id, set_a``)."""
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(shingle)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "items": [shingles(t).view(np.int64) for t in b["text"]]})
+            own = [shingles(t) for t in b["text"]]
+            right = [_set_hash(s) == h for s, h in zip(own, b["set_a"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"][right], "items": [s.view(np.int64) for s, r in zip(own, right, strict=True) if r]})
 
-    return (
-        source.join(wanted, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .mapInPandas(to_sets, "doc_id long, items array<long>")
-    )
+    return source.join(wanted, "doc_id").mapInPandas(to_sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"])
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame, hot: dict[int, int], a: str, b: str) -> DataFrame:
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("items").alias(f"items_{name}"))
-    return pairs.join(side(a), a).join(side(b), b)
+    return salted_join(pairs.join(side(b), b), side(a), a, hot, b)
 
 
-def common_shingles(pairs: DataFrame, sets: DataFrame, a: str = "hub", b: str = "rep") -> DataFrame:
-    """``a, b`` with the sizes of both full sets and of their intersection."""
+def common_shingles(pairs: DataFrame, sets: DataFrame, hot: dict[int, int], a: str = "hub", b: str = "rep") -> DataFrame:
+    """``a, b`` with the sizes of both full sets and of their intersection; ``hot``: values of ``a`` in many pairs."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -219,7 +239,7 @@ def common_shingles(pairs: DataFrame, sets: DataFrame, a: str = "hub", b: str =
             both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)]
             yield pd.DataFrame({a: rows[a], b: rows[b], f"n_{a}": x.map(len), f"n_{b}": y.map(len), "both": both})
 
-    return _with_sets(pairs.select(a, b), sets, a, b).mapInPandas(
+    return _with_sets(pairs.select(a, b), sets, hot, a, b).mapInPandas(
         compare, f"{a} long, {b} long, n_{a} long, n_{b} long, both long"
     )
 
@@ -228,65 +248,87 @@ def alike(percent: int, a: str = "hub", b: str = "rep") -> str:
     return f"100 * both >= {percent} * (n_{a} + n_{b} - both)"
 
 
-def loose_pairs(compared: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of one hub's members that may be linked though the components keep them apart.
+def loose_pairs(compared: DataFrame, found: DataFrame, sets: DataFrame, percent: int, around: dict[int, int]) -> DataFrame:
+    """``a, b``: pairs of one hub's members that may be linked though the components keep them apart.
+
+    Let ``D`` be the shingles in which a member differs from its hub (those that it adds and
+    those that it lacks), ``d`` their number, ``n`` the size of its set.  Two members differ
+    in ``d + d' - 2 |D and D'|`` shingles, and a link allows ``q (n + n')`` with
+    ``q = (100 - percent) / (100 + percent)``.  So a link needs an overlap of
+    ``o = (s + s') / 2`` with ``s = d - q n``.  Members of different components can't both
+    be linked to the hub; one is loose, which means ``s > q n_hub``.  From this follow
+
+    * ``o >= 1``: the two share a shingle of their ``D``;
+    * for a member beside a loose one ``o > (s + q n_hub) / 2``;
+    * for a loose one beside anyone ``o >= (s - q n_hub) / (1 + q)``, as ``n' <= n_hub + d'``
+      and ``o <= d'``.
 
-    Against its hub a member has ``more`` shingles (that the hub lacks) and ``less`` (that it
-    lacks).  Two members that share none of their added shingles differ in at least
-    ``more + more' + |less - less'|``, and a link allows a difference of
-    ``(100 - percent) / (100 + percent)`` of both sizes.  So every link is among the pairs
-    that share an added shingle, or among those few whose numbers alone allow it; the
-    latter are found by classes of equal numbers, not by member.
+    Only shingles met in several components can be shared.  They are ordered from rare to
+    common, and by the prefix principle a pair that shares ``o`` of them shares one among
+    all but the last ``o - 1`` of either; its first one leaves room for the others behind it.
     """
-    members = compared.select(
-        "hub", "rep", "n_hub", F.col("n_rep").alias("n"), (F.col("n_rep") - F.col("both")).alias("more"), (F.col("n_hub") - F.col("both")).alias("less")
+    over, under = 100 + percent, 100 - percent  # all figures below are times ``over``
+    component = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+    members = salted_join(compared.join(component("rep"), "rep", "left"), component("hub"), "hub", around, "rep", "left").select(
+        "hub", "rep", F.col("n_rep").alias("n"), (F.col("n_hub") + F.col("n_rep") - 2 * F.col("both")).alias("d"),
+        (under * F.col("n_hub")).alias("h"), (~F.expr(alike(percent))).alias("loose"),
+        F.coalesce("c_rep", "rep").alias("component"), (F.coalesce("c_rep", "rep") != F.coalesce("c_hub", "hub")).alias("apart"),
+    )
+    members = cut(members.withColumn("s", over * F.col("d") - under * F.col("n")))
+    apart = members.where("apart").select("hub").distinct()
+    members = salted_join(members, apart, "hub", around, "rep").drop("apart")
+
+    def differing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            own = [np.setxor1d(s, t, assume_unique=True) for s, t in zip(rows["items_hub"], rows["items_rep"], strict=True)]
+            long = np.array([len(i) for i in own], dtype=np.int64)
+            columns = {c: np.repeat(rows[c].to_numpy(), long) for c in ("hub", "rep", "component")}
+            yield pd.DataFrame(columns | {"item": np.concatenate([*own, np.empty(0, np.int64)])})
+
+    posted = cut(
+        _with_sets(members.select("hub", "rep", "component"), sets, around, "hub", "rep")
+        .mapInPandas(differing, "hub long, rep long, component long, item long")
+        .select("hub", "rep", "component", F.xxhash64("hub", "item").alias("spot"))
     )
-    itself = members.select("hub", F.col("hub").alias("rep"), "n_hub", F.col("n_hub").alias("n"), F.lit(0).cast("long").alias("more"), F.lit(0).cast("long").alias("less")).distinct()
-    named = (
-        members.union(itself)
-        .join(found, F.col("rep") == F.col("node"), "left")
-        .select("hub", "rep", "n", "more", "less", F.coalesce("component", "rep").alias("component"))
+    shared = cut(
+        posted.groupBy("spot")
+        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("count"))
+        .where("c0 < c1")
+        .select("spot", "count")
     )
-    apart = named.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("hub")
-    named = cut(named.join(apart, "hub"))
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    pair = (F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-
-    # by numbers alone
-    kinds = named.groupBy("hub", "n", "more", "less").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    x, y = kinds.alias("x"), kinds.alias("y")
-    close = x.join(
-        y,
-        F.expr(f"""x.hub = y.hub and struct(x.more, x.less) <= struct(y.more, y.less) and {fits}
-            and (x.c0 < y.c1 or y.c0 < x.c1)
-            and {100 + percent} * (x.more + y.more + abs(x.less - y.less)) <= {100 - percent} * (x.n + y.n)"""),
-    ).select("x.hub", F.col("x.more").alias("xm"), F.col("x.less").alias("xl"), F.col("y.more").alias("ym"), F.col("y.less").alias("yl"))
-    x, y = named.alias("x"), named.alias("y")
-    by_numbers = (
-        close.alias("c")
-        .join(x, F.expr("c.hub = x.hub and c.xm = x.more and c.xl = x.less"))
-        .join(y, F.expr("c.hub = y.hub and c.ym = y.more and c.yl = y.less and x.component != y.component"))
-        .select(*pair)
+    hot = hot_keys(shared, "spot")
+    listed = (
+        salted_join(posted.select("hub", "rep", "spot"), shared, "spot", hot, "rep")
+        .groupBy("hub", "rep")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "spot"))).alias("spots"))
+        .join(members, ["hub", "rep"])
+        .withColumn("m", F.size("spots"))
     )
+    needs = lambda bound: F.greatest(F.lit(1), F.ceil(bound)).cast("int")
+    beside_loose = needs((F.col("s") + F.col("h") + 1) / (2 * over))
+    beside_any = needs((F.col("s") - F.col("h")) / 200)
+
+    def prefix(rows: DataFrame, least: Column) -> DataFrame:
+        kept = rows.withColumn("least", least).where("m >= least")
+        cut_off = F.slice("spots", F.lit(1), F.col("m") - F.col("least") + 1)
+        return kept.select("rep", "n", "d", "s", "m", "component", "loose", F.posexplode(cut_off).alias("at", "spot")).select(
+            "rep", "n", "d", "s", (F.col("m") - F.col("at")).alias("behind"), "component", "loose", "spot.spot"
+        )
 
-    # by an added shingle
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            new = [np.setdiff1d(t, s, assume_unique=True) for s, t in zip(rows["items_hub"], rows["items_rep"], strict=True)]
-            long = np.array([len(i) for i in new], dtype=np.int64)
-            columns = {c: np.repeat(rows[c].to_numpy(), long) for c in ("hub", "rep", "n", "component")}
-            yield pd.DataFrame(columns | {"item": np.concatenate([*new, np.empty(0, np.int64)])})
-
-    posted = cut(
-        _with_sets(named.where("rep != hub").select("hub", "rep", "n", "component"), sets, "hub", "rep").mapInPandas(
-            added, "hub long, rep long, n long, component long, item long"
+    listed = cut(listed)
+    x, y = prefix(listed.where("loose"), beside_any), prefix(listed, beside_loose)
+    renamed = x.select("spot", *[F.col(c).alias(f"x_{c}") for c in x.columns if c != "spot"])
+    return (
+        salted_join(y, renamed, "spot", hot, "rep")
+        .where(
+            f"""component != x_component and (not loose or x_rep < rep)
+            and 100 * least(n, x_n) >= {percent} * greatest(n, x_n)
+            and {over} * abs(d - x_d) <= {under} * (n + x_n)
+            and {2 * over} * least(behind, x_behind) >= s + x_s"""
         )
+        .select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
+        .distinct()
     )
-    shared = posted.groupBy("hub", "item").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    few = cut(posted.join(shared.select("hub", "item"), ["hub", "item"]))
-    x, y = few.alias("x"), few.alias("y")
-    by_item = x.join(y, F.expr(f"x.hub = y.hub and x.item = y.item and x.component < y.component and {fits}")).select(*pair)
-    return by_numbers.union(by_item).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
