@@ -154,6 +154,31 @@ def test_packing_is_a_partition_of_the_tokens(spark):
     assert pk.pack_documents(frame.where("false"), tokenizer_path()).count() == 0
 
 
+def test_ids_are_the_tokenizers_on_any_text():
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        own = pk.MemoTokenizer(f.read())
+    rng = random.Random(12)
+    letters = [chr(c) for c in (*range(0x180, 0x250), *range(0x20, 0x7F), *range(0xA0, 0x180), 0x212A, 0x2126, 0x2019, 0x85, 0x1C, 0x301, 0x3A3, 0x1E9E)]
+    texts = ["Əli", "ƁAƁA", "<|endoftext|> a", "don'T", "\u2000x", *("".join(rng.choices(letters, k=rng.randrange(1, 12))) for _ in range(6000))]
+    for text in texts:
+        assert np.frombuffer(own(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_bound_on_open_sequences_acts(spark, monkeypatch):
+    closed = []
+    take = pk.BoundedBestFit._take
+    monkeypatch.setattr(pk.BoundedBestFit, "_take", lambda self, free: (closed.append(self.open > self.limit), take(self, free))[1])
+    rng = random.Random(1)
+    bins = pk.BoundedBestFit(2048, 512)  # as registered: 8,192 rows of a group, one at a time
+    lengths = [rng.randrange(40, 2000) for _ in range(8192)]
+    for n in lengths:
+        bins.place(n)
+        assert bins.open <= 512
+    assert sum(closed) > 1000 and bins.bins <= 1.03 * sum(lengths) / 2048
+
+
 def test_packing_in_many_groups(spark):
     pieces = spark.range(4000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id * 37 % 255 as length", "id as ids_crc32")
     rows = pk.pack_pieces(pieces.selectExpr("doc_id", "cast(piece as int) piece", "start", "length", "ids_crc32"), 256, 1024, group_rows=400).collect()

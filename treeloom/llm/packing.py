@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
 Documents are tokenised and cut into pieces where they are read; only a row of numbers
-for each piece goes on.  Pieces are dealt to groups of bounded size; inside a group they
-arrive longest first and are placed by bounded-space best-fit: at most ``open_bins``
-sequences are open, a bitset holds the free spaces that open sequences have, the lowest
-set bit at or above a piece's length is the best fit, and when too many are open the
-fullest closes.  Sequences that stay badly filled at the end of the groups are taken
-apart and packed once more in fewer groups.
+for each piece goes on.  Pieces are dealt to groups of bounded size.  A group's packer takes
+them as they come, in an order that hashes give, by way of a buffer of ``2 * open_bins``
+pieces, which it empties longest first; a piece once placed stays.  Placing is bounded-space
+best-fit: at most ``open_bins`` sequences are open, far fewer than a group fills; a bitset
+holds the free spaces that open sequences have, the lowest set bit at or above a piece's
+length is the best fit, and when too many are open the fullest closes.  Sequences that stay
+badly filled at the end of the groups are taken apart and packed once more in fewer groups.
 
 A null text counts as empty: one piece with the end id alone.  Repeated rows are packed
 each; rows with a null id too.  Extra columns are ignored; an empty table gives no rows.
@@ -72,11 +73,13 @@ class MemoTokenizer:
         return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
 
     def __call__(self, text: str) -> bytes:
-        if (not text.isascii() or "<|" in text or _CONTROL.search(text)) and _OTHER.search(text):
+        lowered = text.lower()
+        plain = text.isascii() and "<|" not in text and not _CONTROL.search(text)
+        if not plain and (_OTHER.search(text) or _OTHER.search(lowered)):  # some capitals' small letters lie elsewhere
             return self._direct(text)
         if len(self.seen) > self.memo:
             self.seen.clear()
-        seen, words = self.seen, _WORD.findall(text.lower())
+        seen, words = self.seen, _WORD.findall(lowered)
         for new in set(words).difference(seen):
             seen[new] = self._word(new)
         return b"".join(map(seen.__getitem__, words))
@@ -154,7 +157,9 @@ def _pack_groups(pieces: DataFrame, groups: int, capacity: int, open_bins: int,
     """Pack in ``groups`` groups; sequence ids start at ``first`` times 2**40, a range for each group."""
 
     def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        own = own.sort_values(["arrival", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        buffer = own.index // (2 * open_bins)
+        own = own.iloc[np.lexsort((-own["length"].to_numpy(), buffer))]
         bins = BoundedBestFit(capacity, open_bins)
         placed = [bins.place(int(n)) for n in own["length"]]
         where = np.array(placed, np.int64).reshape(-1, 2)
@@ -163,13 +168,13 @@ def _pack_groups(pieces: DataFrame, groups: int, capacity: int, open_bins: int,
             sequence_id=(np.int64(first + int(key[0])) << 40) + where[:, 0], offset=where[:, 1], filled=filled[where[:, 0]]
         )[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "filled"]]
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
-    return pieces.groupBy(group.alias("pack_group")).applyInPandas(
+    dealt = pieces.withColumn("arrival", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()))
+    return dealt.groupBy(F.pmod("arrival", F.lit(groups)).alias("pack_group")).applyInPandas(
         pack, f"{PIECES}, sequence_id long, offset long, filled long"
     )
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 16_384, group_rows: int = 8192) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 512, group_rows: int = 8192) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; a row of ``pieces`` is read several times, so cut it before."""
     full = pieces.where(F.col("length") == capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
@@ -178,14 +183,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, open_bins: int = 16_384
     groups = max(1, rest.count() // group_rows)
     first = cut(_pack_groups(rest, groups, capacity, open_bins, 0))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    if groups == 1:
-        return full.select(keep).union(first.select(keep))
     loose = F.col("filled") < capacity - capacity // 16
     left = first.where(loose).drop("sequence_id", "offset", "filled")
     again = _pack_groups(left, max(1, left.count() // group_rows), capacity, open_bins, groups)
     return full.select(keep).union(first.where(~loose).select(keep)).union(again.select(keep))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 16_384) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, open_bins: int = 512) -> DataFrame:
     """Tokenise, cut and pack every row of ``docs``."""
     return pack_pieces(cut(tokenize_pieces(docs, tokenizer_path, capacity)), capacity, open_bins)
