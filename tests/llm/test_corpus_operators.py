@@ -9,7 +9,7 @@ import pytest
 
 from treeloom.llm import packing as pk
 from treeloom.llm.mixing import fit_rates, mix
-from treeloom.llm.neighbours import nearest_neighbours
+from treeloom.llm.neighbours import PermutationIndex, nearest_neighbours
 from treeloom.llm.quality import DIMENSIONS, Features, fit, grade_documents
 from treeloom.llm.queries import tokenizer_path
 
@@ -96,7 +96,7 @@ def test_neighbours_recall_and_order(spark):
     exact = [(r.vec_id, np.array(r.embedding, np.float64)) for r in frame.collect()]
     want = brute(exact, 50, 10)
     got = {}
-    for r in nearest_neighbours(frame, every=50, k=10, n_pivots=64, prefix=24, share=0.25, least_candidates=200, chunk_rows=400, block_rows=7).collect():
+    for r in nearest_neighbours(frame, every=50, k=10, chunk_rows=400, block_rows=7).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
     hits = 0
@@ -109,11 +109,32 @@ def test_neighbours_recall_and_order(spark):
     assert [i for _, i, _ in sorted(got[5000])] == list(range(5001, 5011))  # ties to smaller ids
 
 
+def test_the_index_with_registered_settings():
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(8192, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    index = PermutationIndex(vectors, 1024, 32)
+    assert len(index.owners) == 8192 * 32
+    lists = np.argsort(-(vectors @ vectors[:1024].T), axis=1, kind="stable")[:, :32]
+    place = np.full((8192, 1024), 32)
+    np.put_along_axis(place, lists, np.arange(32)[None, :].repeat(8192, 0), 1)
+    read, hits = [], []
+    for q in range(0, 8192, 128):
+        gain = index.nearer(index._nearest(vectors[q : q + 1])[0])
+        footrule = np.abs(place - place[q]).sum(axis=1)
+        assert (footrule == 32 * 33 - 2 * gain).all()
+        read.append(sum(index.starts[p + 1] - index.starts[p] for p in lists[q]))
+        (rows, _), = index.search(vectors[q : q + 1], round(0.2 * 8192))
+        hits.append(np.isin(np.argsort(-(vectors @ vectors[q]))[1:21], rows).mean())
+    assert np.mean(read) < 1.2 * 8192  # postings that a query meets, where all pairs of lists would be 32 times 8192
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_edge_cases(spark):
-    rows = [(0, [1.0, 0.0], 0), (20, [0.0, 0.0], 0), (1, [0.5, float("nan")], 0), (2, None, 0), (3, [1.0, None], 0), (4, [0.5, 0.5], 0), (4, [0.5, 0.5], 0), (None, [1.0, 1.0], 0), (5, [1.0], 0), (6, [-1.0, 0.0], 0)]
+    rows = [(0, [1.0, 0.0], 0), (20, [0.0, 0.0], 0), (1, [0.5, float("nan")], 0), (2, None, 0), (3, [1.0, None], 0), (4, [0.5, 0.5], 0), (4, [0.5, 0.5], 0), (None, [1.0, 1.0], 0), (5, [1.0], 0), (40, [2.0], 0), (6, [-1.0, 0.0], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest_neighbours(frame).collect()]
-    assert sorted(got) == [(0, 1, 4, 0.5), (0, 2, 6, -1.0)]
+    assert sorted(got) == [(0, 1, 4, 0.5), (0, 2, 6, -1.0), (40, 1, 5, 2.0)]
     assert nearest_neighbours(frame.where("false")).count() == 0
 
 
