@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
 from treeloom.llm import fingerprints as fp
 from treeloom.llm import secret_scan as ss
+from treeloom.llm import html_text as ht
 from treeloom.llm.html_text import extract_pages, main_text
-from treeloom.llm.license_rules import rules
+from treeloom.llm.license_rules import Rule, rules
 from treeloom.llm.license_scan import BASE, WORD, scan_licenses
 
 SCHEMA = "doc_id long, text string, spans string, rules int, bucket int, framed string"
@@ -50,14 +52,15 @@ def brute_detections(text):
     words = re.findall(WORD, lower(text or ""))
     framed = " " + "  ".join(words) + " "
     found = set()
-    for r in rules():
+    for n, r in enumerate(rules()):
         if r.keyword in framed:
             for m in re.finditer(r.pattern, framed):
                 first = framed[: m.start()].count(" ") // 2
-                found.add((first, first + m[0].count(" ") // 2 - 1, r.priority, r.label))
+                found.add((first, first + m[0].count(" ") // 2 - 1, r.priority, n, r.label))
 
     def covered(d):
-        return any(e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and e[1] - e[0] > d[1] - d[0]) for e in found)
+        rank = lambda x: (x[2], x[1] - x[0], -x[3])
+        return any(e[0] <= d[0] and e[1] >= d[1] and rank(e) > rank(d) for e in found)
 
     return sorted(d for d in found if not covered(d))
 
@@ -65,11 +68,33 @@ def brute_detections(text):
 def test_license_rules_equal_plain_python(spark):
     got = {r.doc_id: r.detections for r in scan_licenses(frame(spark, LICENSED[:5] + LICENSED[10:12])).collect()}
     for i, t in LICENSED[:5] + LICENSED[10:12]:
-        assert got[i] == ",".join(f"{label}:{a}:{b}" for a, b, _, label in brute_detections(t)), i
+        assert got[i] == ",".join(f"{label}:{a}:{b}" for a, b, _, _, label in brute_detections(t)), i
     labels = {r.doc_id: r.labels for r in scan_licenses(frame(spark, LICENSED)).collect()}
     assert "cc-by-nc-4.0" in labels[1] and "gpl-3.0-or-later" in labels[2] and labels[4] == "mit" and labels[8] == "" and "apache-2.0" in labels[10] and "bsd-3-clause" in labels[9]
 
 
+def example(pattern):
+    """The shortest text that a rule's pattern matches."""
+    plain = re.sub(r"\(\?: [^()]*\)(\?|\{0,\d+\})", "", pattern)
+    plain = re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", plain).replace("v?", "").replace("[^ ]+", "word")
+    return " ".join(plain.split())
+
+
+def test_every_rules_words_pass_the_prefilter(spark):
+    own = [*rules(), Rule("house", "house", " house  terms ", 30, 0.5), Rule("two", " own  house ", " own  house  rules ", 30, 0.5)]
+    texts = [(n, "It: " + example(r.pattern).upper().replace(" ", " - ")) for n, r in enumerate(own)]
+    assert all(re.search(r.pattern, f" {'  '.join(example(r.pattern).split())} ") for r in own)
+    got = {r.doc_id: r.detections for r in scan_licenses(frame(spark, texts), own).select("doc_id", "detections").collect()}
+    assert [n for n in got if not got[n]] == []
+    assert "bsd-3-clause" in scan_licenses(frame(spark, [(1, "Neither the name of X may be used to endorse or promote products")])).first().labels
+
+
+def test_empty_tables(spark):
+    empty = frame(spark, [])
+    assert scan_licenses(empty).count() == 0 and ss.scan(empty, [0.0] * len(ss.ALPHABET) ** 2).count() == 0
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_there_are_hundreds_of_rules():
     assert len(rules()) > 250 and all(re.compile(r.pattern) and r.keyword in r.pattern for r in rules())
 
@@ -210,6 +235,30 @@ def test_headline_in_a_marked_element_of_an_article():
     assert main_text(f"<article class=post><p>{LONG}</p></article><div id=comments><p>{LONG}</p><p>{LONG} twice</p></div>") == LONG
 
 
+def test_the_ratios_choose_the_region(monkeypatch):
+    menu = "".join(f"<li><a href=x>entry {i}</a></li>" for i in range(30))
+    page = f"<body><div><ul>{menu}</ul></div><div><h2><a href=y>Title</a></h2><p>{LONG}</p><p>{LONG}</p><p>End.</p></div><div><ul>{menu}</ul></div></body>"
+    assert main_text(page) == f"Title\n{LONG}\n{LONG}\nEnd."
+    smooth = ht.smoothed_ratios
+    monkeypatch.setattr(ht, "smoothed_ratios", lambda lines: 0 * smooth(lines))
+    assert [main_text(h) for h, _ in PAGES] == [""] * len(PAGES) and main_text(page) == ""
+
+
+def test_random_mark_up_never_crashes():
+    rng = random.Random(3)
+    parts = ["<", ">", "<![foo[bar", "<![CDATA[", "]]>", "<!", "<?", "<!--", "-->", "<p>", "</p>", "<div class='ad", "'", '"', "<article>", "</article>", "&#x", "&amp", "text ", "<script>", "</script>", "<a href=", "</", "<b/>", "<!DOCTYPE [", "=", "\0", "é", "<table><td>", "</table>"]
+    for _ in range(4000):
+        assert isinstance(main_text("".join(rng.choices(parts, k=rng.randrange(1, 25)))), str)
+    assert main_text("<p>x<![ foo") == "x" and main_text("<p>a<![foo[bar>b") == "ab"
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x", "</i><p>x", "<p><b>x", "<ul><li>x", "<table><td>x</b>", "<article>x", "<div class=ad><p>y"])
+def test_deep_pages_take_linear_time(piece):
+    began = time.process_time()
+    main_text(piece * 20_000)
+    assert time.process_time() - began < 5
+
+
 def test_extract_pages_keeps_rows(spark):
     rows = [(i, "u", h, "t", 3) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], "t", 3), (None, None, "<p>z", "t", 3)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()

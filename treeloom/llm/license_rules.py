@@ -13,25 +13,30 @@ a word after the other:
 =========  =====================================================
 
 ``V`` stands for one of a license's versions, written ``3.0``, ``3`` or ``v3``; a signature
-with ``V`` gives one rule for each version.  Later in the list means a lower priority
-within a group: notices stand above full names, names above short forms, and these above
-general remarks.
+with ``V`` gives one rule for each version.  Notices stand above full names, names above
+short forms, and these above general remarks.  Within a kind the longer detection stands
+above one inside it, and of two with the same words the rule earlier in the list.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import product
 from typing import NamedTuple
 
 
 class Rule(NamedTuple):
-    """``pattern`` is over words that are each set between two blanks."""
+    """``pattern`` is over words that are each set between two blanks; every match holds ``keyword``.
+
+    ``sure``: runs of words of which every match holds one, if more is known than the keyword.
+    """
 
     label: str
     keyword: str
     pattern: str
     priority: int
     weight: float
+    sure: tuple[str, ...] = ()
 
 
 NOTICE, NAME, SHORT, REMARK = 40, 30, 20, 10
@@ -217,12 +222,20 @@ license-notice | - | remark | licen | licensed|licenced under the? *
 license-notice | - | remark | licen | license|licence agreement
 """
 
-#: The words with which the prefilter finds texts worth taking apart: the stem of a license remark.
+#: The words with which the prefilter finds texts worth taking apart: the stem of a license remark.  A rule that
+#: none of them covers is found by its keyword (see ``license_scan.prefilter``).
 STEMS = ("licen[cs]", "copyright", "reproduced", "reserved", "redistribut", "warrant", "permission", "proprietary", "prohibited", "spdx",
          "unlicense", "wtfpl", "cc0", "0bsd", "agpl", "lgpl", "gpl", "gfdl", "cddl", "eupl", "odbl", "cecill", "waived", "exception",
          "creative", "mozilla", "apache", "clause", "itself", "altered", "advertising", "attribution")
 PAIRS = (("cc", "by"), ("public", "domain"), ("mpl",), ("epl",), ("osl",), ("afl",), ("asl",), ("commercial", "use"))
 
+def sure_runs(signature: str) -> tuple[str, ...]:
+    """For each choice of a signature's alternatives the words that a match must hold, a bar between words that may be apart."""
+    choices = [[w] if not (w in "V*" or w[0] == "~" or w[-1] == "?") else ["|"] for w in signature.split()]
+    choices = [c[0].split("|") if c != ["|"] else c for c in choices]
+    return tuple(" ".join(words) for words in product(*choices))
+
+
 PRIORITY = {"notice": NOTICE, "name": NAME, "short": SHORT, "remark": REMARK}
 
 
@@ -248,12 +261,12 @@ def _words(signature: str, version: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """All rules in their order; within a group of one kind an earlier rule has the higher priority."""
+    """All rules in their order."""
     out: list[Rule] = []
     lines = [line for line in SIGNATURES.strip().splitlines()]
     for line in lines:
         label, versions, kind, keyword, signature = re.split(r" \| ", line, maxsplit=4)
         for version in versions.split():
             priority = PRIORITY[kind]
-            out.append(Rule(label.replace("V", version) if version != "-" else label, keyword, _words(signature, version), priority, WEIGHT[priority]))
+            out.append(Rule(label.replace("V", version) if version != "-" else label, keyword, _words(signature, version), priority, WEIGHT[priority], sure_runs(signature)))
     return out

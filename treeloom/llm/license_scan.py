@@ -1,10 +1,11 @@
 """License scans by ordered signature rules.
 
-A prefilter (one alternation of stems, run where the text is read) passes the few texts
-that may hold a license remark.  Those are turned into their lower-cased words, each set
-between two blanks, and every rule whose keyword occurs is run on them.  Detections are
-intervals of words.  One that lies inside another of higher priority, or inside a longer
-one of the same priority, is suppressed; base phrases are always reported.  All of it
+A prefilter (one alternation made from the rules, run where the text is read) passes the
+few texts that may hold a license remark.  Those are turned into their lower-cased words,
+each set between two blanks, and every rule whose keyword occurs is run on them.
+Detections are intervals of words.  One that lies inside another of higher priority, inside
+a longer one of the same priority, or has the words of an earlier rule of the same
+priority, is suppressed; base phrases are always reported.  All of it
 happens inside the row, with built-in expressions: no shuffle, no Python.
 
 A null text is empty (no words, no labels, score 0).  Repeated rows and rows without an id
@@ -13,6 +14,7 @@ are each returned; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,12 +30,21 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: The same words in a text that isn't lower-cased, and what stands between words.
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_FOUND = "array<struct<first:int,last:int,priority:int,label:string,weight:double>>"
+_FOUND = "array<struct<first:int,last:int,priority:int,place:int,label:string,weight:double>>"
 
 
-def prefilter() -> str:
-    """One case-blind pattern that every text with a detection or a base phrase matches."""
-    return "(?i)" + "|".join((*STEMS, *(_BETWEEN.join(words) for words in PAIRS)))
+def prefilter(signatures: Sequence[Rule]) -> str:
+    """One case-blind pattern that every text with a detection or a base phrase matches.
+
+    It is made of the stems of license remarks and of the keywords of those rules that may
+    match without any of them.
+    """
+    found = [*STEMS, *(_BETWEEN.join(words) for words in PAIRS)]
+    known = re.compile("|".join(found).replace(_BETWEEN, " "))
+    for rule in signatures:
+        if not all(known.search(run) for run in rule.sure or (rule.keyword,)):
+            found.append(re.escape(rule.keyword.strip()).replace(r"\ ", _BETWEEN))
+    return "(?i)" + "|".join(dict.fromkeys(found))
 
 
 def _in_words(piece: Column) -> Column:
@@ -41,7 +52,7 @@ def _in_words(piece: Column) -> Column:
     return (F.length(piece) - F.length(F.translate(piece, " ", ""))).bitwiseAND(-2) / 2
 
 
-def _intervals(framed: Column, pattern: Column, priority: Column, label: Column, weight: Column) -> Column:
+def _intervals(framed: Column, pattern: Column, priority: Column, place: Column, label: Column, weight: Column) -> Column:
     """Word intervals ``first .. last`` of a pattern's matches."""
     found = F.regexp_extract_all(framed, pattern, F.lit(0))
     pieces = F.split(framed, pattern, -1)
@@ -52,8 +63,9 @@ def _intervals(framed: Column, pattern: Column, priority: Column, label: Column,
         first = (state["at"] + _in_words(row["p"])).cast("int")
         behind = (first + _in_words(row["m"])).cast("int")
         one = F.struct(
-            first.alias("first"), (behind - 1).alias("last"), priority.alias("priority"), label.alias("label"), weight.alias("weight")
-        )
+            first.alias("first"), (behind - 1).alias("last"), priority.alias("priority"), place.alias("place"),
+            label.alias("label"), weight.alias("weight"),
+        )
         return F.struct(behind.alias("at"), F.array_append(state["out"], one).alias("out"))
 
     return F.aggregate(rows, start, step, lambda state: state["out"])
@@ -67,23 +79,24 @@ def scan_licenses(docs: DataFrame, signatures: Sequence[Rule] | None = None) ->
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections`` for every row."""
     signatures = rules() if signatures is None else signatures
     text = whole_text()
+    columns = ("label", "keyword", "pattern", "priority", "weight")
     table = F.array(
-        *[F.struct(*[F.lit(v).alias(k) for k, v in (r._asdict() | {"priority": r.priority}).items()]) for r in signatures]
+        *[F.struct(F.lit(n).alias("place"), *[F.lit(getattr(r, c)).alias(c) for c in columns]) for n, r in enumerate(signatures)]
     )
     framed = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
     passed = docs.select(
         "doc_id",
         F.regexp_count(text, F.lit(_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(text.rlike(prefilter()), framed).alias("framed"),
+        F.when(text.rlike(prefilter(signatures)), framed).alias("framed"),
     )
 
     def of_rule(r: Column) -> Column:
-        hits = _intervals(F.col("framed"), r["pattern"], r["priority"], r["label"], r["weight"])
+        hits = _intervals(F.col("framed"), r["pattern"], r["priority"], r["place"], r["label"], r["weight"])
         return F.when(F.rlike(F.col("framed"), r["pattern"]), hits).otherwise(F.array().cast(_FOUND))
 
     gated = F.filter(table, lambda r: F.contains(F.col("framed"), r["keyword"]))
     base = F.concat(
-        *[_intervals(F.col("framed"), F.lit(_framed_phrase(p)), F.lit(0), F.lit(label), F.lit(0.5)) for p, label in BASE.items()]
+        *[_intervals(F.col("framed"), F.lit(_framed_phrase(p)), F.lit(0), F.lit(0), F.lit(label), F.lit(0.5)) for p, label in BASE.items()]
     )
     none = F.array().cast(_FOUND)
     seen = passed.select(
@@ -95,8 +108,9 @@ def scan_licenses(docs: DataFrame, signatures: Sequence[Rule] | None = None) ->
 
     def covers(e: Column, d: Column) -> Column:
         inside = (e["first"] <= d["first"]) & (e["last"] >= d["last"])
-        longer = (e["last"] - e["first"]) > (d["last"] - d["first"])
-        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & longer))
+        more = (e["last"] - e["first"]) - (d["last"] - d["first"])
+        above = (more > 0) | ((more == 0) & (e["place"] < d["place"]))
+        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & above))
 
     kept = seen.withColumn(
         "detections", F.sort_array(F.filter("all", lambda d: ~F.exists("all", lambda e: covers(e, d))))
