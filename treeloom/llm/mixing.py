@@ -2,10 +2,11 @@
 
 1. A naive Bayes classifier over the presence of words is trained from a labelled table
    (document, domain): at most ``sample_rows`` labelled documents, ``vocabulary`` words.  It
-   gives every document a posterior over the domains, tempered and rounded to a grid of
-   ``1 / grain``.
-2. Documents with the same posterior get the same rate, so tokens are first added up by
-   posterior: the table of cells is bounded by the grid, however large the corpus is.
+   gives every document a posterior over the domains, tempered.
+2. Documents whose posteriors fall into the same cell of a grid of ``1 / grain`` (at least
+   four steps for each domain) get the same rate.  A cell holds its documents' tokens and
+   expected domain tokens, added up from the posteriors themselves, so the grid ties rates
+   together but rounds no total.
 3. Nonnegative rates are fitted by accelerated projected gradient least squares: each
    iteration is one aggregation over the cells (expected domain tokens at the current
    rates); the rates are a function of the residuals seen so far, so nothing but a few
@@ -14,7 +15,8 @@
 4. ``copies`` rounds a rate up or down by a hash of the document, so that expected counts
    are kept.
 
-Everything on the rows is built-in expressions.  A null or empty text has no tokens and
+A token is a word here: every row's expressions are built-in ones, and a tokenizer would
+need Python.  Everything on the rows is built-in expressions.  A null or empty text has no tokens and
 the prior as its posterior.  Repeated rows and rows without an id are each returned; a
 labelled table without known domains gives equal posteriors; an empty table gives no rows.
 """
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, whole_text
 
 SLOTS = 4096
-ADDED = ("mix_words", "mix_cell", "mix_tokens", "posterior", "rate", "copies")
+ADDED = ("mix_words", "mix_found", "mix_cell", "mix_tokens", "posterior", "rate", "copies")
+#: Cells up to this number are sent to every task or fitted on the driver; more are joined and fitted by Spark.
+FEW_CELLS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -88,14 +92,15 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], vocabulary:
 
 
 def with_cells(docs: DataFrame, model: DomainModel, grain: int = 32, temperature: float = 4.0) -> DataFrame:
-    """``docs`` with ``mix_tokens`` and ``mix_cell`` (the posterior in units of ``1 / grain``)."""
+    """``docs`` with ``mix_tokens``, ``posterior`` and ``mix_cell`` (the posterior in units of ``1 / grain``)."""
+    grain = max(grain, 4 * len(model.domains))
     own = docs.drop(*ADDED).withColumn("mix_words", words_of(whole_text()))
     if model.words:
         vocabulary = F.array(*[F.lit(w) for w in model.words])
         slots = F.transform(F.array_intersect("mix_words", vocabulary), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
     else:
         slots = F.array().cast("array<int>")
-    tables = [F.array(*[F.lit(x) for x in line]) for line in model.odds]
+    tables = [F.split(F.lit(",".join(map(repr, line))), ",").cast("array<double>") for line in model.odds]  # folded into one constant
 
     def cell(found: Column) -> Column:
         def added(table: Column, constant: float) -> Column:
@@ -104,13 +109,15 @@ def with_cells(docs: DataFrame, model: DomainModel, grain: int = 32, temperature
         scores = F.array(*[added(t, c) for t, c in zip(tables, model.constants, strict=True)])
         return _with(scores, lambda s: _with(
             F.transform(s, lambda x: F.exp((x - F.array_max(s)) / temperature)),
-            lambda e: F.transform(e, lambda x: F.round(grain * x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)).cast("int")),
+            lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)),
         ))
 
     return (
         own.withColumn("mix_tokens", F.size("mix_words").cast("long"))
-        .withColumn("mix_cell", _with(slots, cell))
+        .withColumn("mix_found", _with(_with(slots, cell), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: F.round(grain * x).cast("int")).alias("cell"))))
         .drop("mix_words")
+        .withColumns({"posterior": F.col("mix_found.p"), "mix_cell": F.col("mix_found.cell")})
+        .drop("mix_found")
     )
 
 
@@ -119,11 +126,6 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _posterior(cell: Column) -> Column:
-    total = F.aggregate(cell, F.lit(0), lambda a, x: a + x)
-    return F.transform(cell, lambda x: x / total)
-
-
 class RateFit:
     """The residuals seen by the fit; ``rate`` replays them for any posterior."""
 
@@ -173,12 +175,17 @@ class RateFit:
             self.moves.append((float(momentum), [float(x) for x in residual]))
             rate, was = moved(rate, was, momentum, residual), rate
         got = posteriors.T @ (tokens * rate)
-        warnings.warn(f"targets missed: shares {(got / got.sum()).round(4).tolist()}, not {(target / target.sum()).round(4).tolist()}", stacklevel=4)
+        warn_missed(got, target)
 
     def ahead(self, posterior: Column, momentum: float) -> Column:
         return _with(self._replay(posterior), lambda s: s["r"] + momentum * (s["r"] - s["was"]))
 
 
+def warn_missed(got: np.ndarray, target: np.ndarray) -> None:
+    shares = (got / max(got.sum(), 1e-300)).round(4).tolist()
+    warnings.warn(f"targets missed: shares {shares}, not {(target / target.sum()).round(4).tolist()}", stacklevel=4)
+
+
 def fit_rates(
     cells: DataFrame, shares: list[float], budget: float | None = None, least: float = 0.0, most: float | None = None,
     iterations: int = 40, tolerance: float = 1e-4, further: int = 0, close: float = 0.01,
@@ -215,9 +222,15 @@ def fit_rates(
         if max(map(abs, residual)) <= tolerance * budget:
             return fit
         fit.moves.append((momentum, residual))
-    if further:
+    if further and cells.count() <= FEW_CELLS:
         rows = cells.select("posterior", "tokens").collect()
         fit.go_on(np.array([r.posterior for r in rows]), np.array([r.tokens for r in rows]), np.array(target), t, further, tolerance * budget, close)
+        return fit
+    final = cells.withColumn("mix_rate", fit.rate(F.col("posterior")))
+    sums = final.agg(*[F.sum(F.col("tokens") * at(i) * F.col("mix_rate")).alias(f"s{i}") for i in range(k)]).first()
+    got = [sums[f"s{i}"] for i in range(k)]
+    if any(abs(g - x) > max(close * x, tolerance * budget) for g, x in zip(got, target, strict=True)):
+        warn_missed(np.array(got), np.array(target))
     return fit
 
 
@@ -236,17 +249,16 @@ def mix(
     shares = [targets[d] / total for d in domains]
     model = train(docs, labelled, domains)
     celled = with_cells(docs, model, grain)
-    cells = cut(
-        celled.groupBy("mix_cell")
-        .agg(F.sum("mix_tokens").cast("double").alias("tokens"))
-        .select("mix_cell", _posterior(F.col("mix_cell")).alias("posterior"), "tokens")
-        .coalesce(1)  # bounded by the grid of posteriors
-    )
+    weighed = [F.sum(F.col("mix_tokens") * F.get("posterior", F.lit(i))).alias(f"w{i}") for i in range(len(domains))]
+    cells = cut(celled.groupBy("mix_cell").agg(F.sum("mix_tokens").cast("double").alias("tokens"), F.min("posterior").alias("any"), *weighed))
+    few = cells.count() <= FEW_CELLS
+    mean = F.array(*[F.col(f"w{i}") / F.col("tokens") for i in range(len(domains))])
+    cells = (cells.coalesce(1) if few else cells).select("mix_cell", F.when(F.col("tokens") > 0, mean).otherwise(F.col("any")).alias("posterior"), "tokens")
     budget = None if keep_all else cells.agg(F.sum("tokens")).first()[0] or 0.0
     fit = fit_rates(cells, shares, budget, 1.0 if keep_all else 0.0, most, further=360 if keep_all else 0)
-    # one row for each used posterior of the grid: a bounded table
-    rates = cells.select("mix_cell", "posterior", fit.rate(F.col("posterior")).alias("rate"))
-    rated = celled.join(F.broadcast(rates), "mix_cell").drop("mix_cell")
+    rates = cells.select("mix_cell", fit.rate(F.col("posterior")).alias("rate"))
+    # every cell is found; an outer join needs no test for nulls, for which Spark would work out the cells twice
+    rated = celled.join(F.broadcast(rates) if few else rates, "mix_cell", "left").drop("mix_cell")
     part = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1_000_000.0
     copies = (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rated.withColumn("copies", copies).select(*[c for c in docs.columns if c not in ADDED], "mix_tokens", "posterior", "rate", "copies")

@@ -10,8 +10,11 @@ symbols, digits and upper-case letters, mean word length, length, repeated lines
 
 The model is trained on the driver from at most ``sample_rows`` labelled documents, the
 ones with the smallest id hashes (a bound that doesn't grow with the corpus); every
-document is scored.  Null or empty texts get the mark "empty" only.  Labels with nulls are
-left out; of several labels of one document the lowest grade holds.  With fewer than two
+document is scored.  Features whose presence doesn't depend on the grade in the sample (a
+chi-squared statistic of at most ``least_statistic``) get no weight: common words would
+drown the few that tell, such as insults.  Null or empty texts get the mark "empty" only.  Labels with nulls are
+left out; of several labels of one document the lowest grade holds, and of several texts
+under one labelled id the smallest is learned from (each is scored).  With fewer than two
 grades in the sample nothing can be learned: every document gets the top grade.
 """
 
@@ -93,13 +96,23 @@ class OrdinalModel:
         return 1 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
+def chi_squared(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """For every feature the statistic of its presence against the grades; 0 for features of no row or of all."""
+    flat, owner = np.concatenate(rows), np.repeat(grades, [len(r) for r in rows])
+    sizes = np.bincount(grades, minlength=n_grades).astype(float)
+    holding = np.stack([np.bincount(flat[owner == k], minlength=DIMENSIONS) for k in range(n_grades)]).astype(float)
+    share = holding.sum(axis=0) / len(rows)
+    usual = np.outer(sizes, share)
+    spread = usual * (1 - share)  # both of a feature's cells, with it and without it, are off by the same amount
+    return np.divide((holding - usual) ** 2, spread, out=np.zeros_like(usual), where=spread > 0).sum(axis=0)
+
+
 def fit(
     rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.15, decay: float = 4e-3,
-    least_documents: int = 10, seed: int = 3,
+    least_statistic: float = 25.0, seed: int = 3,
 ) -> OrdinalModel:
-    """Maximum likelihood by mini-batch AdaGrad; features in fewer than ``least_documents`` rows are ignored."""
-    counts = np.bincount(np.concatenate(rows), minlength=DIMENSIONS)
-    used = counts >= least_documents
+    """Maximum likelihood by mini-batch AdaGrad, over the features that tell grades apart."""
+    used = chi_squared(rows, grades, n_grades) > least_statistic
     rows = [r[used[r]] for r in rows]
     weights, squares = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2)
     # thresholds start at the grades' own shares; gaps are kept positive through their logarithms
@@ -162,8 +175,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, sample_ro
 
     # the chosen rows are ``sample_rows`` at most, so they may be broadcast
     return (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "grade")
+        .agg(F.min("text").alias("text"))  # an id may be repeated
         .mapInPandas(extract, "doc_id long, grade int, features array<int>")
     )
 
@@ -171,7 +186,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: Column, sample_ro
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, n_grades: int = 3) -> OrdinalModel | None:
     """The model, or None where the labels hold fewer than two grades."""
     sample = labelled_sample(docs, labels, graded(), sample_rows).toPandas()
-    sample = sample.drop_duplicates("doc_id").sort_values("doc_id")
+    sample = sample.sort_values("doc_id")
     if sample["grade"].nunique() < 2:
         return None
     return fit([np.asarray(x, np.int64) for x in sample["features"]], sample["grade"].to_numpy(), n_grades)
