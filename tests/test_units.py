@@ -153,3 +153,13 @@ def test_edited_trees_have_the_regions_of_a_fresh_parse(spark):
     fresh = nodes_of(parse(spark.createDataFrame(list(xml.items()), "doc_id long, xml string")))
     columns = ["doc_id", "pre", "post", "level", "parent", "sib", "occ", "kind", "name", "path"]
     assert sorted(map(repr, less.select(columns).collect())) == sorted(map(repr, fresh.select(columns).collect()))
+
+
+def test_written_documents_come_back_character_for_character(spark, tmp_path):
+    texts = ["<?xml version='1.0'?>\n<a\n b='1'>\n<!--\n--><![CDATA[\n]]></a>\n", "<b/>", "<c>\r\n\té</c>\n\n"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, xml string")
+    for each in (True, False):
+        js.write_xml(docs, str(tmp_path / str(each)), one_file_each=each)
+        back = js.read_xml(spark, str(tmp_path / str(each)), one_file_each=each).collect()
+        assert sorted(r.xml for r in back) == sorted(texts)
+    assert {r.doc_id: r.xml for r in js.read_xml(spark, str(tmp_path / "True"), one_file_each=True).collect()} == dict(enumerate(texts))

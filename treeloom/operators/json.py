@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tokenizer import DocumentParser, NodeRows
@@ -268,6 +268,28 @@ def write_json(docs: DataFrame, path: str, lossless: bool = False) -> None:
     docs.select(xml_to_json(F.col("xml"), lossless).alias("value")).where("value is not null").write.text(path)
 
 
-def write_xml(docs: DataFrame, path: str) -> None:
-    """Whole documents, one a row; line feeds inside are kept as character references."""
-    docs.select(F.replace("xml", F.lit("\n"), F.lit("&#10;")).alias("value")).write.text(path)
+#: The record separator: no XML document can hold it, so it parts documents in a container.
+PART = "\x1e"
+
+
+def write_xml(docs: DataFrame, path: str, one_file_each: bool = False) -> None:
+    """Whole documents (``doc_id, xml``), character for character; documents without text are left out.
+
+    By default a file holds many documents, a record separator behind each; ids aren't kept.
+    With ``one_file_each`` a document is a file of its own, in a folder that names its id,
+    with a line feed behind it.
+    """
+    given = docs.where("xml is not null")
+    if one_file_each:
+        given.select(F.col("doc_id"), F.col("xml").alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(path)
+    else:
+        given.select(F.col("xml").alias("value")).write.option("lineSep", PART).text(path)
+
+
+def read_xml(spark: SparkSession, path: str, one_file_each: bool = False) -> DataFrame:
+    """``doc_id, xml`` as ``write_xml`` wrote them; without ids of their own, documents get a hash of their text."""
+    if one_file_each:
+        files = spark.read.text(path, wholetext=True)
+        return files.select(F.col("doc_id").cast("long"), F.expr("substring(value, 1, length(value) - 1)").alias("xml"))
+    rows = spark.read.option("lineSep", PART).text(path)
+    return rows.select(F.xxhash64("value").alias("doc_id"), F.col("value").alias("xml"))

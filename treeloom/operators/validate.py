@@ -132,28 +132,39 @@ def dtd_violations(nodes: DataFrame, grammar: Dtd, check_ids: bool = False) -> D
 def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     """Violations of a compiled schema, identity constraints included.
 
-    An element is met with the rule for its name below its parent's name, or with the
-    global rule.  ``xsi:nil`` empties, ``xsi:type`` names another type.
+    An element is met with the rule for its name in its parent's type, which the path gives
+    step by step, or with the global rule.  ``xsi:nil`` empties, ``xsi:type`` names another
+    type; further below, where the path leads to no type, the parent's name decides.
     """
     spark = nodes.sparkSession
-    rules = schema.elements()
+    places = schema.places()
+    rules = [p.rule for p in places]
     simple = [r.type.simple if isinstance(r.type, ComplexType) else r.type for r in rules]
     table = spark.createDataFrame(
-        [(k, r.context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.fixed, r.default, r.nillable, r.abstract or r.type.abstract, sorted(a.name for a in r.type.attributes.values() if a.use == "required"), sorted(r.type.attributes), r.type.any_attribute) for k, r in enumerate(rules)],
+        [(k, places[k].context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.fixed, r.default, r.nillable, r.abstract or r.type.abstract, sorted(a.name for a in r.type.attributes.values() if a.use == "required"), sorted(r.type.attributes), r.type.any_attribute) for k, r in enumerate(rules)],
         "rule_id int, context string, r_ns string, r_name string, content string, pattern string, fixed string, default_value string, nillable boolean, abstract boolean, needed array<string>, known array<string>, any_attribute string",
     )
     token = F.concat(F.coalesce("ns_uri", F.lit("")), F.lit("}"), local_of(F.col("name")), F.lit(" "))
     rows = child_sequences(nodes, token).withColumn("local", local_of(F.col("name"))).withColumn("ns", F.coalesce("ns_uri", F.lit("")))
-    # the parent's name stands in the path; children of an element with xsi:type follow that type
-    stated = F.concat(F.lit("("), local_of(attribute(F.col("attrs"), "xsi:type")), F.lit(")"))
+    # the parent's type follows from the names in the path; children of an element with xsi:type follow that type
+    named_types = {p.rule.name: p.own for p in places if p.context == "(type)"}
+    steps = {f"{p.context} {p.rule.name}": p.own for p in reversed(places) if p.context != "(type)"}
+    lookup = lambda known, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key) if known else F.lit(None).cast("string")
+    above = F.slice(F.split("path", "/"), F.lit(2), F.col("level"))
+    follow = lambda state, name: F.coalesce(lookup(steps, F.concat(state, F.lit(" "), local_of(name))), lookup(steps, F.concat(F.lit(" "), local_of(name))), F.lit("?"))
+    by_path = F.when(F.col("level") > 0, F.aggregate(above, F.lit(""), follow)).otherwise("")
+    stated = lookup(named_types, local_of(attribute(F.col("attrs"), "xsi:type")))
     typed_parents = nodes.where("kind = 'element'").where(stated.isNotNull()).select("doc_id", F.col("pre").alias("parent"), stated.alias("stated"))
-    by_path = F.when(F.col("level") > 0, local_of(F.element_at(F.split("path", "/"), -2))).otherwise("")
-    rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("parent_local", F.coalesce("stated", by_path))
-    local_rules, global_rules = table.where("context != ''"), table.where("context = ''")
-    near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("parent_local"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["parent_local", "local", "ns"], "left")
+    rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("inside", F.coalesce("stated", by_path))
+    local_rules, global_rules = table.where("context like '#%'"), table.where("context = ''")
+    near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("inside"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["inside", "local", "ns"], "left")
+    owners = {p.own: p.rule.name for p in reversed(places) if p.context != "(type)"}
+    by_name = {(owners[p.context], p.rule.name, p.rule.ns): k for k, p in reversed([*enumerate(places)]) if p.context in owners}
+    fallback = spark.createDataFrame([("?", *n, k) for n, k in by_name.items()], "inside string, parent_local string, local string, ns string, guess int")
+    near = near.withColumn("parent_local", local_of(F.try_element_at(above, F.lit(-1)))).join(F.broadcast(fallback), ["inside", "parent_local", "local", "ns"], "left").withColumn("near", F.coalesce("near", "guess"))
     far = near.join(F.broadcast(global_rules.select(F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("far"))), ["local", "ns"], "left")
     # xsi:type: a rule of that type
-    extra = [(r.name, k) for k, r in enumerate(rules) if r.context == "(type)"]
+    extra = [(p.rule.name, k) for k, p in enumerate(places) if p.context == "(type)"]
     by_type = spark.createDataFrame(extra, "xsi_type string, typed int")
     met = (
         far.withColumn("xsi_type", local_of(attribute(F.col("attrs"), "xsi:type")))

@@ -12,6 +12,7 @@ import posixpath
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -376,6 +377,32 @@ class Schema:
                 edge.append((r.name, r.type))
         return out
 
+    def places(self) -> list[Place]:
+        """Rules for each element in the context of its parent's type, whatever the parent's name.
+
+        Contexts are ``#0``, ``#1`` ... for the types met; "" for global elements and
+        "(type)" for the named types, as in ``elements``.
+        """
+        kinds: list[ComplexType] = []
+
+        def key(kind: ComplexType) -> str:
+            known = next((n for n, k in enumerate(kinds) if k is kind), len(kinds))
+            if known == len(kinds):
+                kinds.append(kind)
+            return f"#{known}"
+
+        types = [t for t in (self.type(n) for n in self.parts["complexType"] if "#" not in n[1]) if isinstance(t, ComplexType)]
+        tops = [*self.globals.values(), *(ElementRule("(type)", "", t.name, t) for t in types)]
+        out = [Place(r.context, key(r.type), r) for r in tops]
+        done = 0
+        while done < len(kinds):
+            inside: dict[Name, Place] = {}
+            for r in kinds[done].children:
+                inside.setdefault((r.ns, r.name), Place(f"#{done}", key(r.type), r))
+            out += inside.values()
+            done += 1
+        return out
+
     def derivation(self) -> list[tuple[str, str, str]]:
         """``type, base, method`` of all named complex types with a base."""
         return [(t.name, t.base, t.method) for t in (self.type(n) for n in self.parts["complexType"]) if t.base]
@@ -391,6 +418,14 @@ class Schema:
         return out
 
 
+class Place(NamedTuple):
+    """A rule, the type that it stands in and the type of its element."""
+
+    context: str
+    own: str
+    rule: ElementRule
+
+
 @dataclass
 class Doc:
     path: str

@@ -62,7 +62,7 @@ def dtd_violation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dtd_first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes_of(parse(_customers(spark, sf_dir)))
-    first = val.first_violation(val.dtd_violations(nodes, compile_dtd(CUSTOMER_DTD)).where("rule in ('attribute-required', 'attribute-undeclared')"))
+    first = val.first_violation(val.dtd_violations(nodes, compile_dtd(CUSTOMER_DTD)))
     return first.select(F.col("doc_id").alias("c_custkey"), "rule")
 
 
@@ -137,7 +137,23 @@ def xsd_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(spark, sf_dir).where("rule != 'unique'").rollup("rule", "message").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return _violations(spark, sf_dir).rollup("rule", "message").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+INNER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="d"><xs:complexType><xs:sequence>
+<xs:element name="a"><xs:complexType><xs:sequence><xs:element name="p"><xs:complexType><xs:sequence><xs:element name="v" type="xs:integer"/></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element>
+<xs:element name="b"><xs:complexType><xs:sequence><xs:element name="p"><xs:complexType><xs:sequence><xs:element name="v" type="xs:NCName"/><xs:element name="w" minOccurs="0"/></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element>
+</xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def xsd_types_of_one_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two inner types with elements of one name: a number is right below ``a`` and wrong below ``b``, a word the other way round."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    value = lambda number: F.when(number, key.cast("string")).otherwise(F.col("c_mktsegment"))
+    xml = F.concat(F.lit("<d><a><p><v>"), value(key % 3 != 0), F.lit("</v>"), F.when(key % 5 == 0, "<w/>").otherwise(""), F.lit("</p></a><b><p><v>"), value(key % 4 == 0), F.lit("</v><w/></p></b></d>"))
+    found = val.xsd_violations(nodes_of(parse(c.select(key.alias("doc_id"), xml.alias("xml")))), _schema(INNER_XSD))
+    return found.groupBy(F.col("doc_id").alias("c_custkey"), "rule").agg(F.count("*").alias("n"))
 
 
 def xsd_sequence_choice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +369,7 @@ def append_and_remove_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dtd_content_model_conversations, dtd_violation_rules, dtd_first_violation, dtd_default_merge, dtd_internal_defaults, dtd_entity_expansion, dtd_rule_tables,
-    grammar_merge_keep_first, id_idref_parts, xsd_order_violations, violations_rollup, xsd_sequence_choice_all, xsd_wildcard_namespaces, xsd_default_fixed,
+    grammar_merge_keep_first, id_idref_parts, xsd_order_violations, violations_rollup, xsd_types_of_one_name, xsd_sequence_choice_all, xsd_wildcard_namespaces, xsd_default_fixed,
     xsd_union_list, xsd_xsi_type_nil, substitution_group_closure, xsd_schema_rules, xsd_native_differential, identity_unique_lineitem, identity_key_lineitem,
     identity_keyref_orders_customer, catalog_rewrite_pages, catalog_suffix_pages, catalog_delegate_public, rng_defaults, default_precedence, schema_locations, rng_references, wildcard_algebra, type_derivation_closure,
     value_space_fixed, append_and_remove_children,
@@ -375,7 +391,7 @@ union all select 'attribute-type', 'bad value for attribute flag of line', l_ord
 ORACLES = {
     "dtd_content_model_conversations": f"select regexp_full_match(s, '(system )?(user (assistant )?)+') as loose, regexp_full_match(s, 'system (user assistant )+') as strict, count(*) as n from {_ROLES} group by 1, 2",
     "dtd_violation_rules": "select rule, message, count(*) as n from customer, (values ('attribute-required', 'missing attribute key of customer'), ('attribute-undeclared', 'undeclared attribute x of customer'), ('attribute-type', 'bad value for attribute seg of customer'), ('content-model', 'content of customer doesn''t match'), ('element-undeclared', 'undeclared element extra')) v(rule, message) where case rule when 'attribute-required' then c_custkey % 5 = 0 when 'attribute-undeclared' then c_custkey % 7 = 0 when 'attribute-type' then c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') else c_custkey % 9 = 0 end group by 1, 2",
-    "dtd_first_violation": "select c_custkey, case when c_custkey % 5 = 0 then 'attribute-required' else 'attribute-undeclared' end as rule from customer where c_custkey % 5 = 0 or c_custkey % 7 = 0",
+    "dtd_first_violation": "select c_custkey, rule from (select c_custkey, case when c_custkey % 5 = 0 then 'attribute-required' when c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY') then 'attribute-type' when c_custkey % 7 = 0 then 'attribute-undeclared' when c_custkey % 9 = 0 then 'content-model' end as rule from customer) where rule is not null",
     "dtd_default_merge": "select 'plain' as kind, c_custkey % 5 != 0 as keyed, count(*) as n from customer group by 1, 2",
     "dtd_internal_defaults": "select n_nationkey::bigint as n_nationkey, 'k' as kind, cast(1 + len(list_filter(string_split(n_name, ' '), lambda x: x != '')) as integer) as tokens from nation",
     "dtd_entity_expansion": "select r_regionkey::bigint as r_regionkey, r_name || '[x&y]moutside' as text from region",
@@ -383,7 +399,8 @@ ORACLES = {
     "grammar_merge_keep_first": "select * from (values ('element', 'a', '(b)'), ('element', 'b', 'EMPTY'), ('element', 'c', '(#PCDATA|b)*'), ('attribute', 'a/x', 'one'), ('attribute', 'a/y', 'y')) x(kind, name, declared)",
     "id_idref_parts": "select p_partkey // 1000 as doc_id, 'idref-dangling' as rule, 'no ID p' || (p_partkey + 1) as message from part p where not exists (select 1 from part q where q.p_partkey = p.p_partkey + 1 and q.p_partkey // 1000 = p.p_partkey // 1000)",
     "xsd_order_violations": f"select rule, count(*) as n from ({_RULES} union all select 'unique', '', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by 1",
-    "violations_rollup": f"select rule, message, count(*) as n, count(distinct doc) as docs from ({_RULES}) group by rollup (rule, message)",
+    "violations_rollup": f"select rule, message, count(*) as n, count(distinct doc) as docs from ({_RULES} union all select 'unique', 'repeated value of lineNumber', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by rollup (rule, message)",
+    "xsd_types_of_one_name": "select c_custkey, 'value-type' as rule, cast((c_custkey % 3 = 0)::int + (c_custkey % 4 = 0)::int as bigint) as n from customer where c_custkey % 3 = 0 or c_custkey % 4 = 0 union all select c_custkey, r, 1 from customer, (values ('content-model'), ('element-undeclared')) v(r) where c_custkey % 5 = 0",
     "xsd_sequence_choice_all": f"select c_custkey % 12 as class, regexp_full_match(s, 'ab?c*') as seq, regexp_full_match(s, '[ab]{{1,3}}') as cho, contains(s, 'a') and contains(s, 'b') and length(s) = len(list_distinct(string_split(s, ''))) as al, count(*) as n from {_KIDS} group by 1, 2, 3, 4",
     "xsd_wildcard_namespaces": "select * from (values ('', true, false, true, false, true), ('urn:t', true, false, false, true, false), ('urn:o', true, true, false, false, true)) x(ns, any_, other_, local_, target_, list_)",
     "xsd_default_fixed": "select c_custkey, case when c_custkey % 2 = 1 then c_mktsegment else 'NONE' end as seg, '1' as v, case when c_custkey % 2 = 1 then c_name else 'nobody' end as name from customer",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import navigate as nav
 from ..operators import serialize as ser
-from ..plans.lineage import fresh_folder
+from ..plans.lineage import fresh_folder, stored
 from ..sources.readers import read_events, read_records
 from ..sources.records import parse_records
 from ..sources.tokenizer import nodes_of, parse, status_of
@@ -22,7 +22,8 @@ def shred_lineitem_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shred_nodes_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nodes_of(parse(synth.orders(spark, sf_dir)))
+    # parsed once: the three branches below read what was stored
+    nodes = stored(nodes_of(parse(synth.orders(spark, sf_dir))).where("path in ('/order/line', '/order/line/qty')"))
     lines = nodes.where("path = '/order/line' and kind = 'element'")
     qty = nodes.where("path = '/order/line/qty'")
     values = qty.where("kind = 'text'").select("doc_id", F.col("parent").alias("pre"), F.col("value").cast("long").alias("qty"))
