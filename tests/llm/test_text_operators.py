@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+import xxhash
 
 from treeloom.llm import fingerprints as fp
 from treeloom.llm import secret_scan as ss
@@ -179,6 +180,44 @@ def test_edited_texts_follow_descending_ids(spark, bucket, monkeypatch):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
 
 
+def plain_anchors(text, k=6, s=2):
+    """Closed syncmers by their definition; a hash of several values is chained through the seed."""
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed)
+        return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+    words = [w.encode() for w in re.split("[\x00-\x20]+", text) if w]
+    if len(words) < k:
+        return [(0, chained([b" ".join(words)]) & 0xFFFFFFFF)] if words else []
+    inner = [chained(words[i : i + s]) for i in range(len(words) - s + 1)]
+    out = []
+    for i in range(len(words) - k + 1):
+        own = inner[i : i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            out.append((i, chained([g.to_bytes(8, "little", signed=True) for g in own[::s]]) & 0xFFFFFFFF))
+    return out
+
+
+def test_fingerprints_equal_plain_python(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice(["ab", "é", "𝔘x", "w1", "w2", "w3", "long-word"]) for _ in range(n))) for i, n in enumerate([0, 1, 5, 6, 7, 40, 300, 41])] + [(20, None), (21, "\t a\n\nb ")]
+    got = {r.doc_id: r for r in fp.fingerprint_documents(frame(spark, texts)).collect()}
+
+    def likeness(a, b):
+        x, y = {h for _, h in a}, {h for _, h in b}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for i, t, after in neighbours(texts):
+        half = len(t) // 2
+        own, edited, following = plain_anchors(t), plain_anchors(t[: len(t) - half] + after[:half]), plain_anchors(after)
+        written = [",".join(f"{h:08x}@{at}" for at, h in found) for found in (own, edited)]
+        assert [got[i].fingerprint, got[i].edited_fingerprint] == written, i
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((likeness(own, edited), likeness(own, following)))
+
+
 def test_closed_syncmers_are_context_free(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(50)}" for _ in range(200)]
