@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import attribute
+from ..functions.text import attribute, local_of
 
 
 def elements(nodes: DataFrame) -> DataFrame:
@@ -84,7 +84,23 @@ def compile_selector(selector: str) -> str:
 
 
 def select(scopes: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
-    """Elements that ``selector`` reaches from each scope, with ``anc_pre``."""
+    """Elements that ``selector`` reaches from each scope, with ``anc_pre``.
+
+    A selector of plain steps goes down one level a step, by equality on the parent, so a
+    large document is spread over tasks by its parents; alternatives and ``.//`` meet by interval.
+    """
+    plain = re.sub(r"\s+", "", selector)
+    if "|" not in plain and not plain.startswith((".//", "/")):
+        names = [s.removeprefix("child::").split(":")[-1] for s in plain.split("/") if s and s != "."]
+        known = elements(nodes)
+        if not names:
+            return known.join(scopes.select("doc_id", "pre", F.col("pre").alias("anc_pre")), ["doc_id", "pre"])
+        at = scopes.select("doc_id", F.col("pre").alias("anc_pre"), F.col("pre").alias("parent"))
+        for k, name in enumerate(names):
+            met = (known if name == "*" else known.where(local_of(F.col("name")) == name)).join(at, ["doc_id", "parent"])
+            if k < len(names) - 1:
+                at = met.select("doc_id", "anc_pre", F.col("pre").alias("parent"))
+        return met
     up = scopes.select(
         F.col("doc_id").alias("anc_doc"), F.col("pre").alias("anc_pre"), F.col("post").alias("anc_post"), F.length("path").alias("anc_path")
     )

@@ -7,15 +7,16 @@ parent, which is the only shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.datatypes import canonical_value, list_items
-from ..functions.text import attribute, is_ncname, is_nmtoken, local_of
+from ..functions.text import attribute, is_ncname, is_nmtoken, local_of, prefix_of
 from ..plans.dtd import Dtd
-from ..plans.xsd import ComplexType, Schema
+from ..plans.xsd import Schema, SimpleType, Wildcard
 from .identity import dangling_references, duplicate_ids, incomplete, repeated, tuples, unmatched
 
 XSI = "http://www.w3.org/2001/XMLSchema-instance"
@@ -58,7 +59,7 @@ def child_sequences(nodes: DataFrame, token: Column | None = None) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("sib", "value")))), lambda t: t["value"]), "").alias("text"),
         F.count("*").alias("n_nodes"),
     )
-    el = nodes.where("kind = 'element'").select("doc_id", "pre", "name", "ns_uri", "attrs", "parent", "level", "path")
+    el = nodes.where("kind = 'element'").select("doc_id", "pre", "post", "name", "ns_uri", "attrs", "parent", "level", "path")
     met = el.join(grouped, ["doc_id", "pre"], "left").na.fill("", ["sequence", "text"]).na.fill(0, ["n_nodes"])
     return met.withColumn("own_text", ~F.col("text").rlike(r"\A[ \t\r\n]*\z"))
 
@@ -129,21 +130,69 @@ def dtd_violations(nodes: DataFrame, grammar: Dtd, check_ids: bool = False) -> D
 # --- XML Schema -------------------------------------------------------------------------------------------------
 
 
+_WILD = "struct<form:string,spaces:array<string>,strictness:string>"
+
+
+def _wild_row(w: Wildcard | None) -> tuple | None:
+    return None if w is None else (w.covers[0], sorted(w.covers[1]) if len(w.covers) > 1 else [], w.strictness)
+
+
+def _covers(w: Column, ns: Column) -> Column:
+    inside = F.array_contains(w["spaces"], ns)
+    return F.when(w["form"] == "any", F.lit(True)).when(w["form"] == "not", ~inside).otherwise(inside)
+
+
+def outer_prefixes(nodes: DataFrame) -> DataFrame:
+    """``doc_id, pre, outer``: the prefixes of an element's attributes that neither its name nor a declaration of its own binds, with their namespaces."""
+    el = nodes.where("kind = 'element'").select("doc_id", "pre", "post", "level", prefix_of(F.col("name")).alias("own"), "attrs", F.explode("attrs").alias("a"))
+    prefix = prefix_of(F.col("a.name"))
+    open_ = el.where(~prefix.isin("", "xml", "xmlns", "xsi") & (prefix != F.col("own"))).where(~F.exists("attrs", lambda a: a["name"] == F.concat(F.lit("xmlns:"), prefix)))
+    bound = el.where("a.name like 'xmlns:%'").select(
+        F.col("doc_id").alias("b_doc"), F.col("pre").alias("b_pre"), F.col("post").alias("b_post"), F.col("level").alias("b_level"), local_of(F.col("a.name")).alias("b_prefix"), F.col("a.value").alias("uri"),
+    )
+    asked = open_.select("doc_id", "pre", prefix.alias("prefix")).distinct()
+    met = asked.join(bound, F.expr("doc_id = b_doc and prefix = b_prefix and pre > b_pre and pre <= b_post")).groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "b_level").alias("uri"))
+    return met.groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "uri"))).alias("outer"))
+
+
 def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     """Violations of a compiled schema, identity constraints included.
 
     An element is met with the rule for its name in its parent's type, which the path gives
     step by step, or with the global rule.  ``xsi:nil`` empties, ``xsi:type`` names another
-    type; further below, where the path leads to no type, the parent's name decides.
+    type, which must derive from the declared one by methods that aren't blocked; further
+    below, where the path leads to no type, the parent's name decides.
+
+    What a wildcard covers is checked as it says: ``skip`` leaves out the whole subtree,
+    ``lax`` checks what is declared at the top, ``strict`` (the default) wants a declaration.
+    The subtrees are found by one window in document order, only if the schema has such wildcards.
     """
     spark = nodes.sparkSession
     places = schema.places()
     rules = [p.rule for p in places]
-    simple = [r.type.simple if isinstance(r.type, ComplexType) else r.type for r in rules]
+    named_complex = {p.rule.name: p.rule.type for p in places if p.context == "(type)"}
+    # checkers of simple types, one for each distinct type
+    kinds: list[SimpleType] = []
+
+    def kind_of(t: SimpleType | None) -> int | None:
+        if t is None:
+            return None
+        if t not in kinds:
+            kinds.append(t)
+        return kinds.index(t)
+
+    at_top = {f"{ns}}}{name}": kind_of(t) for (ns, name), t in schema.global_attributes().items()}
+    attributes = [list(r.type.attributes.values()) for r in rules]
+    permitted = [None if r.type.kind == "ANY" else sorted(n for n, t in named_complex.items() if r.allows(t)) for r in rules]
     table = spark.createDataFrame(
-        [(k, places[k].context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.fixed, r.default, r.nillable, r.abstract or r.type.abstract, sorted(a.name for a in r.type.attributes.values() if a.use == "required"), sorted(r.type.attributes), r.type.any_attribute) for k, r in enumerate(rules)],
-        "rule_id int, context string, r_ns string, r_name string, content string, pattern string, fixed string, default_value string, nillable boolean, abstract boolean, needed array<string>, known array<string>, any_attribute string",
+        [
+            (k, places[k].context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.abstract or r.type.abstract, kind_of(r.type.simple), sorted(a.token for a in attributes[k] if a.use == "required"),
+             {a.token: kind_of(a.type) for a in attributes[k]}, {a.token: a.fixed for a in attributes[k] if a.fixed is not None}, _wild_row(r.type.any_attribute))
+            for k, r in enumerate(rules)
+        ],
+        f"rule_id int, context string, r_ns string, r_name string, content string, pattern string, abstract boolean, value_kind int, needed array<string>, attr_kinds map<string,int>, attr_fixed map<string,string>, attr_wild {_WILD}",
     )
+    declared = spark.createDataFrame([(k, r.fixed, r.default, r.nillable, permitted[k]) for k, r in enumerate(rules)], "declared int, fixed string, default_value string, nillable boolean, permitted array<string>")
     token = F.concat(F.coalesce("ns_uri", F.lit("")), F.lit("}"), local_of(F.col("name")), F.lit(" "))
     rows = child_sequences(nodes, token).withColumn("local", local_of(F.col("name"))).withColumn("ns", F.coalesce("ns_uri", F.lit("")))
     # the parent's type follows from the names in the path; children of an element with xsi:type follow that type
@@ -153,73 +202,112 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
     above = F.slice(F.split("path", "/"), F.lit(2), F.col("level"))
     follow = lambda state, name: F.coalesce(lookup(steps, F.concat(state, F.lit(" "), local_of(name))), lookup(steps, F.concat(F.lit(" "), local_of(name))), F.lit("?"))
     by_path = F.when(F.col("level") > 0, F.aggregate(above, F.lit(""), follow)).otherwise("")
-    stated = lookup(named_types, local_of(attribute(F.col("attrs"), "xsi:type")))
-    typed_parents = nodes.where("kind = 'element'").where(stated.isNotNull()).select("doc_id", F.col("pre").alias("parent"), stated.alias("stated"))
-    rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("inside", F.coalesce("stated", by_path))
+    if any(p is None or len(p) > 1 or (p and p != [rules[k].type.name]) for k, p in enumerate(permitted)):
+        stated = lookup(named_types, local_of(attribute(F.col("attrs"), "xsi:type")))
+        typed_parents = nodes.where("kind = 'element'").where(stated.isNotNull()).select("doc_id", F.col("pre").alias("parent"), stated.alias("stated"))
+        rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("inside", F.coalesce("stated", by_path))
+    else:  # no element may name a type other than its own
+        rows = rows.withColumn("inside", by_path)
     local_rules, global_rules = table.where("context like '#%'"), table.where("context = ''")
     near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("inside"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["inside", "local", "ns"], "left")
     owners = {p.own: p.rule.name for p in reversed(places) if p.context != "(type)"}
     by_name = {(owners[p.context], p.rule.name, p.rule.ns): k for k, p in reversed([*enumerate(places)]) if p.context in owners}
     fallback = spark.createDataFrame([("?", *n, k) for n, k in by_name.items()], "inside string, parent_local string, local string, ns string, guess int")
-    near = near.withColumn("parent_local", local_of(F.try_element_at(above, F.lit(-1)))).join(F.broadcast(fallback), ["inside", "parent_local", "local", "ns"], "left").withColumn("near", F.coalesce("near", "guess"))
+    near = near.withColumn("parent_local", local_of(F.try_element_at(above, F.lit(-1)))).join(F.broadcast(fallback), ["inside", "parent_local", "local", "ns"], "left")
     far = near.join(F.broadcast(global_rules.select(F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("far"))), ["local", "ns"], "left")
+    c = F.col
+    # wildcards of the parent's type
+    inner = {p.own: p.rule.type for p in places}
+    covering = spark.createDataFrame(
+        [(own, [_wild_row(w) for w in t.wildcards], [f"{ns}}}{n}" for head in t.references for ns, n in schema.members(head)]) for own, t in inner.items() if t.wildcards],
+        f"inside string, wilds array<{_WILD}>, referred array<string>",
+    )
+    far = far.join(F.broadcast(covering), "inside", "left")
+    first = F.get(F.filter("wilds", lambda w: _covers(w, c("ns"))), F.lit(0))["strictness"]
+    free = c("near").isNull() & ~F.array_contains("referred", F.concat(c("ns"), F.lit("}"), c("local")))
+    far = far.withColumn("strictness", F.when(free, first))
     # xsi:type: a rule of that type
     extra = [(p.rule.name, k) for k, p in enumerate(places) if p.context == "(type)"]
     by_type = spark.createDataFrame(extra, "xsi_type string, typed int")
+    met = far.withColumn("xsi_type", local_of(attribute(F.col("attrs"), "xsi:type"))).join(F.broadcast(by_type), "xsi_type", "left")
+    if {w.strictness for t in inner.values() for w in t.wildcards} - {"strict"}:
+        behind = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reaches = lambda top: F.coalesce(F.max(F.when(top, c("post"))).over(behind) >= c("pre"), F.lit(False))
+        met = met.withColumn("skipped", reaches(c("strictness") == "skip")).withColumn("loose", reaches((c("strictness") == "lax") & c("far").isNull() & c("typed").isNull())).where("not skipped")
+    else:
+        met = met.withColumn("loose", F.lit(False))
     met = (
-        far.withColumn("xsi_type", local_of(attribute(F.col("attrs"), "xsi:type")))
-        .join(F.broadcast(by_type), "xsi_type", "left")
-        .withColumn("rule_id", F.coalesce("typed", "near", "far"))
+        met.withColumn("declared", F.coalesce("near", F.when(~c("loose"), c("guess")), "far"))
+        .withColumn("rule_id", F.coalesce("typed", "declared"))
         .join(F.broadcast(table.drop("context", "r_ns", "r_name")), "rule_id", "left")
+        .join(F.broadcast(declared), "declared", "left")
         .withColumn("nil", F.coalesce(attribute(F.col("attrs"), "xsi:nil").isin("true", "1"), F.lit(False)))
         .withColumn("bare", (F.col("sequence") == "") & (F.col("text") == ""))
     )
+    if any(t.any_attribute for t in inner.values()) or any(a.ns for own in attributes for a in own):
+        met = met.join(outer_prefixes(nodes), ["doc_id", "pre"], "left")
+    else:
+        met = met.withColumn("outer", F.lit(None).cast("map<string,string>"))
     named = lambda text: F.concat(F.lit(text), F.col("name"))
-    accepted = F.lit(True)
-    for k, kind in enumerate(simple):
-        if kind is not None:
-            value = F.when(F.col("bare") & F.col("default_value").isNotNull(), F.col("default_value")).otherwise(F.col("text"))
-            accepted = F.when(F.col("rule_id") == k, kind.accepts(value)).otherwise(accepted)
-    c = F.col
+
+    def accepted_by(which: Column, value: Column) -> Column:
+        out = F.lit(True)
+        for k, kind in enumerate(kinds):
+            out = F.when(which == k, kind.accepts(value)).otherwise(out)
+        return out
+
+    value = F.when(c("bare") & c("default_value").isNotNull(), c("default_value")).otherwise(c("text"))
     filled = ~c("nil")
     # fixed values are compared in the type's value space
     changed = c("text") != c("fixed")
     for k, r in enumerate(rules):
-        if r.fixed is not None and simple[k] is not None and not simple[k].members and simple[k].item is None:
-            base = simple[k].base
-            changed = F.when(c("rule_id") == k, canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)).otherwise(changed)
+        if r.fixed is not None and r.type.simple is not None and not r.type.simple.members and r.type.simple.item is None:
+            base = r.type.simple.base
+            changed = F.when(c("declared") == k, canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)).otherwise(changed)
     of_element = [
-        fault(c("rule_id").isNull(), "element-undeclared", named("undeclared element ")),
-        fault(c("abstract") & c("typed").isNull(), "element-abstract", named("abstract ")),
+        fault(c("rule_id").isNull() & ~c("loose"), "element-undeclared", named("undeclared element ")),
+        fault(c("abstract"), "element-abstract", named("abstract ")),
+        fault(c("typed").isNotNull() & c("declared").isNotNull() & ~F.coalesce(F.array_contains("permitted", c("xsi_type")), F.lit(True)), "type-blocked", F.concat(F.lit("type "), c("xsi_type"), F.lit(" may not stand in "), c("name"))),
         fault(c("nil") & ~F.coalesce("nillable", F.lit(False)), "nil-not-allowed", named("not nillable: ")),
         fault(c("nil") & ~c("bare"), "nil-content", named("content in nilled ")),
         fault(filled & (c("content") == "EMPTY") & (c("n_nodes") > 0) & ~c("bare"), "content-empty", named("content in empty element ")),
         fault(filled & c("content").isin("ELEMENT", "MIXED") & ~F.rlike(c("sequence"), c("pattern")), "content-model", named("children don't match in ")),
         fault(filled & (c("content") == "ELEMENT") & c("own_text"), "content-text", named("text in ")),
         fault(filled & (c("content") == "SIMPLE") & (c("sequence") != ""), "content-simple", named("children in simple ")),
-        fault(filled & (c("content") == "SIMPLE") & ~accepted, "value-type", named("bad value of ")),
+        fault(filled & (c("content") == "SIMPLE") & ~accepted_by(c("value_kind"), value), "value-type", named("bad value of ")),
         fault(filled & c("fixed").isNotNull() & ~c("bare") & changed, "value-fixed", named("fixed value changed in ")),
     ]
 
+    def space_of(a: Column) -> Column:
+        """Namespace of an attribute; without a prefix it has none."""
+        prefix = prefix_of(a["name"])
+        own = F.get(F.filter("attrs", lambda x: x["name"] == F.concat(F.lit("xmlns:"), prefix)), F.lit(0))["value"]
+        return F.when(prefix == "", "").otherwise(F.coalesce(own, F.when(prefix == prefix_of(c("name")), c("ns_uri")), F.try_element_at("outer", prefix), F.lit("?")))
+
+    def token_of(a: Column) -> Column:
+        return F.when(a["name"].startswith("xml:"), F.concat(F.lit("}"), a["name"])).otherwise(F.concat(space_of(a), F.lit("}"), local_of(a["name"])))
+
     def of_attribute(a: Column) -> Column:
-        good, unchanged = F.lit(True), F.lit(True)
-        for k, r in enumerate(rules):
-            for rule in r.type.attributes.values():
-                own = (c("rule_id") == k) & (a["name"] == rule.name)
-                good = F.when(own, rule.type.accepts(a["value"])).otherwise(good)
-                if rule.fixed is not None:
-                    unchanged = F.when(own, canonical_value(a["value"], rule.type.base) == canonical_value(F.lit(rule.fixed), rule.type.base)).otherwise(unchanged)
+        own, wild = F.try_element_at("attr_kinds", a["token"]), c("attr_wild")
+        covered = own.isNull() & F.coalesce(_covers(wild, F.substring_index(a["token"], "}", 1)) & wild.isNotNull(), F.lit(False))
+        shared = F.when(covered & (wild["strictness"] != "skip"), F.try_element_at(F.create_map(*[F.lit(x) for pair in at_top.items() for x in pair]), a["token"])) if at_top else F.lit(None).cast("int")
+        fixed, unchanged = F.try_element_at("attr_fixed", a["token"]), F.lit(True)
+        for base in sorted({x.type.base for r in attributes for x in r if x.fixed is not None}):
+            same = [k for k, t in enumerate(kinds) if t.base == base]
+            unchanged = F.when(fixed.isNotNull() & own.isin(same), canonical_value(a["value"], base) == canonical_value(fixed, base)).otherwise(unchanged)
         label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), c("name"))
         return F.array(
-            fault(c("any_attribute").isNull() & ~F.array_contains("known", a["name"]), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
-            fault(~good, "attribute-type", F.concat(F.lit("bad value for "), label)),
+            fault(own.isNull() & (~covered | ((wild["strictness"] == "strict") & shared.isNull())), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
+            fault(~accepted_by(F.coalesce(own, shared), a["value"]), "attribute-type", F.concat(F.lit("bad value for "), label)),
             fault(~unchanged, "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
         )
 
-    plain = F.filter("attrs", lambda a: ~(a["name"].startswith("xmlns") | a["name"].startswith("xsi:") | a["name"].startswith("xml:")))
+    tokens = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), token_of(a).alias("token")))
+    met = met.withColumn("tokens", tokens)
+    plain = F.filter("tokens", lambda a: ~((a["name"] == "xmlns") | a["name"].startswith("xmlns:") | a["name"].startswith("xsi:") | a["name"].startswith("xml:")))
     given = F.when(c("content") != "ANY", plain).otherwise(F.filter(plain, lambda a: F.lit(False)))
-    lacking = F.array_except("needed", F.transform("attrs", lambda a: local_of(a["name"])))
-    missing = F.transform(lacking, lambda n: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), n, F.lit(" of "), c("name")).alias("message")))
+    lacking = F.array_except("needed", F.transform("tokens", lambda a: a["token"]))
+    missing = F.transform(lacking, lambda n: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), F.regexp_extract(n, r"\A[^}]*\}(.*)\z", 1), F.lit(" of "), c("name")).alias("message")))
     checked = F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(given, of_attribute)), missing)).otherwise(F.array(of_element[0]))
     parts = [met.select("doc_id", "pre", F.inline(F.filter(checked, lambda f: f["rule"].isNotNull())))]
     parts += identity_violations(nodes, schema)
@@ -253,3 +341,27 @@ def schema_locations(nodes: DataFrame) -> DataFrame:
     return given.union(plain.select("doc_id", F.lit(""), attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation"))).distinct()
 
 
+def violations_by_location(nodes: DataFrame, read: Callable[[str], str], most: int = 1000) -> DataFrame:
+    """Each document judged by the schema that it names itself; a schema is compiled once, however many documents name it.
+
+    ``read`` gives the text of a schema by its location (a catalog's answer, a file) and
+    raises ``KeyError`` or ``OSError`` where there is none: its documents then get the
+    violation ``schema-missing``.  A document with several locations is judged by the one
+    for its root's namespace.  Documents that name none get no row.  More than ``most``
+    distinct locations are refused, since each is compiled on the driver.
+    """
+    root = nodes.where("kind = 'element' and level = 0").select("doc_id", F.coalesce("ns_uri", F.lit("")).alias("ns"))
+    named = schema_locations(nodes).join(root, ["doc_id", "ns"]).groupBy("doc_id").agg(F.min("location").alias("location"))
+    found = [r["location"] for r in named.select("location").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} schema locations")
+    parts, lost = [], []
+    for location in sorted(found):
+        try:
+            schema = Schema(location, read)
+        except (KeyError, OSError):
+            lost.append(location)
+            continue
+        parts.append(xsd_violations(nodes.join(named.where(F.col("location") == location).select("doc_id"), "doc_id", "left_semi"), schema))
+    missing = named.where(F.col("location").isin(lost)).select("doc_id", F.lit(0).alias("pre"), F.lit("schema-missing").alias("rule"), F.concat(F.lit("no schema at "), F.col("location")).alias("message"))
+    return all_of([*parts, missing])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import datatypes as dt
 from ..operators.json import Node, build_tree
+from . import wildcards as wild
 
 XS = "http://www.w3.org/2001/XMLSchema"
 _FACETS = {"minInclusive": "min_inclusive", "maxInclusive": "max_inclusive", "minExclusive": "min_exclusive", "maxExclusive": "max_exclusive"}
@@ -61,6 +62,21 @@ class AttributeRule:
     use: str = "optional"
     default: str | None = None
     fixed: str | None = None
+    ns: str = ""
+
+    @property
+    def token(self) -> str:
+        return f"{self.ns}}}{self.name}"
+
+
+class Wildcard(NamedTuple):
+    """The namespaces that a wildcard covers, and how strictly it has them checked."""
+
+    covers: wild.Constraint
+    strictness: str = "strict"
+
+
+ANYTHING = Wildcard(("any",), "lax")
 
 
 @dataclass
@@ -70,11 +86,27 @@ class ComplexType:
     pattern: str = ""
     simple: SimpleType | None = None
     attributes: dict[str, AttributeRule] = field(default_factory=dict)
-    any_attribute: str | None = None
+    any_attribute: Wildcard | None = None
     base: str | None = None
     method: str | None = None
     abstract: bool = False
     children: list[ElementRule] = field(default_factory=list)
+    references: list[Name] = field(default_factory=list)  # global elements that the model names
+    wildcards: list[Wildcard] = field(default_factory=list)  # in the order of the model
+    block: frozenset[str] = frozenset()
+    parent: ComplexType | SimpleType | None = field(default=None, repr=False, compare=False)
+
+    def steps_from(self, base: ComplexType) -> list[str] | None:
+        """Methods by which the type derives from ``base``, none for itself; None where it doesn't."""
+        at, methods = self, []
+        while at is not base:
+            if isinstance(at, SimpleType) and at == base.simple:
+                return methods
+            if not isinstance(at, ComplexType) or at.parent is None:
+                return None
+            methods.append(at.method)
+            at = at.parent
+        return methods
 
 
 @dataclass
@@ -89,6 +121,14 @@ class ElementRule:
     abstract: bool = False
     constraints: list[tuple[str, str, str, tuple[str, ...], str | None]] = field(default_factory=list)  # kind, name, selector, fields, refer
     head: Name | None = None
+    block: frozenset[str] = frozenset()
+
+    def allows(self, kind: ComplexType) -> bool:
+        """Whether an instance may name ``kind`` by xsi:type: derived from the declared type, by no blocked method."""
+        if self.type.kind == "ANY":
+            return True
+        steps = kind.steps_from(self.type)
+        return steps is not None and not (self.block | self.type.block).intersection(steps)
 
 
 def _attr(e: Node, name: str, default: str | None = None) -> str | None:
@@ -146,7 +186,7 @@ class Schema:
         if (path, including) in self.documents:
             return
         root = next(n for n in build_tree(self.read(path)) if n.kind == "element")
-        doc = Doc(path, _attr(root, "targetNamespace") or including or "", {k[6:]: v for k, v in root.attrs if k == "xmlns" or k.startswith("xmlns:")}, _attr(root, "elementFormDefault") == "qualified", root)
+        doc = Doc(path, _attr(root, "targetNamespace") or including or "", {k[6:]: v for k, v in root.attrs if k == "xmlns" or k.startswith("xmlns:")}, _attr(root, "elementFormDefault") == "qualified", root, _attr(root, "attributeFormDefault") == "qualified")
         self.documents[path, including] = doc
         for e in _kids(root, "include", "import", "redefine"):
             location = _attr(e, "schemaLocation")
@@ -182,7 +222,7 @@ class Schema:
 
     def type(self, name: Name) -> ComplexType | SimpleType:
         if name[0] == XS:
-            return ComplexType("anyType", "ANY", any_attribute="##any") if name[1] == "anyType" else SimpleType(name[1], name[1])
+            return ComplexType("anyType", "ANY", any_attribute=ANYTHING, wildcards=[ANYTHING]) if name[1] == "anyType" else SimpleType(name[1], name[1])
         if name not in self.types:
             kind = "complexType" if name in self.parts["complexType"] else "simpleType"
             node, doc = self._find(kind, name)
@@ -229,6 +269,7 @@ class Schema:
     def _complex(self, e: Node, doc: Doc, out: ComplexType) -> None:
         mixed = _attr(e, "mixed") == "true"
         out.abstract = _attr(e, "abstract") == "true"
+        out.block = doc.blocked(e)
         simple, whole = _kids(e, "simpleContent"), _kids(e, "complexContent")
         own = e
         prefix = ""
@@ -239,6 +280,7 @@ class Schema:
             out.method = own.name.split(":")[-1]
             base_name = doc.qname(_attr(own, "base"))
             base, out.base = self.type(base_name), base_name[1]
+            out.parent = base
             if simple:
                 out.kind = "SIMPLE"
                 value = base if isinstance(base, SimpleType) else base.simple
@@ -247,11 +289,14 @@ class Schema:
                 out.simple = self._restricted(base_name[1], value, own) if out.method == "restriction" else value
             if isinstance(base, ComplexType):
                 out.attributes |= base.attributes
-                out.any_attribute = base.any_attribute
                 if out.method == "extension":
                     prefix, out.children = base.pattern, [*base.children]
+                    out.references, out.wildcards = [*base.references], [*base.wildcards]
                     mixed = mixed or base.kind == "MIXED"
         self._attributes(own, doc, out)
+        if out.method == "extension" and isinstance(base, ComplexType) and base.any_attribute:
+            other = out.any_attribute
+            out.any_attribute = Wildcard(wild.union(base.any_attribute.covers, other.covers), wild.laxer(base.any_attribute.strictness, other.strictness)) if other else base.any_attribute
         if out.kind != "SIMPLE":
             out.pattern = prefix + "".join(self._particle(p, doc, out) for p in _kids(own, "sequence", "choice", "all", "group"))
             out.kind = "MIXED" if mixed else "ELEMENT" if out.pattern else "EMPTY"
@@ -260,11 +305,13 @@ class Schema:
         for a in _kids(e, "attribute"):
             ref = _attr(a, "ref")
             node, where = (a, doc) if ref is None else (None, None)
+            ns = doc.target if ref is None and _attr(a, "form", "qualified" if doc.attributes_qualified else "unqualified") == "qualified" else ""
             if ref is not None and ref.startswith("xml:"):
                 name, kind, node = ref, SimpleType("string", "string"), a
             else:
                 if ref is not None:
                     node, where = self._find("attribute", doc.qname(ref))
+                    ns = where.target
                 name, inner = _attr(node, "name"), _kids(node, "simpleType")
                 given = _attr(node, "type")
                 kind = self._simple(inner[0], where) if inner else self.type(where.qname(given)) if given else SimpleType("anySimpleType", "anySimpleType")
@@ -272,12 +319,25 @@ class Schema:
             if use == "prohibited":
                 out.attributes.pop(name, None)
             else:
-                out.attributes[name] = AttributeRule(name, kind, use, _attr(a, "default", _attr(node, "default")), _attr(a, "fixed", _attr(node, "fixed")))
+                out.attributes[name] = AttributeRule(name, kind, use, _attr(a, "default", _attr(node, "default")), _attr(a, "fixed", _attr(node, "fixed")), ns)
         for g in _kids(e, "attributeGroup"):
             node, where = self._find("attributeGroup", doc.qname(_attr(g, "ref")))
             self._attributes(node, where, out)
         for w in _kids(e, "anyAttribute"):
-            out.any_attribute = _attr(w, "namespace", "##any")
+            own, other = self._wildcard(w, doc), out.any_attribute
+            out.any_attribute = Wildcard(wild.intersection(own.covers, other.covers), wild.stricter(own.strictness, other.strictness)) if other else own
+
+    @staticmethod
+    def _wildcard(e: Node, doc: Doc) -> Wildcard:
+        return Wildcard(wild.parse(_attr(e, "namespace", "##any"), doc.target), _attr(e, "processContents", "strict"))
+
+    def global_attributes(self) -> dict[Name, SimpleType]:
+        """Types of the attributes declared at the top, which wildcards look up."""
+        out = {}
+        for name, (node, doc) in self.parts["attribute"].items():
+            inner, given = _kids(node, "simpleType"), _attr(node, "type")
+            out[name] = self._simple(inner[0], doc) if inner else self.type(doc.qname(given)) if given else SimpleType("anySimpleType", "anySimpleType")
+        return out
 
     # -- particles
 
@@ -289,11 +349,13 @@ class Schema:
             ref = _attr(e, "ref")
             if ref is not None:
                 ns, local = doc.qname(ref)
+                owner.references.append((ns, local))
                 return f"(?:@{ns}}}{local}@){occurs(e)}"  # its substitutes are put in later
             rule = self._element(e, doc, "?")
             owner.children.append(rule)
             return f"(?:{_token(rule.ns, rule.name)}){occurs(e)}"
         if kind == "any":
+            owner.wildcards.append(self._wildcard(e, doc))
             return wildcard(_attr(e, "namespace", "##any"), doc.target) + occurs(e)
         if kind == "group":
             node, where = self._find("group", doc.qname(_attr(e, "ref")))
@@ -329,7 +391,7 @@ class Schema:
             for c in _kids(e, "unique", "key", "keyref")
         ]
         head = _attr(e, "substitutionGroup")
-        return ElementRule(context, doc.target if qualified else "", _attr(e, "name"), kind, _attr(e, "default"), _attr(e, "fixed"), _attr(e, "nillable") == "true", _attr(e, "abstract") == "true", constraints, doc.qname(head) if head else None)
+        return ElementRule(context, doc.target if qualified else "", _attr(e, "name"), kind, _attr(e, "default"), _attr(e, "fixed"), _attr(e, "nillable") == "true", _attr(e, "abstract") == "true", constraints, doc.qname(head) if head else None, doc.blocked(e))
 
     def members(self, head: Name) -> list[Name]:
         """Elements that may stand for ``head``, itself first, over any number of steps; abstract ones aside."""
@@ -337,7 +399,15 @@ class Schema:
         while edge:
             edge = [n for n, r in self.globals.items() if r.head in edge and n not in found]
             found += edge
-        return [n for n in found if n in self.globals and not self.globals[n].abstract]
+        return [n for n in found if n in self.globals and not self.globals[n].abstract and self._may_stand(n, head)]
+
+    def _may_stand(self, name: Name, head: Name) -> bool:
+        """Whether the head's ``block`` lets an element stand for it."""
+        if name == head or head not in self.globals:
+            return True
+        rule = self.globals[head]
+        steps = self.globals[name].type.steps_from(rule.type) or []
+        return "substitution" not in rule.block and not (rule.block | rule.type.block).intersection(steps)
 
     def _substitute(self) -> None:
         def put(m: re.Match) -> str:
@@ -433,6 +503,12 @@ class Doc:
     spaces: dict[str, str]
     qualified: bool
     root: Node
+    attributes_qualified: bool = False
+
+    def blocked(self, e: Node) -> frozenset[str]:
+        """Methods that an element or type shuts out, by itself or by the document's default."""
+        words = frozenset((_attr(e, "block", _attr(self.root, "blockDefault", "")) or "").split())
+        return frozenset(("extension", "restriction", "substitution")) if "#all" in words else words
 
     def qname(self, name: str) -> Name:
         prefix, _, local = name.rpartition(":")

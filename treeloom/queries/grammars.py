@@ -174,6 +174,61 @@ def xsd_wildcard_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaces.select("ns", *[wildcard_allows(w, F.col("ns"), "urn:t").alias(n) for n, w in (("any_", "##any"), ("other_", "##other"), ("local_", "##local"), ("target_", "##targetNamespace"), ("list_", "urn:o ##local"))])
 
 
+_XS = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"'
+_HOLDER = '<xs:element name="{0}"><xs:complexType>{1}</xs:complexType></xs:element>'
+_ANY = '<xs:sequence><xs:any processContents="{0}" maxOccurs="unbounded"/></xs:sequence>'
+CONTENTS_XSD = _XS + '><xs:element name="n" type="xs:int"/>' + _HOLDER.format("d", "<xs:sequence>" + "".join(_HOLDER.format(*p) for p in (("s", _ANY.format("strict")), ("l", _ANY.format("lax")), ("k", _ANY.format("skip")))) + "</xs:sequence>") + "</xs:schema>"
+FOREIGN_XSD = _XS + ' xmlns="urn:t" targetNamespace="urn:t" elementFormDefault="qualified"><xs:attribute name="top" type="xs:int"/>' + _HOLDER.format("d", "<xs:sequence>" + "".join(_HOLDER.format(n, f'<xs:anyAttribute namespace="{w}" processContents="{p}"/>') for n, w, p in (("s", "##targetNamespace", "strict"), ("l", "##any", "lax"), ("k", "##other", "skip"))) + "</xs:sequence>") + "</xs:schema>"
+BLOCK_XSD = _XS + """><xs:complexType name="base"><xs:attribute name="x" type="xs:int"/></xs:complexType><xs:complexType name="alien"/>
+<xs:complexType name="ext"><xs:complexContent><xs:extension base="base"><xs:attribute name="y"/></xs:extension></xs:complexContent></xs:complexType>
+<xs:complexType name="res"><xs:complexContent><xs:restriction base="base"><xs:attribute name="x" type="xs:byte"/></xs:restriction></xs:complexContent></xs:complexType>
+<xs:element name="h" type="base" block="substitution"/><xs:element name="m" type="base" substitutionGroup="h"/>
+<xs:element name="d"><xs:complexType><xs:sequence><xs:element name="a" type="base"/><xs:element name="b" type="base" block="extension"/><xs:element ref="h"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+LOCATED_XSD = {f"/x/{n}.xsd": f'{_XS}><xs:element name="r" type="xs:{t}"/></xs:schema>' for n, t in (("number", "int"), ("name", "NCName"))}
+
+
+def _by_customer(spark: SparkSession, sf_dir: str, xml) -> DataFrame:
+    return nodes_of(parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"))))
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy(F.col("doc_id").alias("c_custkey"), "rule").agg(F.count("*").alias("n"))
+
+
+def _variant(n: int, *texts: str):
+    """One of the texts by the customer's number."""
+    return F.get(F.array(*[F.lit(t) for t in texts]), (F.col("c_custkey") % n).cast("int"))
+
+
+def xsd_process_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same elements below a strict, a lax and a skipping wildcard."""
+    body = _variant(4, "<n>1</n>", "<n>x</n>", "<u><n>x</n></u>", '<u a="1"><w/></u>')
+    xml = F.concat(F.lit("<d><s>"), body, F.lit("</s><l>"), body, F.lit("</l><k>"), body, F.lit("</k></d>"))
+    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(CONTENTS_XSD)))
+
+
+def xsd_attribute_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same attribute below three wildcards; one prefix is bound further up."""
+    given = _variant(4, ' t:top="5"', ' t:top="x"', ' o:y="1"', ' t:none="1"')
+    xml = F.concat(F.lit('<t:d xmlns:t="urn:t" xmlns:o="urn:o"><t:s'), given, F.lit("/><t:l"), given, F.lit("/><t:k"), given, F.lit("/></t:d>"))
+    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(FOREIGN_XSD)))
+
+
+def xsd_blocked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types named by instances: derived or not, by a blocked method or not; a substitute that its head shuts out."""
+    given = _variant(4, "", ' xsi:type="ext"', ' xsi:type="res"', ' xsi:type="alien"')
+    xml = F.concat(F.lit('<d xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><a'), given, F.lit("/><b"), given, F.lit("/>"), _variant(3, "<m/>", "<h/>", "<h/>"), F.lit("</d>"))
+    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(BLOCK_XSD)))
+
+
+def xsd_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document judged by the schema that it names; some name none, some one that isn't there."""
+    key = F.col("c_custkey")
+    where = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit(' xsi:noNamespaceSchemaLocation="/x/'), F.when(key % 5 == 0, "gone").when(key % 2 == 0, "name").otherwise("number"), F.lit('.xsd"')))
+    xml = F.concat(F.lit('<r xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'), where, F.lit(">"), F.when(key % 3 == 0, key.cast("string")).otherwise(F.col("c_mktsegment")), F.lit("</r>"))
+    return _counted(val.violations_by_location(stored(_by_customer(spark, sf_dir, xml)), LOCATED_XSD.__getitem__))
+
+
 def xsd_default_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="customer"><xs:complexType><xs:sequence><xs:element name="name" default="nobody"/><xs:element name="bal100"/></xs:sequence><xs:attribute name="seg" default="NONE"/><xs:attribute name="v" fixed="1"/></xs:complexType></xs:element></xs:schema>')
     c = table(spark, sf_dir, "customer")
@@ -369,7 +424,7 @@ def append_and_remove_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dtd_content_model_conversations, dtd_violation_rules, dtd_first_violation, dtd_default_merge, dtd_internal_defaults, dtd_entity_expansion, dtd_rule_tables,
-    grammar_merge_keep_first, id_idref_parts, xsd_order_violations, violations_rollup, xsd_types_of_one_name, xsd_sequence_choice_all, xsd_wildcard_namespaces, xsd_default_fixed,
+    grammar_merge_keep_first, id_idref_parts, xsd_order_violations, violations_rollup, xsd_types_of_one_name, xsd_process_contents, xsd_attribute_wildcards, xsd_blocked_types, xsd_by_location, xsd_sequence_choice_all, xsd_wildcard_namespaces, xsd_default_fixed,
     xsd_union_list, xsd_xsi_type_nil, substitution_group_closure, xsd_schema_rules, xsd_native_differential, identity_unique_lineitem, identity_key_lineitem,
     identity_keyref_orders_customer, catalog_rewrite_pages, catalog_suffix_pages, catalog_delegate_public, rng_defaults, default_precedence, schema_locations, rng_references, wildcard_algebra, type_derivation_closure,
     value_space_fixed, append_and_remove_children,
@@ -401,6 +456,10 @@ ORACLES = {
     "xsd_order_violations": f"select rule, count(*) as n from ({_RULES} union all select 'unique', '', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by 1",
     "violations_rollup": f"select rule, message, count(*) as n, count(distinct doc) as docs from ({_RULES} union all select 'unique', 'repeated value of lineNumber', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by rollup (rule, message)",
     "xsd_types_of_one_name": "select c_custkey, 'value-type' as rule, cast((c_custkey % 3 = 0)::int + (c_custkey % 4 = 0)::int as bigint) as n from customer where c_custkey % 3 = 0 or c_custkey % 4 = 0 union all select c_custkey, r, 1 from customer, (values ('content-model'), ('element-undeclared')) v(r) where c_custkey % 5 = 0",
+    "xsd_process_contents": "select c_custkey, rule, n::bigint as n from customer, (values (1, 'value-type', 2), (2, 'element-undeclared', 1), (2, 'value-type', 2), (3, 'element-undeclared', 2)) v(m, rule, n) where c_custkey % 4 = m",
+    "xsd_attribute_wildcards": "select c_custkey, rule, n::bigint as n from customer, (values (0, 'attribute-undeclared', 1), (1, 'attribute-type', 2), (1, 'attribute-undeclared', 1), (2, 'attribute-undeclared', 1), (3, 'attribute-undeclared', 2)) v(m, rule, n) where c_custkey % 4 = m",
+    "xsd_blocked_types": "select c_custkey, 'type-blocked' as rule, case c_custkey % 4 when 1 then 1 else 2 end::bigint as n from customer where c_custkey % 4 in (1, 3) union all select c_custkey, 'content-model', 1 from customer where c_custkey % 3 = 0",
+    "xsd_by_location": "select c_custkey, case when c_custkey % 5 = 0 then 'schema-missing' else 'value-type' end as rule, 1::bigint as n from customer where c_custkey % 7 != 0 and (c_custkey % 5 = 0 or (c_custkey % 2 = 0) = (c_custkey % 3 = 0))",
     "xsd_sequence_choice_all": f"select c_custkey % 12 as class, regexp_full_match(s, 'ab?c*') as seq, regexp_full_match(s, '[ab]{{1,3}}') as cho, contains(s, 'a') and contains(s, 'b') and length(s) = len(list_distinct(string_split(s, ''))) as al, count(*) as n from {_KIDS} group by 1, 2, 3, 4",
     "xsd_wildcard_namespaces": "select * from (values ('', true, false, true, false, true), ('urn:t', true, false, false, true, false), ('urn:o', true, true, false, false, true)) x(ns, any_, other_, local_, target_, list_)",
     "xsd_default_fixed": "select c_custkey, case when c_custkey % 2 = 1 then c_mktsegment else 'NONE' end as seg, '1' as v, case when c_custkey % 2 = 1 then c_name else 'nobody' end as name from customer",
