@@ -285,14 +285,14 @@ def xsd_native_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity
 
 def identity_unique_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nodes_of(parse(synth.orders(spark, sf_dir)))
+    nodes = stored(nav.elements(nodes_of(parse(synth.orders(spark, sf_dir)))))
     rows = ident.tuples(nav.roots(nodes), nodes, "line", ["@n"])
     return ident.repeated(rows).select(F.col("doc_id").alias("l_orderkey"), F.col("f0").cast("int").alias("l_linenumber"), "n")
 
 
 def identity_key_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key of part and quantity: repeated and incomplete tuples."""
-    nodes = nodes_of(parse(synth.orders(spark, sf_dir)))
+    nodes = stored(nodes_of(parse(synth.orders(spark, sf_dir))))
     rows = ident.tuples(nav.roots(nodes), nodes, "./line", ["@part", "qty", "@none"]).drop("f2")
     missing = ident.incomplete(ident.tuples(nav.roots(nodes), nodes, "./line", ["@part", "@none"]))
     return ident.repeated(rows).agg(F.count("*").alias("repeated")).crossJoin(F.broadcast(missing.agg(F.count("*").alias("incomplete"))))

@@ -22,7 +22,11 @@ def element(name: str, *content, **attrs) -> F.Column:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, xml``: an order with its lines, by number."""
+    """``doc_id, xml``: an order with its lines, by number.
+
+    Merged, since the lines already lie by order: a broadcast found at run time would leave
+    the documents in as many tasks as the orders have files, and parsing needs all cores.
+    """
     li = table(spark, sf_dir, "lineitem")
     line = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("qty"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price100")
@@ -33,7 +37,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda x: element("line", element("qty", x["qty"]), element("price100", x["price100"]), n=x["l_linenumber"], part=x["l_partkey"], supp=x["l_suppkey"], flag=x["l_returnflag"]),
     )
     o = table(spark, sf_dir, "orders")
-    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    return o.hint("merge").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("doc_id"),
         element("order", F.coalesce(F.array_join(text, ""), F.lit("")), key=F.col("o_orderkey"), cust=F.col("o_custkey"), status=F.col("o_orderstatus")).alias("xml"),
     )
