@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from treeloom.functions import datatypes as dt
 from treeloom.functions.patterns import PatternError, translate
 from treeloom.operators import json as js
+from treeloom.operators import navigate as nav
 from treeloom.operators import serialize as ser
 from treeloom.plans.catalog import Catalog
 from treeloom.plans.dtd import compile_dtd
+from treeloom.plans.xsd import compile_schema
 from treeloom.plans.xsd_rules import BAD_EXAMPLES, check_schema, check_together
 from treeloom.sources.readers import decode_content, read_documents
 from treeloom.sources.tokenizer import DocumentParser, NodeRows, nodes_of, parse, pseudo_attributes, status_of
@@ -163,3 +165,29 @@ def test_written_documents_come_back_character_for_character(spark, tmp_path):
         back = js.read_xml(spark, str(tmp_path / str(each)), one_file_each=each).collect()
         assert sorted(r.xml for r in back) == sorted(texts)
     assert {r.doc_id: r.xml for r in js.read_xml(spark, str(tmp_path / "True"), one_file_each=True).collect()} == dict(enumerate(texts))
+
+
+def test_types_that_instances_may_name():
+    derived = '<xs:complexType name="{0}"><xs:complexContent><xs:{1} base="{2}"/></xs:complexContent></xs:complexType>'
+    text = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" blockDefault="restriction"><xs:complexType name="b"/>{}<xs:element name="e" type="b"/><xs:element name="f" type="b" block=""/><xs:element name="a"/></xs:schema>'
+    schema = compile_schema("s", {"s": text.format("".join(derived.format(*d) for d in (("x", "extension", "b"), ("r", "restriction", "x"))) + '<xs:complexType name="o"/>')})
+    allowed = lambda e: [n for n in "bxro" if schema.globals["", e].allows(schema.type(("", n)))]
+    assert allowed("e") == ["b", "x"]
+    assert allowed("f") == ["b", "x"]  # the type's own default still blocks
+    assert allowed("a") == list("bxro")
+
+
+def test_attribute_wildcards_combine():
+    group = '<xs:attributeGroup name="{0}"><xs:anyAttribute namespace="{1}" processContents="{2}"/></xs:attributeGroup>'
+    text = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="t" xmlns="t">{}<xs:complexType name="c"><xs:attributeGroup ref="g"/><xs:attributeGroup ref="h"/></xs:complexType><xs:complexType name="d"><xs:complexContent><xs:extension base="c"><xs:anyAttribute namespace="u" processContents="skip"/></xs:extension></xs:complexContent></xs:complexType></xs:schema>'
+    schema = compile_schema("s", {"s": text.format(group.format("g", "##other", "lax") + group.format("h", "v t", "strict"))})
+    assert schema.type(("t", "c")).any_attribute == (("in", frozenset(["v"])), "strict")
+    assert schema.type(("t", "d")).any_attribute == (("in", frozenset(["u", "v"])), "skip")
+
+
+def test_plain_steps_and_intervals_select_alike(spark):
+    nodes = nodes_of(parse(spark.createDataFrame([(1, "<r><a><b/><p:b xmlns:p='u'/></a><b/><a><c><b/></c></a></r>")], "doc_id long, xml string")))
+    found = lambda s: sorted((r["anc_pre"], r["pre"]) for r in nav.select(nav.roots(nodes), nodes, s).collect())
+    for plain in ("a/b", "./a/*", "child::a/child::c/b", ".", "p:b"):
+        assert found(plain) == found(f"{plain}|zz")  # alternatives meet by interval
+
