@@ -42,14 +42,14 @@ def hot_keys(counts: DataFrame, key: str) -> dict[int, int]:
     return {r[key]: -(-r["count"] // part) for r in counts.where(F.col("count") > part).select(key, "count").collect()}
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, hot: dict[int, int], by: str, how: str = "inner") -> DataFrame:
-    """``many.join(one, key)`` where rows of a hot key are spread by ``by``; ``one`` is repeated for each of its parts."""
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: dict[int, int], by: str, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``many.join(one, [key, *also])`` where rows of a hot key are spread by ``by``; ``one`` is repeated for each of its parts."""
     if not hot:
-        return many.join(one, key, how)
+        return many.join(one, [key, *also], how)
     parts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col(key)], F.lit(1))
     spread = many.withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int"))
     repeated = one.withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.join(repeated, [key, "hot_part"], how).drop("hot_part")
+    return spread.join(repeated, [key, "hot_part", *also], how).drop("hot_part")
 
 
 def ascii_lower(text: Column) -> Column:
