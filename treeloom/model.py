@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+XML_URI, XMLNS_URI = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
+XSI = "http://www.w3.org/2001/XMLSchema-instance"
+
 ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 
 NODES = T.StructType(
@@ -30,6 +33,23 @@ NODES = T.StructType(
     ]
 )
 
+#: What a grammar adds to elements; null for other nodes (see ``plans/assess``).
+ASSESSED = T.StructType(
+    [
+        T.StructField("declared", T.IntegerType()),
+        T.StructField("typed", T.IntegerType()),
+        T.StructField("xsi_type", T.StringType()),
+        T.StructField("nil", T.BooleanType()),
+        T.StructField("loose", T.BooleanType()),
+        T.StructField("skipped", T.BooleanType()),
+        T.StructField("scope", T.ArrayType(T.StringType())),
+        T.StructField("sequence", T.StringType()),  # the children's tokens, each with a blank behind
+        T.StructField("text", T.StringType()),  # text and CDATA right below
+        T.StructField("n_nodes", T.IntegerType()),
+        T.StructField("tokens", T.ArrayType(T.StringType())),  # one for each attribute
+    ]
+)
+
 #: Kinds and the numbers under which other tools know them.
 NODE_TYPES = {
     "document": 0, "element": 1, "attribute": 2, "cdata": 3, "comment": 4, "pi": 5, "text": 6, "entity": 7, "declaration": 8,

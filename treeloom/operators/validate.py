@@ -1,25 +1,29 @@
 """Validation: rule tables met with node rows give violations (``doc_id, pre, rule, message``).
 
 All violations are found; ``first_violation`` picks the first of each document.  Rule
-tables are as large as a grammar, so they are broadcast; child sequences are grouped by
-parent, which is the only shuffle.
+tables are as large as a grammar, so they are broadcast.  Where documents are parsed with
+the grammar at hand, elements come with their rules, child sequences and texts, and their
+checks need no shuffle at all; only identity constraints do.
 """
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.datatypes import canonical_value, list_items
-from ..functions.text import attribute, is_ncname, is_nmtoken, local_of, prefix_of
+from ..functions.text import attribute, is_ncname, is_nmtoken, prefix_of
+from ..model import ASSESSED
+from ..plans.assess import SchemaGrammar
 from ..plans.dtd import Dtd
-from ..plans.xsd import Schema, SimpleType, Wildcard
-from .identity import dangling_references, duplicate_ids, incomplete, repeated, tuples, unmatched
-
-XSI = "http://www.w3.org/2001/XMLSchema-instance"
+from ..plans.lineage import stored
+from ..plans.xsd import AttributeRule, Schema, SimpleType, Wildcard
+from ..sources.tokenizer import assess
+from .identity import dangling_references, duplicate_ids, incomplete, repeated, rising, tuples, unmatched
 
 
 def violation(rows: DataFrame, rule: str, message: Column) -> DataFrame:
@@ -48,7 +52,13 @@ def verdicts(nodes: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def child_sequences(nodes: DataFrame, token: Column | None = None) -> DataFrame:
-    """Elements with ``sequence`` (child tokens, each with a blank behind), ``text``, ``own_text`` and ``n_nodes``: one grouping by parent."""
+    """Elements with ``sequence`` (child tokens, each with a blank behind), ``text``, ``own_text`` and ``n_nodes``.
+
+    One grouping by parent, unless a grammar has given them to the rows while these were read.
+    """
+    filled = ~F.col("text").rlike(r"\A[ \t\r\n]*\z")
+    if "sequence" in nodes.columns:
+        return nodes.where("kind = 'element'").select("doc_id", "pre", "post", "name", "ns_uri", "attrs", "parent", "level", "path", "sequence", "text", "n_nodes", filled.alias("own_text"))
     token = F.concat(F.col("name"), F.lit(" ")) if token is None else token
     inner = nodes.where("parent >= 0").select(
         "doc_id", F.col("parent").alias("pre"), "sib", F.when(F.col("kind") == "element", token).alias("token"),
@@ -61,7 +71,7 @@ def child_sequences(nodes: DataFrame, token: Column | None = None) -> DataFrame:
     )
     el = nodes.where("kind = 'element'").select("doc_id", "pre", "post", "name", "ns_uri", "attrs", "parent", "level", "path")
     met = el.join(grouped, ["doc_id", "pre"], "left").na.fill("", ["sequence", "text"]).na.fill(0, ["n_nodes"])
-    return met.withColumn("own_text", ~F.col("text").rlike(r"\A[ \t\r\n]*\z"))
+    return met.withColumn("own_text", filled)
 
 
 # --- DTD --------------------------------------------------------------------------------------------------------
@@ -142,36 +152,64 @@ def _covers(w: Column, ns: Column) -> Column:
     return F.when(w["form"] == "any", F.lit(True)).when(w["form"] == "not", ~inside).otherwise(inside)
 
 
-def outer_prefixes(nodes: DataFrame) -> DataFrame:
-    """``doc_id, pre, outer``: the prefixes of an element's attributes that neither its name nor a declaration of its own binds, with their namespaces."""
-    el = nodes.where("kind = 'element'").select("doc_id", "pre", "post", "level", prefix_of(F.col("name")).alias("own"), "attrs", F.explode("attrs").alias("a"))
-    prefix = prefix_of(F.col("a.name"))
-    open_ = el.where(~prefix.isin("", "xml", "xmlns", "xsi") & (prefix != F.col("own"))).where(~F.exists("attrs", lambda a: a["name"] == F.concat(F.lit("xmlns:"), prefix)))
-    bound = el.where("a.name like 'xmlns:%'").select(
-        F.col("doc_id").alias("b_doc"), F.col("pre").alias("b_pre"), F.col("post").alias("b_post"), F.col("level").alias("b_level"), local_of(F.col("a.name")).alias("b_prefix"), F.col("a.value").alias("uri"),
-    )
-    asked = open_.select("doc_id", "pre", prefix.alias("prefix")).distinct()
-    met = asked.join(bound, F.expr("doc_id = b_doc and prefix = b_prefix and pre > b_pre and pre <= b_post")).groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "b_level").alias("uri"))
-    return met.groupBy("doc_id", "pre").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "uri"))).alias("outer"))
+def chosen(which: Column, ways: dict[int, Column], otherwise: Column) -> Column:
+    """The expression that ``which`` numbers, as one flat choice."""
+    out = None
+    for k, way in ways.items():
+        out = F.when(which == k, way) if out is None else out.when(which == k, way)
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
+def accepts_bound(kind: SimpleType, value: Column, scope: Column) -> Column:
+    """Whether a text is of the type, and its qualified names have prefixes that ``scope`` binds."""
+    if not kind.has_base(("QName", "NOTATION")):
+        return kind.accepts(value)
+    if kind.members:
+        return kind.accepts(value) & reduce(Column.__or__, [accepts_bound(m, value, scope) for m in kind.members])
+    prefixes = F.transform(list_items(value), prefix_of)
+    return kind.accepts(value) & F.forall(prefixes, lambda p: (p == "") | (p == "xml") | F.array_contains(scope, p))
+
 
+def id_roles(kind: SimpleType, value: Column) -> Column:
+    """``array<struct<role, value>>``: the IDs (role ``ID``) and references (``IDREF``) that a text of the type holds."""
+    none = F.array().cast("array<struct<role:string,value:string>>")
+    if kind.members:
+        return F.coalesce(*[F.when(m.accepts(value), id_roles(m, value)) for m in kind.members], none)
+    base = (kind.item or kind).base
+    role = {"ID": "ID", "IDREF": "IDREF", "IDREFS": "IDREF"}.get(base)
+    if kind.item is not None and kind.item.members:
+        return F.flatten(F.transform(list_items(value), lambda v: id_roles(kind.item, v)))
+    return none if role is None else F.transform(list_items(value), lambda v: F.struct(F.lit(role).alias("role"), v.alias("value")))
 
-def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
-    """Violations of a compiled schema, identity constraints included.
 
-    An element is met with the rule for its name in its parent's type, which the path gives
-    step by step, or with the global rule.  ``xsi:nil`` empties, ``xsi:type`` names another
-    type, which must derive from the declared one by methods that aren't blocked; further
-    below, where the path leads to no type, the parent's name decides.
+def grammar_of(schema: Schema | SchemaGrammar) -> SchemaGrammar:
+    return SchemaGrammar([schema]) if isinstance(schema, Schema) else schema
 
-    What a wildcard covers is checked as it says: ``skip`` leaves out the whole subtree,
-    ``lax`` checks what is declared at the top, ``strict`` (the default) wants a declaration.
-    The subtrees are found by one window in document order, only if the schema has such wildcards.
+
+def xsd_violations(nodes: DataFrame, schema: Schema | SchemaGrammar, number: str | None = None) -> DataFrame:
+    """Violations of a compiled schema, ID values and identity constraints included.
+
+    ``nodes`` are node rows, best those of ``parse(docs, grammar=SchemaGrammar([schema]))``:
+    then each element has its rule already.  Other rows are read once more in document
+    order; with several schemas, the column ``number`` says which one judges a document.
+
+    An element is met with the rule for its name and namespace in its parent's type, or with
+    the global rule; ``xsi:type`` (by any prefix of its namespace) names another type, which
+    rules all that lies below and must derive from the declared one by methods that aren't
+    blocked.  ``xsi:nil`` empties.  What a wildcard covers is checked as it says: ``skip``
+    leaves out the whole subtree, ``lax`` checks what is declared at the top, ``strict`` (the
+    default) wants a declaration.
     """
-    spark = nodes.sparkSession
-    places = schema.places()
-    rules = [p.rule for p in places]
-    named_complex = {p.rule.name: p.rule.type for p in places if p.context == "(type)"}
-    # checkers of simple types, one for each distinct type
+    grammar = grammar_of(schema)
+    judged = nodes if ASSESSED.fieldNames()[0] in nodes.columns else assess(nodes, grammar, number)
+    met, kinds = with_rules(judged, grammar)
+    out = met.select("doc_id", "pre", F.inline(F.filter(faults_of(met, grammar, kinds), lambda f: f["rule"].isNotNull())))
+    return all_of([out, *id_violations(met, kinds), *identity_violations(nodes, judged, grammar)])
+
+
+def with_rules(judged: DataFrame, grammar: SchemaGrammar) -> tuple[DataFrame, list[SimpleType]]:
+    """Assessed elements beside their rules, and the distinct simple types by number."""
+    spark, rules = judged.sparkSession, grammar.rules
     kinds: list[SimpleType] = []
 
     def kind_of(t: SimpleType | None) -> int | None:
@@ -181,153 +219,146 @@ def xsd_violations(nodes: DataFrame, schema: Schema) -> DataFrame:
             kinds.append(t)
         return kinds.index(t)
 
-    at_top = {f"{ns}}}{name}": kind_of(t) for (ns, name), t in schema.global_attributes().items()}
-    attributes = [list(r.type.attributes.values()) for r in rules]
-    permitted = [None if r.type.kind == "ANY" else sorted(n for n, t in named_complex.items() if r.allows(t)) for r in rules]
+    tops: dict[int, dict[str, int]] = {}
+    for n, s in enumerate(grammar.schemas):
+        tops[n] = {f"{ns}}}{name}": kind_of(t) for (ns, name), t in s.global_attributes().items()}
+    rows, declared = [], []
+    for k, r in enumerate(rules):
+        own: list[AttributeRule] = list(r.type.attributes.values())
+        number = grammar.schema_of[k]
+        rows.append((
+            k, r.type.kind, rf"\A{r.type.pattern}\z", r.type.abstract, kind_of(r.type.simple), sorted(a.token for a in own if a.use == "required"), {a.token: kind_of(a.type) for a in own},
+            {a.token: a.fixed for a in own if a.fixed is not None}, _wild_row(r.type.any_attribute), tops[number] if r.type.any_attribute and r.type.any_attribute.strictness != "skip" else {},
+        ))
+        named = [t for (n, _, _), t in grammar.named.items() if n == number]
+        permitted = None if r.type.kind == "ANY" else [t for t in named if r.allows(rules[t].type)]
+        declared.append((k, r.fixed, r.default, r.nillable, r.abstract, permitted))
     table = spark.createDataFrame(
-        [
-            (k, places[k].context, r.ns, r.name, r.type.kind, rf"\A{r.type.pattern}\z", r.abstract or r.type.abstract, kind_of(r.type.simple), sorted(a.token for a in attributes[k] if a.use == "required"),
-             {a.token: kind_of(a.type) for a in attributes[k]}, {a.token: a.fixed for a in attributes[k] if a.fixed is not None}, _wild_row(r.type.any_attribute))
-            for k, r in enumerate(rules)
-        ],
-        f"rule_id int, context string, r_ns string, r_name string, content string, pattern string, abstract boolean, value_kind int, needed array<string>, attr_kinds map<string,int>, attr_fixed map<string,string>, attr_wild {_WILD}",
-    )
-    declared = spark.createDataFrame([(k, r.fixed, r.default, r.nillable, permitted[k]) for k, r in enumerate(rules)], "declared int, fixed string, default_value string, nillable boolean, permitted array<string>")
-    token = F.concat(F.coalesce("ns_uri", F.lit("")), F.lit("}"), local_of(F.col("name")), F.lit(" "))
-    rows = child_sequences(nodes, token).withColumn("local", local_of(F.col("name"))).withColumn("ns", F.coalesce("ns_uri", F.lit("")))
-    # the parent's type follows from the names in the path; children of an element with xsi:type follow that type
-    named_types = {p.rule.name: p.own for p in places if p.context == "(type)"}
-    steps = {f"{p.context} {p.rule.name}": p.own for p in reversed(places) if p.context != "(type)"}
-    lookup = lambda known, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key) if known else F.lit(None).cast("string")
-    above = F.slice(F.split("path", "/"), F.lit(2), F.col("level"))
-    follow = lambda state, name: F.coalesce(lookup(steps, F.concat(state, F.lit(" "), local_of(name))), lookup(steps, F.concat(F.lit(" "), local_of(name))), F.lit("?"))
-    by_path = F.when(F.col("level") > 0, F.aggregate(above, F.lit(""), follow)).otherwise("")
-    if any(p is None or len(p) > 1 or (p and p != [rules[k].type.name]) for k, p in enumerate(permitted)):
-        stated = lookup(named_types, local_of(attribute(F.col("attrs"), "xsi:type")))
-        typed_parents = nodes.where("kind = 'element'").where(stated.isNotNull()).select("doc_id", F.col("pre").alias("parent"), stated.alias("stated"))
-        rows = rows.join(typed_parents, ["doc_id", "parent"], "left").withColumn("inside", F.coalesce("stated", by_path))
-    else:  # no element may name a type other than its own
-        rows = rows.withColumn("inside", by_path)
-    local_rules, global_rules = table.where("context like '#%'"), table.where("context = ''")
-    near = rows.join(F.broadcast(local_rules.select(F.col("context").alias("inside"), F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("near"))), ["inside", "local", "ns"], "left")
-    owners = {p.own: p.rule.name for p in reversed(places) if p.context != "(type)"}
-    by_name = {(owners[p.context], p.rule.name, p.rule.ns): k for k, p in reversed([*enumerate(places)]) if p.context in owners}
-    fallback = spark.createDataFrame([("?", *n, k) for n, k in by_name.items()], "inside string, parent_local string, local string, ns string, guess int")
-    near = near.withColumn("parent_local", local_of(F.try_element_at(above, F.lit(-1)))).join(F.broadcast(fallback), ["inside", "parent_local", "local", "ns"], "left")
-    far = near.join(F.broadcast(global_rules.select(F.col("r_name").alias("local"), F.col("r_ns").alias("ns"), F.col("rule_id").alias("far"))), ["local", "ns"], "left")
-    c = F.col
-    # wildcards of the parent's type
-    inner = {p.own: p.rule.type for p in places}
-    covering = spark.createDataFrame(
-        [(own, [_wild_row(w) for w in t.wildcards], [f"{ns}}}{n}" for head in t.references for ns, n in schema.members(head)]) for own, t in inner.items() if t.wildcards],
-        f"inside string, wilds array<{_WILD}>, referred array<string>",
-    )
-    far = far.join(F.broadcast(covering), "inside", "left")
-    first = F.get(F.filter("wilds", lambda w: _covers(w, c("ns"))), F.lit(0))["strictness"]
-    free = c("near").isNull() & ~F.array_contains("referred", F.concat(c("ns"), F.lit("}"), c("local")))
-    far = far.withColumn("strictness", F.when(free, first))
-    # xsi:type: a rule of that type
-    extra = [(p.rule.name, k) for k, p in enumerate(places) if p.context == "(type)"]
-    by_type = spark.createDataFrame(extra, "xsi_type string, typed int")
-    met = far.withColumn("xsi_type", local_of(attribute(F.col("attrs"), "xsi:type"))).join(F.broadcast(by_type), "xsi_type", "left")
-    if {w.strictness for t in inner.values() for w in t.wildcards} - {"strict"}:
-        behind = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        reaches = lambda top: F.coalesce(F.max(F.when(top, c("post"))).over(behind) >= c("pre"), F.lit(False))
-        met = met.withColumn("skipped", reaches(c("strictness") == "skip")).withColumn("loose", reaches((c("strictness") == "lax") & c("far").isNull() & c("typed").isNull())).where("not skipped")
-    else:
-        met = met.withColumn("loose", F.lit(False))
-    met = (
-        met.withColumn("declared", F.coalesce("near", F.when(~c("loose"), c("guess")), "far"))
-        .withColumn("rule_id", F.coalesce("typed", "declared"))
-        .join(F.broadcast(table.drop("context", "r_ns", "r_name")), "rule_id", "left")
-        .join(F.broadcast(declared), "declared", "left")
-        .withColumn("nil", F.coalesce(attribute(F.col("attrs"), "xsi:nil").isin("true", "1"), F.lit(False)))
-        .withColumn("bare", (F.col("sequence") == "") & (F.col("text") == ""))
+        rows, f"rule_id int, content string, pattern string, abstract_type boolean, value_kind int, needed array<string>, attr_kinds map<string,int>, attr_fixed map<string,string>, attr_wild {_WILD}, attr_top map<string,int>"
     )
-    if any(t.any_attribute for t in inner.values()) or any(a.ns for own in attributes for a in own):
-        met = met.join(outer_prefixes(nodes), ["doc_id", "pre"], "left")
-    else:
-        met = met.withColumn("outer", F.lit(None).cast("map<string,string>"))
-    named = lambda text: F.concat(F.lit(text), F.col("name"))
-
-    def accepted_by(which: Column, value: Column) -> Column:
-        out = F.lit(True)
-        for k, kind in enumerate(kinds):
-            out = F.when(which == k, kind.accepts(value)).otherwise(out)
-        return out
-
-    value = F.when(c("bare") & c("default_value").isNotNull(), c("default_value")).otherwise(c("text"))
-    filled = ~c("nil")
+    declarations = spark.createDataFrame(declared, "declared int, fixed string, default_value string, nillable boolean, abstract_element boolean, permitted array<int>")
+    elements = judged.where("kind = 'element' and not skipped").withColumn("rule_id", F.coalesce("typed", "declared"))
+    bare = (F.col("sequence") == "") & (F.col("text") == "")
+    met = elements.join(F.broadcast(table), "rule_id", "left").join(F.broadcast(declarations), "declared", "left").withColumn("bare", bare)
+    value = F.when(F.col("bare") & F.col("default_value").isNotNull(), F.col("default_value")).otherwise(F.col("text"))
+    given = F.filter(F.arrays_zip("attrs", "tokens"), lambda a: a["tokens"].isNotNull())
+    given = F.transform(given, lambda a: F.struct(a["attrs"]["name"].alias("name"), a["attrs"]["value"].alias("value"), a["tokens"].alias("token")))
+    return met.withColumn("content_value", value).withColumn("given", F.coalesce(given, F.array().cast("array<struct<name:string,value:string,token:string>>"))), kinds
+
+
+def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -> Column:
+    """All that is wrong with an element, its content and attributes, as one array of rules and messages."""
+    c, rules = F.col, grammar.rules
+    named = lambda text: F.concat(F.lit(text), c("name"))
+    accepted = lambda which, value: chosen(which, {k: accepts_bound(t, value, c("scope")) for k, t in enumerate(kinds)}, F.lit(True))
+    filled, own_text = ~c("nil"), ~c("text").rlike(r"\A[ \t\r\n]*\z")
     # fixed values are compared in the type's value space
-    changed = c("text") != c("fixed")
+    compared = {}
     for k, r in enumerate(rules):
         if r.fixed is not None and r.type.simple is not None and not r.type.simple.members and r.type.simple.item is None:
             base = r.type.simple.base
-            changed = F.when(c("declared") == k, canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)).otherwise(changed)
+            compared[k] = canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)
+    changed = chosen(c("declared"), compared, c("text") != c("fixed"))
+    simple = filled & (c("content") == "SIMPLE")
     of_element = [
-        fault(c("rule_id").isNull() & ~c("loose"), "element-undeclared", named("undeclared element ")),
-        fault(c("abstract"), "element-abstract", named("abstract ")),
-        fault(c("typed").isNotNull() & c("declared").isNotNull() & ~F.coalesce(F.array_contains("permitted", c("xsi_type")), F.lit(True)), "type-blocked", F.concat(F.lit("type "), c("xsi_type"), F.lit(" may not stand in "), c("name"))),
+        fault(c("xsi_type").isNotNull() & c("typed").isNull(), "type-unknown", F.concat(F.lit("no type "), c("xsi_type"), F.lit(" for "), c("name"))),
+        fault(c("abstract_type") | F.coalesce("abstract_element", F.lit(False)), "element-abstract", named("abstract ")),
+        fault(c("typed").isNotNull() & c("declared").isNotNull() & ~F.coalesce(F.array_contains("permitted", c("typed")), F.lit(True)), "type-blocked", F.concat(F.lit("type "), c("xsi_type"), F.lit(" may not stand in "), c("name"))),
         fault(c("nil") & ~F.coalesce("nillable", F.lit(False)), "nil-not-allowed", named("not nillable: ")),
         fault(c("nil") & ~c("bare"), "nil-content", named("content in nilled ")),
         fault(filled & (c("content") == "EMPTY") & (c("n_nodes") > 0) & ~c("bare"), "content-empty", named("content in empty element ")),
         fault(filled & c("content").isin("ELEMENT", "MIXED") & ~F.rlike(c("sequence"), c("pattern")), "content-model", named("children don't match in ")),
-        fault(filled & (c("content") == "ELEMENT") & c("own_text"), "content-text", named("text in ")),
-        fault(filled & (c("content") == "SIMPLE") & (c("sequence") != ""), "content-simple", named("children in simple ")),
-        fault(filled & (c("content") == "SIMPLE") & ~accepted_by(c("value_kind"), value), "value-type", named("bad value of ")),
+        fault(filled & (c("content") == "ELEMENT") & own_text, "content-text", named("text in ")),
+        fault(simple & (c("sequence") != ""), "content-simple", named("children in simple ")),
+        fault(simple & ~accepted(c("value_kind"), c("content_value")), "value-type", named("bad value of ")),
         fault(filled & c("fixed").isNotNull() & ~c("bare") & changed, "value-fixed", named("fixed value changed in ")),
     ]
-
-    def space_of(a: Column) -> Column:
-        """Namespace of an attribute; without a prefix it has none."""
-        prefix = prefix_of(a["name"])
-        own = F.get(F.filter("attrs", lambda x: x["name"] == F.concat(F.lit("xmlns:"), prefix)), F.lit(0))["value"]
-        return F.when(prefix == "", "").otherwise(F.coalesce(own, F.when(prefix == prefix_of(c("name")), c("ns_uri")), F.try_element_at("outer", prefix), F.lit("?")))
-
-    def token_of(a: Column) -> Column:
-        return F.when(a["name"].startswith("xml:"), F.concat(F.lit("}"), a["name"])).otherwise(F.concat(space_of(a), F.lit("}"), local_of(a["name"])))
+    undeclared = fault(c("rule_id").isNull() & ~c("loose"), "element-undeclared", named("undeclared element "))
+    fixed_bases = sorted({a.type.base for r in rules for a in r.type.attributes.values() if a.fixed is not None})
 
     def of_attribute(a: Column) -> Column:
         own, wild = F.try_element_at("attr_kinds", a["token"]), c("attr_wild")
         covered = own.isNull() & F.coalesce(_covers(wild, F.substring_index(a["token"], "}", 1)) & wild.isNotNull(), F.lit(False))
-        shared = F.when(covered & (wild["strictness"] != "skip"), F.try_element_at(F.create_map(*[F.lit(x) for pair in at_top.items() for x in pair]), a["token"])) if at_top else F.lit(None).cast("int")
+        shared = F.when(covered, F.try_element_at("attr_top", a["token"]))
         fixed, unchanged = F.try_element_at("attr_fixed", a["token"]), F.lit(True)
-        for base in sorted({x.type.base for r in attributes for x in r if x.fixed is not None}):
+        for base in fixed_bases:
             same = [k for k, t in enumerate(kinds) if t.base == base]
             unchanged = F.when(fixed.isNotNull() & own.isin(same), canonical_value(a["value"], base) == canonical_value(fixed, base)).otherwise(unchanged)
         label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), c("name"))
         return F.array(
             fault(own.isNull() & (~covered | ((wild["strictness"] == "strict") & shared.isNull())), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
-            fault(~accepted_by(F.coalesce(own, shared), a["value"]), "attribute-type", F.concat(F.lit("bad value for "), label)),
+            fault(~accepted(F.coalesce(own, shared), a["value"]), "attribute-type", F.concat(F.lit("bad value for "), label)),
             fault(~unchanged, "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
         )
 
-    tokens = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"), token_of(a).alias("token")))
-    met = met.withColumn("tokens", tokens)
-    plain = F.filter("tokens", lambda a: ~((a["name"] == "xmlns") | a["name"].startswith("xmlns:") | a["name"].startswith("xsi:") | a["name"].startswith("xml:")))
-    given = F.when(c("content") != "ANY", plain).otherwise(F.filter(plain, lambda a: F.lit(False)))
-    lacking = F.array_except("needed", F.transform("tokens", lambda a: a["token"]))
+    checked = F.filter("given", lambda a: (c("content") != "ANY") & ~(a["name"].startswith("xml:") & F.try_element_at("attr_kinds", a["token"]).isNull()))
+    lacking = F.array_except("needed", F.transform("given", lambda a: a["token"]))
     missing = F.transform(lacking, lambda n: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), F.regexp_extract(n, r"\A[^}]*\}(.*)\z", 1), F.lit(" of "), c("name")).alias("message")))
-    checked = F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(given, of_attribute)), missing)).otherwise(F.array(of_element[0]))
-    parts = [met.select("doc_id", "pre", F.inline(F.filter(checked, lambda f: f["rule"].isNotNull())))]
-    parts += identity_violations(nodes, schema)
-    return all_of(parts)
+    return F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(checked, of_attribute)), missing)).otherwise(F.array(undeclared, of_element[0]))
+
+
+def id_violations(met: DataFrame, kinds: list[SimpleType]) -> list[DataFrame]:
+    """IDs that repeat in a document, and references to none; both by type, in elements and attributes."""
+    ways = {k: t for k, t in enumerate(kinds) if t.has_base(("ID", "IDREF", "IDREFS"))}
+    if not ways:
+        return []
+    roles = lambda which, value: chosen(which, {k: id_roles(t, value) for k, t in ways.items()}, F.array().cast("array<struct<role:string,value:string>>"))
+    of_element = F.when((F.col("content") == "SIMPLE") & ~F.col("nil"), roles(F.col("value_kind"), F.col("content_value")))
+    which = lambda a: F.coalesce(F.try_element_at("attr_kinds", a["token"]), F.try_element_at("attr_top", a["token"]))
+    of_attributes = F.flatten(F.transform("given", lambda a: roles(which(a), a["value"])))
+    empty = F.array().cast("array<struct<role:string,value:string>>")
+    held = F.concat(F.coalesce(of_element, empty), F.coalesce(of_attributes, empty))
+    found = stored(met.where(F.col("rule_id").isNotNull()).select("doc_id", "pre", F.inline(held)))
+    ids, refs = found.where("role = 'ID'").select("doc_id", "pre", "value"), found.where("role = 'IDREF'").select("doc_id", "pre", "value")
+    twice = ids.join(duplicate_ids(ids), ["doc_id", "value"])
+    return [
+        violation(twice, "id-repeated", F.concat(F.lit("repeated ID "), F.col("value"))),
+        violation(dangling_references(refs, ids), "idref-dangling", F.concat(F.lit("no ID "), F.col("value"))),
+    ]
 
 
-def identity_violations(nodes: DataFrame, schema: Schema) -> list[DataFrame]:
+def identity_violations(nodes: DataFrame, judged: DataFrame, grammar: SchemaGrammar) -> list[DataFrame]:
+    """Broken ``unique``, ``key`` and ``keyref``; scopes are the elements of the declaring rule, not all of its name.
+
+    A keyref finds keys of its own element and those that rise from scopes further below.
+    """
+    scopes_of: dict[int, list[int]] = {}  # places of one rule: it may stand in several types
+    rule_at = {}
+    for k, r in enumerate(grammar.rules):
+        if r.constraints and grammar.places[k].context != "(type)":
+            scopes_of.setdefault(id(r), []).append(k)
+            rule_at[id(r)] = (r, grammar.schema_of[k])
+    found: dict[tuple[int, str], DataFrame] = {}
+    starts: dict[tuple[int, str], DataFrame] = {}
+    for key, places in scopes_of.items():
+        rule, schema = rule_at[key]
+        known = judged.where((F.col("kind") == "element") & F.col("declared").isin(places)).select("doc_id", "pre")
+        scopes = nodes.join(known, ["doc_id", "pre"]) if judged is not nodes else nodes.where((F.col("kind") == "element") & F.col("declared").isin(places))
+        for _, name, selector, fields, _ in rule.constraints:
+            rows = tuples(scopes, nodes, selector, fields)
+            at = scopes.select("doc_id", "pre", "post")
+            found[schema, name] = found[schema, name].union(rows) if (schema, name) in found else rows
+            starts[schema, name] = starts[schema, name].union(at) if (schema, name) in starts else at
     out = []
-    for rule in schema.elements():
-        scopes = nodes.where((F.col("kind") == "element") & (local_of(F.col("name")) == rule.name))
-        found = {name: tuples(scopes, nodes, selector, fields) for _, name, selector, fields, _ in rule.constraints}
+    done = set()
+    for key in scopes_of:
+        rule, schema = rule_at[key]
         for kind, name, _, _, refer in rule.constraints:
-            at_scope = lambda rows: rows.withColumn("pre", F.col("anc_pre"))
+            if (schema, name) in done:
+                continue
+            done.add((schema, name))
+            own = found[schema, name]
             if kind == "keyref":
-                if refer in found:
-                    out.append(violation(unmatched(found[name], found[refer]), "keyref", F.lit(f"no key {refer} for {name}")))
+                if (schema, refer) in found:
+                    keys = found[schema, refer]
+                    if starts[schema, refer] is not starts[schema, name]:
+                        keys = keys.unionByName(rising(starts[schema, name], own, starts[schema, refer], keys), allowMissingColumns=True)
+                    out.append(violation(unmatched(own, keys), "keyref", F.lit(f"no key {refer} for {name}")))
                 continue
-            out.append(violation(at_scope(repeated(found[name])), kind, F.lit(f"repeated value of {name}")))
+            at_scope = repeated(own).withColumn("pre", F.col("anc_pre"))
+            out.append(violation(at_scope, kind, F.lit(f"repeated value of {name}")))
             if kind == "key":
-                out.append(violation(incomplete(found[name]), "key-field", F.lit(f"missing field of {name}")))
+                out.append(violation(incomplete(own), "key-field", F.lit(f"missing field of {name}")))
     return out
 
 
@@ -341,27 +372,46 @@ def schema_locations(nodes: DataFrame) -> DataFrame:
     return given.union(plain.select("doc_id", F.lit(""), attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation"))).distinct()
 
 
-def violations_by_location(nodes: DataFrame, read: Callable[[str], str], most: int = 1000) -> DataFrame:
-    """Each document judged by the schema that it names itself; a schema is compiled once, however many documents name it.
+def violations_by_location(
+    nodes: DataFrame, read: Callable[[str], str], most: int = 1000, bases: DataFrame | None = None, locate: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Each document judged by the schemas that it names itself, all documents in one pass.
 
-    ``read`` gives the text of a schema by its location (a catalog's answer, a file) and
-    raises ``KeyError`` or ``OSError`` where there is none: its documents then get the
-    violation ``schema-missing``.  A document with several locations is judged by the one
-    for its root's namespace.  Documents that name none get no row.  More than ``most``
-    distinct locations are refused, since each is compiled on the driver.
+    A document's locations together are one schema, so elements of several namespaces may
+    each have their own.  Relative locations are taken from the document's own place, if
+    ``bases`` (``doc_id, base``) gives it.  ``locate`` may put a catalog's answers in:
+    it gets the distinct ``ns, location`` and adds ``place``, null where it knows none.
+    ``read`` gives the text of a schema by its place and raises ``KeyError`` or ``OSError``
+    where there is none: the violation is ``schema-missing`` for the documents that name it.
+
+    Each combination of places is compiled once on the driver, however many documents name
+    it; more than ``most`` combinations are refused.  Rules of all schemas are one table,
+    and the elements are assessed in one pass.  Documents that name no schema get no row.
     """
-    root = nodes.where("kind = 'element' and level = 0").select("doc_id", F.coalesce("ns_uri", F.lit("")).alias("ns"))
-    named = schema_locations(nodes).join(root, ["doc_id", "ns"]).groupBy("doc_id").agg(F.min("location").alias("location"))
-    found = [r["location"] for r in named.select("location").distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} schema locations")
-    parts, lost = [], []
-    for location in sorted(found):
+    spark = nodes.sparkSession
+    named = schema_locations(nodes)
+    if bases is not None:
+        folder = F.regexp_replace("base", "[^/]*$", "")
+        relative = ~F.col("location").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)") & F.col("base").isNotNull()
+        named = named.join(bases, "doc_id", "left").withColumn("location", F.when(relative, F.concat(folder, "location")).otherwise(F.col("location")))
+    named = stored(named.select("doc_id", "ns", "location"))
+    if locate is not None:
+        answers = locate(named.select("ns", "location").distinct())
+        named = named.join(answers, ["ns", "location"], "left").withColumn("location", F.coalesce("place", "location"))
+    keyed = stored(named.groupBy("doc_id").agg(F.sort_array(F.collect_set("location")).alias("places")))
+    combinations = [tuple(r["places"]) for r in keyed.select("places").distinct().limit(most + 1).collect()]
+    if len(combinations) > most:
+        raise ValueError(f"more than {most} combinations of schema locations")
+    schemas, numbers, lost = [], [], []
+    for places in sorted(combinations):
         try:
-            schema = Schema(location, read)
+            schemas.append(Schema([posixpath.normpath(p) if "://" not in p else p for p in places], read))
+            numbers.append((list(places), len(schemas) - 1))
         except (KeyError, OSError):
-            lost.append(location)
-            continue
-        parts.append(xsd_violations(nodes.join(named.where(F.col("location") == location).select("doc_id"), "doc_id", "left_semi"), schema))
-    missing = named.where(F.col("location").isin(lost)).select("doc_id", F.lit(0).alias("pre"), F.lit("schema-missing").alias("rule"), F.concat(F.lit("no schema at "), F.col("location")).alias("message"))
-    return all_of([*parts, missing])
+            lost.append((list(places),))
+    grammar = SchemaGrammar(schemas)
+    numbered = keyed.join(F.broadcast(spark.createDataFrame(numbers, "places array<string>, number int")), "places").select("doc_id", "number")
+    missing = keyed.join(F.broadcast(spark.createDataFrame(lost, "places array<string>")), "places").select(
+        "doc_id", F.lit(0).alias("pre"), F.lit("schema-missing").alias("rule"), F.concat(F.lit("no schema at "), F.array_join("places", ", ")).alias("message")
+    )
+    return xsd_violations(nodes.join(numbered, "doc_id"), grammar, "number").union(missing) if schemas else missing

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
@@ -36,6 +36,26 @@ class SimpleType:
     facets: dt.Facets = field(default_factory=dt.Facets)
     item: SimpleType | None = None
     members: tuple[SimpleType, ...] = ()
+    parent: SimpleType | None = field(default=None, repr=False, compare=False)
+
+    def has_base(self, names: Collection[str]) -> bool:
+        """Whether values, items or some member's values are of one of these built-in types."""
+        return self.base in names or bool(self.item and self.item.has_base(names)) or any(m.has_base(names) for m in self.members)
+
+    def derives_from(self, base: SimpleType) -> bool:
+        """Whether the type is ``base``, a restriction of it, or of a member of it."""
+        at: SimpleType | None = self
+        while at is not None:
+            if at == base or any(at.derives_from(m) for m in base.members):
+                return True
+            at = at.parent
+        plain = base == SimpleType(base.name, base.name)
+        built_in = self.base
+        while plain and built_in is not None:
+            if built_in == base.name or base.name == "anySimpleType":
+                return True
+            built_in = dt.DERIVED_FROM.get(built_in)
+        return False
 
     def accepts(self, value: Column) -> Column:
         """Whether a text is of the type."""
@@ -100,9 +120,12 @@ class ComplexType:
         """Methods by which the type derives from ``base``, none for itself; None where it doesn't."""
         at, methods = self, []
         while at is not base:
-            if isinstance(at, SimpleType) and at == base.simple:
-                return methods
-            if not isinstance(at, ComplexType) or at.parent is None:
+            simple = at if isinstance(at, SimpleType) else at.simple if at.parent is None else None
+            if simple is not None:
+                if base.simple is None or base.parent is not None or not simple.derives_from(base.simple):
+                    return None
+                return methods if simple == base.simple else [*methods, "restriction"]
+            if at.parent is None:
                 return None
             methods.append(at.method)
             at = at.parent
@@ -170,13 +193,17 @@ def wildcard_allows(tokens: str, ns: Column, target: str) -> Column:
 
 
 class Schema:
-    """A compiled schema; ``read`` gives the text of a schema document by its path."""
+    """A compiled schema; ``read`` gives the text of a schema document by its path.
+
+    Several paths are read as one schema, as where an instance names one for each namespace.
+    """
 
-    def __init__(self, path: str, read: Callable[[str], str]):
+    def __init__(self, path: str | Sequence[str], read: Callable[[str], str]):
         self.read, self.documents = read, {}
         self.parts: dict[str, dict[Name, tuple[Node, Doc]]] = {k: {} for k in ("element", "complexType", "simpleType", "attribute", "group", "attributeGroup", "notation")}
         self.types: dict[Name, ComplexType | SimpleType] = {}
-        self._load(path, None)
+        for p in [path] if isinstance(path, str) else path:
+            self._load(p, None)
         self.globals = {name: self._element(node, doc, "") for name, (node, doc) in self.parts["element"].items()}
         self._substitute()
 
@@ -264,7 +291,7 @@ class Schema:
                 changes[_COUNTS[kind]] = int(_attr(c, "value"))
             elif kind == "whiteSpace":
                 changes["white_space"] = _attr(c, "value")
-        return replace(base, name=name, facets=replace(base.facets, **changes))
+        return replace(base, name=name, facets=replace(base.facets, **changes), parent=base)
 
     def _complex(self, e: Node, doc: Doc, out: ComplexType) -> None:
         mixed = _attr(e, "mixed") == "true"
@@ -383,8 +410,7 @@ class Schema:
             kind = self._element(node, where, "").type
         else:
             kind = self.type((XS, "anyType"))
-        if isinstance(kind, SimpleType):
-            kind = ComplexType(kind.name, "SIMPLE", simple=kind)
+        kind = wrapped(kind)
         qualified = context == "" or _attr(e, "form", "qualified" if doc.qualified else "unqualified") == "qualified"
         constraints = [
             (c.name.split(":")[-1], _attr(c, "name"), _attr(_kids(c, "selector")[0], "xpath"), tuple(_attr(f, "xpath") for f in _kids(c, "field")), (_attr(c, "refer") or "").split(":")[-1] or None)
@@ -451,7 +477,7 @@ class Schema:
         """Rules for each element in the context of its parent's type, whatever the parent's name.
 
         Contexts are ``#0``, ``#1`` ... for the types met; "" for global elements and
-        "(type)" for the named types, as in ``elements``.
+        "(type)" for the named types, simple ones included, by namespace and name.
         """
         kinds: list[ComplexType] = []
 
@@ -461,8 +487,8 @@ class Schema:
                 kinds.append(kind)
             return f"#{known}"
 
-        types = [t for t in (self.type(n) for n in self.parts["complexType"] if "#" not in n[1]) if isinstance(t, ComplexType)]
-        tops = [*self.globals.values(), *(ElementRule("(type)", "", t.name, t) for t in types)]
+        names = [n for part in ("complexType", "simpleType") for n in self.parts[part] if "#" not in n[1]]
+        tops = [*self.globals.values(), *(ElementRule("(type)", *n, wrapped(self.type(n))) for n in dict.fromkeys(names))]
         out = [Place(r.context, key(r.type), r) for r in tops]
         done = 0
         while done < len(kinds):
@@ -488,6 +514,11 @@ class Schema:
         return out
 
 
+def wrapped(kind: ComplexType | SimpleType) -> ComplexType:
+    """A simple type as the type of an element."""
+    return ComplexType(kind.name, "SIMPLE", simple=kind) if isinstance(kind, SimpleType) else kind
+
+
 class Place(NamedTuple):
     """A rule, the type that it stands in and the type of its element."""
 

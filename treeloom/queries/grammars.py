@@ -13,6 +13,7 @@ from ..operators import navigate as nav
 from ..operators import serialize as ser
 from ..operators import validate as val
 from ..plans import wildcards as wild
+from ..plans.assess import DtdGrammar, SchemaGrammar
 from ..plans.catalog import Catalog, resolve_by_join
 from ..plans.dtd import compile_dtd
 from ..plans.lineage import stored
@@ -56,12 +57,12 @@ def dtd_content_model_conversations(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def dtd_violation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nodes_of(parse(_customers(spark, sf_dir)))
+    nodes = nodes_of(parse(_customers(spark, sf_dir), grammar=DtdGrammar(), tasks=_tasks(spark)))
     return val.dtd_violations(nodes, compile_dtd(CUSTOMER_DTD)).groupBy("rule", "message").agg(F.count("*").alias("n"))
 
 
 def dtd_first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = nodes_of(parse(_customers(spark, sf_dir)))
+    nodes = nodes_of(parse(_customers(spark, sf_dir), grammar=DtdGrammar(), tasks=_tasks(spark)))
     first = val.first_violation(val.dtd_violations(nodes, compile_dtd(CUSTOMER_DTD)))
     return first.select(F.col("doc_id").alias("c_custkey"), "rule")
 
@@ -127,8 +128,20 @@ def _schema(text: str) -> Schema:
     return compile_schema("s.xsd", {"s.xsd": text})
 
 
+def _judged(docs: DataFrame, schema: Schema, tasks: int | None = None) -> DataFrame:
+    """Violations of documents parsed with the schema at hand; kept where identity constraints read them again."""
+    grammar = SchemaGrammar([schema])
+    nodes = nodes_of(parse(docs, grammar=grammar, tasks=tasks))
+    return val.xsd_violations(stored(nodes) if any(r.constraints for r in grammar.rules) else nodes, grammar)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tables of documents in one file are dealt to all cores."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return val.xsd_violations(stored(nodes_of(parse(synth.orders(spark, sf_dir)))), _schema(ORDER_XSD))
+    return _judged(synth.orders(spark, sf_dir), _schema(ORDER_XSD))
 
 
 def xsd_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +165,7 @@ def xsd_types_of_one_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     value = lambda number: F.when(number, key.cast("string")).otherwise(F.col("c_mktsegment"))
     xml = F.concat(F.lit("<d><a><p><v>"), value(key % 3 != 0), F.lit("</v>"), F.when(key % 5 == 0, "<w/>").otherwise(""), F.lit("</p></a><b><p><v>"), value(key % 4 == 0), F.lit("</v><w/></p></b></d>"))
-    found = val.xsd_violations(nodes_of(parse(c.select(key.alias("doc_id"), xml.alias("xml")))), _schema(INNER_XSD))
+    found = _judged(c.select(key.alias("doc_id"), xml.alias("xml")), _schema(INNER_XSD))
     return found.groupBy(F.col("doc_id").alias("c_custkey"), "rule").agg(F.count("*").alias("n"))
 
 
@@ -163,8 +176,8 @@ def xsd_sequence_choice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = c
     for name, model in (("seq", '<xs:sequence><xs:element name="a"/><xs:element name="b" minOccurs="0"/><xs:element name="c" minOccurs="0" maxOccurs="unbounded"/></xs:sequence>'), ("cho", '<xs:choice maxOccurs="3"><xs:element name="a"/><xs:element name="b"/></xs:choice>'), ("al", '<xs:all><xs:element name="a"/><xs:element name="b"/><xs:element name="c" minOccurs="0"/></xs:all>')):
         schema = _schema(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="d"><xs:complexType>{model}</xs:complexType></xs:element></xs:schema>')
-        nodes = nodes_of(parse(c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("<d>"), kids, F.lit("</d>")).alias("xml"))))
-        bad = val.xsd_violations(nodes, schema).where("pre = 0 and rule = 'content-model'").select(F.col("doc_id").alias("c_custkey"), F.lit(True).alias("bad"))
+        docs = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("<d>"), kids, F.lit("</d>")).alias("xml"))
+        bad = _judged(docs, schema).where("pre = 0 and rule = 'content-model'").select(F.col("doc_id").alias("c_custkey"), F.lit(True).alias("bad"))
         out = out.join(bad, "c_custkey", "left").withColumn(name, F.col("bad").isNull()).drop("bad")
     return out.groupBy((F.col("c_custkey") % 12).alias("class"), "seq", "cho", "al").agg(F.count("*").alias("n"))
 
@@ -188,7 +201,7 @@ LOCATED_XSD = {f"/x/{n}.xsd": f'{_XS}><xs:element name="r" type="xs:{t}"/></xs:s
 
 
 def _by_customer(spark: SparkSession, sf_dir: str, xml) -> DataFrame:
-    return nodes_of(parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"))))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), xml.alias("xml"))
 
 
 def _counted(found: DataFrame) -> DataFrame:
@@ -204,21 +217,21 @@ def xsd_process_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same elements below a strict, a lax and a skipping wildcard."""
     body = _variant(4, "<n>1</n>", "<n>x</n>", "<u><n>x</n></u>", '<u a="1"><w/></u>')
     xml = F.concat(F.lit("<d><s>"), body, F.lit("</s><l>"), body, F.lit("</l><k>"), body, F.lit("</k></d>"))
-    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(CONTENTS_XSD)))
+    return _counted(_judged(_by_customer(spark, sf_dir, xml), _schema(CONTENTS_XSD)))
 
 
 def xsd_attribute_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same attribute below three wildcards; one prefix is bound further up."""
     given = _variant(4, ' t:top="5"', ' t:top="x"', ' o:y="1"', ' t:none="1"')
     xml = F.concat(F.lit('<t:d xmlns:t="urn:t" xmlns:o="urn:o"><t:s'), given, F.lit("/><t:l"), given, F.lit("/><t:k"), given, F.lit("/></t:d>"))
-    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(FOREIGN_XSD)))
+    return _counted(_judged(_by_customer(spark, sf_dir, xml), _schema(FOREIGN_XSD)))
 
 
 def xsd_blocked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types named by instances: derived or not, by a blocked method or not; a substitute that its head shuts out."""
     given = _variant(4, "", ' xsi:type="ext"', ' xsi:type="res"', ' xsi:type="alien"')
     xml = F.concat(F.lit('<d xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><a'), given, F.lit("/><b"), given, F.lit("/>"), _variant(3, "<m/>", "<h/>", "<h/>"), F.lit("</d>"))
-    return _counted(val.xsd_violations(_by_customer(spark, sf_dir, xml), _schema(BLOCK_XSD)))
+    return _counted(_judged(_by_customer(spark, sf_dir, xml), _schema(BLOCK_XSD)))
 
 
 def xsd_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +239,7 @@ def xsd_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     where = F.when(key % 7 == 0, "").otherwise(F.concat(F.lit(' xsi:noNamespaceSchemaLocation="/x/'), F.when(key % 5 == 0, "gone").when(key % 2 == 0, "name").otherwise("number"), F.lit('.xsd"')))
     xml = F.concat(F.lit('<r xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'), where, F.lit(">"), F.when(key % 3 == 0, key.cast("string")).otherwise(F.col("c_mktsegment")), F.lit("</r>"))
-    return _counted(val.violations_by_location(stored(_by_customer(spark, sf_dir, xml)), LOCATED_XSD.__getitem__))
+    return _counted(val.violations_by_location(stored(nodes_of(parse(_by_customer(spark, sf_dir, xml)))), LOCATED_XSD.__getitem__))
 
 
 def xsd_default_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +266,7 @@ def xsd_xsi_type_nil(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 6
     body = F.when(k == 0, "<d><a>1</a></d>").when(k == 1, "<d><a>1</a><b>2</b></d>").when(k == 2, '<d xsi:type="more"><a>1</a><b>2</b></d>').when(k == 3, '<d><a xsi:nil="true"/></d>').when(k == 4, '<d><a xsi:nil="true">1</a></d>').otherwise('<d xsi:nil="true"/>')
     docs = c.select(F.col("c_custkey").alias("doc_id"), F.regexp_replace(body, "^<d", '<d xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"').alias("xml"))
-    bad = val.xsd_violations(nodes_of(parse(docs)), schema)
+    bad = _judged(docs, schema)
     return bad.groupBy((F.col("doc_id") % 6).alias("k"), "rule").agg(F.count("*").alias("n"))
 
 
@@ -406,7 +419,7 @@ def value_space_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="v" type="xs:decimal" fixed="1.0"/></xs:schema>')
     texts = ["1", "1.0", "+01.00", "1.01", "-1"]
     docs = spark.createDataFrame([(k, f"<v>{t}</v>") for k, t in enumerate(texts)], "doc_id long, xml string")
-    bad = val.xsd_violations(nodes_of(parse(docs)), schema)
+    bad = _judged(docs, schema)
     return bad.select("doc_id", "rule")
 
 

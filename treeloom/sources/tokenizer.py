@@ -7,15 +7,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from typing import TYPE_CHECKING
 from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..model import ERROR, NODES
+from ..model import ASSESSED, ERROR, NODES, XML_URI, XMLNS_URI
+
+if TYPE_CHECKING:  # the compilers of grammars read their documents with this module
+    from ..plans.assess import Grammar
 
-XML_URI, XMLNS_URI = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2000/xmlns/"
 SUPPORTED_ENCODINGS = frozenset(("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE"))
 LARGEST_BATCH = 1 << 16
 _BOM = "﻿"
@@ -64,15 +69,60 @@ class NodeRows:
         return pa.RecordBatch.from_arrays([arrays[f.name] for f in NODES], [f.name for f in NODES])
 
 
+class Assessed:
+    """An element that is open: the grammar's state, what it said, the children and texts so far."""
+
+    __slots__ = ("children", "note", "state", "texts")
+
+    def __init__(self, state, note: list | None):
+        self.state, self.note, self.children, self.texts = state, note, [], []
+
+    def close(self, n_nodes: int) -> None:
+        self.note[7:10] = "".join(self.children), "".join(self.texts), n_nodes
+
+
+class AssessedRows(NodeRows):
+    """Node rows with a grammar's findings beside them."""
+
+    def __init__(self):
+        super().__init__()
+        self.notes: list[list | None] = []
+        self.tokens: list[str | None] = []
+
+    def add(self, row: tuple, attrs=(), note: list | None = None, tokens=()) -> None:
+        super().add(row, attrs)
+        self.notes.append(note)
+        self.tokens += tokens or [None] * (len(attrs) // 2)
+
+    def cut_back(self, rows: int) -> None:
+        super().cut_back(rows)
+        del self.notes[rows:], self.tokens[self.offsets[-1] :]
+
+    def batch(self) -> pa.RecordBatch:
+        plain = super().batch()
+        empty = [None] * (len(ASSESSED) - 1)
+        columns = zip(*[n or empty for n in self.notes], strict=True) if self.notes else [()] * len(empty)
+        added = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, ASSESSED.fields[:-1], strict=True)]
+        added.append(pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.tokens, pa.string())))
+        return pa.RecordBatch.from_arrays([*plain.columns, *added], [*plain.schema.names, *[f.name for f in ASSESSED]])
+
+
+def enter(grammar: Grammar, parent: Assessed, ns: str, name: str, attrs: list[str], bound: Mapping[str, str]) -> tuple[Assessed, list]:
+    """Open an element below ``parent``; its note has the fields of ``ASSESSED`` but the last, which is returned beside."""
+    found = grammar.enter(parent.state, ns, name, attrs, bound)
+    parent.children.append(grammar.token(ns, name))
+    return Assessed(found.state, [*found[1:8], "", "", 0]), list(found.tokens)
+
+
 class DocumentParser:
     """Parses one document after the other into shared rows.
 
     ``external`` maps system identifiers to the text of external entities; nothing else is
-    ever fetched.
+    ever fetched.  With a grammar the rows are ``AssessedRows``.
     """
 
-    def __init__(self, rows: NodeRows, external: Mapping[str, str] | None = None):
-        self.rows, self.external = rows, external or {}
+    def __init__(self, rows: NodeRows, external: Mapping[str, str] | None = None, grammar: Grammar | None = None):
+        self.rows, self.external, self.grammar = rows, external or {}, grammar
 
     def parse(self, doc_id: int, chunks: list[str] | str | None) -> None:
         first = len(self.rows)
@@ -95,6 +145,8 @@ class DocumentParser:
             p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_ALWAYS)
         # for each open element: its place, path, bound prefixes, number of nodes, numbers by name
         frames: list[list] = [[-1, "", {"xml": XML_URI, "xmlns": XMLNS_URI, "": ""}, 0, {}]]
+        grammar = self.grammar
+        opened = [Assessed(grammar.start(0), None)] if grammar else []
         in_cdata: list[str] | None = None
         subset_at = 0
         data = [c.encode("utf-8", "surrogatepass") for c in chunks]
@@ -115,18 +167,29 @@ class DocumentParser:
             pre = len(posts) - base
             path = f"{frame[1]}/{name}"
             uri = bound.get(name.partition(":")[0] if ":" in name else "")
-            rows.add((doc_id, pre, len(frames) - 1, frame[0], frame[3], occ, "element", name, uri, None, path), attrs)
+            row = (doc_id, pre, len(frames) - 1, frame[0], frame[3], occ, "element", name, uri, None, path)
+            if grammar:
+                own, tokens = enter(grammar, opened[-1], uri or "", name, attrs, bound)
+                opened.append(own)
+                rows.add(row, attrs, own.note, tokens)
+            else:
+                rows.add(row, attrs)
             frame[3] += 1
             frames.append([pre, path, bound, 0, {}])
 
         def end(_name: str) -> None:
-            posts[base + frames.pop()[0]] = len(posts) - base - 1
+            frame = frames.pop()
+            posts[base + frame[0]] = len(posts) - base - 1
+            if grammar:
+                opened.pop().close(frame[3])
 
         def text(value: str) -> None:
             if in_cdata is not None:
                 in_cdata.append(value)
             elif len(frames) > 1:
                 leaf("text", None, value)
+                if grammar:
+                    opened[-1].texts.append(value)
 
         def cdata_start() -> None:
             nonlocal in_cdata
@@ -135,6 +198,8 @@ class DocumentParser:
         def cdata_end() -> None:
             nonlocal in_cdata
             leaf("cdata", None, "".join(in_cdata))
+            if grammar:
+                opened[-1].texts.append("".join(in_cdata))
             in_cdata = None
 
         def declaration(version: str | None, encoding: str | None, standalone: int) -> None:
@@ -154,8 +219,8 @@ class DocumentParser:
             subset = None
             if subset_at >= 0:
                 whole = b"".join(data)[: p.CurrentByteIndex + 1]
-                opened = whole.index(b"[", subset_at)
-                subset = whole[opened + 1 : whole.rindex(b"]")].decode("utf-8", "surrogatepass")
+                bracket = whole.index(b"[", subset_at)
+                subset = whole[bracket + 1 : whole.rindex(b"]")].decode("utf-8", "surrogatepass")
             parts = [("public_id", public_id), ("system_id", system_id)]
             leaf("doctype", name, subset, [x for part in parts if part[1] is not None for x in part])
             p.CommentHandler, p.ProcessingInstructionHandler = comment, pi
@@ -185,22 +250,78 @@ class DocumentParser:
         p.Parse(b"", True)
 
 
-def parse(docs: DataFrame, external: Mapping[str, str] | None = None) -> DataFrame:
-    """Node rows of ``docs`` (``doc_id, xml``), error rows included; documents are not moved."""
+def parse(docs: DataFrame, external: Mapping[str, str] | None = None, grammar: Grammar | None = None, tasks: int | None = None) -> DataFrame:
+    """Node rows of ``docs`` (``doc_id, xml``), error rows included.
+
+    With a grammar, elements have the columns of ``ASSESSED`` too.  Documents are not moved,
+    unless ``tasks`` asks for them to be dealt evenly first: parsing is the costly step, and
+    many small documents in one file would otherwise be parsed by one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = NodeRows()
-        parser = DocumentParser(rows, external)
+        rows = AssessedRows() if grammar else NodeRows()
+        parser = DocumentParser(rows, external, grammar)
         for b in batches:
             for doc_id, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parser.parse(doc_id, xml)
                 if len(rows) >= LARGEST_BATCH:
                     yield rows.batch()
-                    parser.rows = rows = NodeRows()
+                    parser.rows = rows = type(rows)()
         if len(rows):
             yield rows.batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("xml").cast("string")).mapInArrow(run, NODES)
+    read = docs.select(F.col("doc_id").cast("long"), F.col("xml").cast("string"))
+    schema = T.StructType(NODES.fields + ASSESSED.fields) if grammar else NODES
+    return (read.repartition(tasks) if tasks else read).mapInArrow(run, schema)
+
+
+def assess(nodes: DataFrame, grammar: Grammar, number: str | None = None) -> DataFrame:
+    """Elements of stored node rows with the columns of ``ASSESSED``; a grammar's number may come from a column.
+
+    A document's rows are read in order by one task, which holds the open elements alone.
+    """
+    wanted = ["doc_id", "pre", "post", "level", "parent", "kind", "name", "ns_uri", "value", "attrs"]
+    keyed = nodes.select(*wanted, (F.col(number) if number else F.lit(0)).cast("int").alias("number"))
+    fields = [f for f in NODES.fields if f.name in wanted] + ASSESSED.fields
+    schema = T.StructType(fields)
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        open_: list[tuple[Assessed, dict, Mapping[str, str]]] = []
+        top, doc = None, object()
+
+        def close(until: int | None) -> None:
+            while open_ and (until is None or until > open_[-1][1]["post"]):
+                own, row, _ = open_.pop()
+                own.close(row.pop("n"))
+                done.append(row | dict(zip(arrow.names[-len(ASSESSED) : -1], own.note, strict=True)))
+
+        for b in batches:
+            for row in b.to_pylist():
+                if row["doc_id"] != doc:
+                    close(None)
+                    doc, top = row["doc_id"], Assessed(grammar.start(row["number"] or 0), None)
+                close(row["pre"])
+                if open_:
+                    open_[-1][1]["n"] += 1
+                    if row["kind"] in ("text", "cdata"):
+                        open_[-1][0].texts.append(row["value"] or "")
+                if row["kind"] == "element":
+                    parent, _, bound = open_[-1] if open_ else (top, None, {"xml": XML_URI, "xmlns": XMLNS_URI, "": ""})
+                    attrs = [x for a in row["attrs"] or () for x in (a["name"], a["value"])]
+                    own_names = {n[6:]: v for n, v in zip(attrs[::2], attrs[1::2], strict=True) if n == "xmlns" or n.startswith("xmlns:")}
+                    bound = bound | own_names if own_names else bound
+                    own, tokens = enter(grammar, parent, row["ns_uri"] or "", row["name"], attrs, bound)
+                    kept = {f.name: row[f.name] for f in fields[: -len(ASSESSED)]}
+                    open_.append((own, kept | {"tokens": tokens or [None] * (len(attrs) // 2), "n": 0}, bound))
+            if len(done) >= LARGEST_BATCH:
+                yield pa.RecordBatch.from_pylist(done, arrow)
+                done.clear()
+        close(None)
+        yield pa.RecordBatch.from_pylist(done, arrow)
+
+    return keyed.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(run, schema)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:
