@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.datatypes import canonical_value, list_items
-from ..functions.text import attribute, is_ncname, is_nmtoken, prefix_of
-from ..model import ASSESSED
+from ..functions.text import is_ncname, is_nmtoken, prefix_of
+from ..model import ASSESSED, XSI
 from ..plans.assess import SchemaGrammar
 from ..plans.dtd import Dtd
 from ..plans.lineage import stored
@@ -362,14 +362,21 @@ def identity_violations(nodes: DataFrame, judged: DataFrame, grammar: SchemaGram
     return out
 
 
+def instance_attribute(name: str) -> Column:
+    """Value of an attribute of the instance namespace: any prefix that the element itself doesn't bind to another one."""
+    bound = lambda prefix: F.get(F.filter("attrs", lambda x: x["name"] == F.concat(F.lit("xmlns:"), prefix)), F.lit(0))["value"]
+    found = F.filter("attrs", lambda a: a["name"].endswith(f":{name}") & (F.coalesce(bound(prefix_of(a["name"])), F.lit(XSI)) == XSI))
+    return F.get(found, F.lit(0))["value"]
+
+
 def schema_locations(nodes: DataFrame) -> DataFrame:
-    """``doc_id, ns, location`` from ``xsi:schemaLocation`` and ``xsi:noNamespaceSchemaLocation``."""
-    el = nodes.where("kind = 'element'")
-    words = list_items(attribute(F.col("attrs"), "xsi:schemaLocation"))
+    """``doc_id, ns, location`` from ``schemaLocation`` and ``noNamespaceSchemaLocation`` of the instance namespace."""
+    el = nodes.where("kind = 'element' and size(attrs) > 0")
+    words = list_items(instance_attribute("schemaLocation"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 2).cast("int") - 1), lambda k: F.struct(F.get(words, (k * 2).cast("int")).alias("ns"), F.get(words, (k * 2 + 1).cast("int")).alias("location")))
     given = el.where(F.size(words) >= 2).select("doc_id", F.inline(pairs))
-    plain = el.where(attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation").isNotNull())
-    return given.union(plain.select("doc_id", F.lit(""), attribute(F.col("attrs"), "xsi:noNamespaceSchemaLocation"))).distinct()
+    plain = el.select("doc_id", F.lit(""), instance_attribute("noNamespaceSchemaLocation").alias("location")).where("location is not null")
+    return given.union(plain).distinct()
 
 
 def violations_by_location(

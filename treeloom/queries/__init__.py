@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversion, grammars, trees, values
+from . import conversion, grammars, trees, typed, values
 
 
 def queries():
-    return trees.QUERIES | conversion.QUERIES | values.QUERIES | grammars.QUERIES
+    return trees.QUERIES | conversion.QUERIES | values.QUERIES | grammars.QUERIES | typed.QUERIES
 
 
 def oracle_sql():
-    return trees.ORACLES | conversion.ORACLES | values.ORACLES | grammars.ORACLES
+    return trees.ORACLES | conversion.ORACLES | values.ORACLES | grammars.ORACLES | typed.ORACLES
