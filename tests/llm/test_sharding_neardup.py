@@ -110,6 +110,34 @@ def test_one_id_with_several_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows) == [(5, 5), (5, 5), (5, 5), (9, 5), (10, 10)]
 
 
+def test_links_of_texts_that_share_an_id_with_others(spark):
+    words = [f"w{n}" for n in range(60)]
+    a, b, near = "x y z u v", " ".join(words), " ".join([*words[:-3], "p", "q", "r"])
+    rows = near_duplicates(frame(spark, [(1, a), (1, b), (3, b), (4, near), (5, a)])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(1, 3, 1), (1, 58, 1), (3, 58, 1), (4, 58, 1), (5, 3, 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_ids_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [[f"g{g}w{n}" for n in range(80)] for g in range(5)]
+    texts = []
+    for _ in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 4, 7])):
+            words[rng.randrange(80)] = f"e{rng.randrange(40)}"
+        texts.append((rng.randrange(40), " ".join(words)))
+    by_text = {t: min(i for i, u in texts if u == t) for _, t in texts}
+    numbered = list(enumerate(by_text))  # one node for each text
+    component = brute_components(numbered)
+    least = {}
+    for n, t in numbered:
+        root = component[n][1]
+        least[root] = min(least.get(root, 1 << 60), by_text[t])
+    want = sorted((i, least[component[n][1]]) for i, t in texts for n, u in numbered if u == t)
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, texts)).collect()) == want
+
+
 def pairs_at_threshold(pairs, n_words, changed, seed):
     """Groups of two texts that differ in their last words; no word occurs in two groups."""
     rng = random.Random(seed)

@@ -110,10 +110,9 @@ def near_duplicates(
     19 tables, 0.00009); pairs above it are missed less.
 
     Repeated rows are each returned, with the same component.  Where rows of one doc_id have
-    different texts, each gets the component of its own text; if several of them stand for
-    their copies, the one with the smallest set hash is compared with other documents.  A
-    row without a doc_id is in no component and is kept.  Extra columns are ignored; an
-    empty table gives no rows.
+    different texts, each gets the component of its own text, and each text is compared with
+    all others: classes of equal sets have numbers of their own.  A row without a doc_id is
+    in no component and is kept.  Extra columns are ignored; an empty table gives no rows.
     """
     tables = tables_for(percent, rows) if tables is None else tables
     mul, add = _odd_constants(2 * tables * rows, seed), _odd_constants(2 * tables * rows, seed + 1)
@@ -137,18 +136,17 @@ def near_duplicates(
     )
     same_set = ["set_a", "set_b", "n_shingles"]
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = cut(
+    classes = cut(  # numbered once, as they are written
         features.where(linkable)
         .groupBy(*same_set)
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("count"), F.min_by("bands", "doc_id").alias("bands"))
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("count"), F.min_by("bands", "doc_id").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
 
-    speakers = cut(classes.groupBy("rep").agg(F.min("set_a").alias("set_a"), F.min_by("bands", "set_a").alias("bands")))
-
-    stars = cut(star_pairs(speakers, tables))
+    stars = cut(star_pairs(classes.select("rep", "bands"), tables))
     around = hot_keys(stars.groupBy("hub").count(), "hub")
     met = stars.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct()
-    sets = cut(shingle_sets(source, speakers.join(met, "rep").select(F.col("rep").alias("doc_id"), "set_a"), shingle))
+    sets = cut(shingle_sets(source, classes.join(met, "rep").select(F.col("least").alias("doc_id"), "set_a", "rep"), shingle))
     compared = cut(common_shingles(stars, sets, around))
     found = components(compared.where(alike(percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
 
@@ -165,9 +163,12 @@ def near_duplicates(
             .select("node", F.coalesce("now", "was").alias("component"))
         )
 
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(
-        *same_set, F.coalesce("component", "rep").alias("component_id")
-    )
+    # a component is called by the smallest doc_id of its classes
+    linked = cut(classes.select("rep", "least").join(found.toDF("rep", "component"), "rep"))
+    called = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("count"))
+    crowded = hot_keys(called, "component")
+    shared = salted_join(linked, called.drop("count"), "component", crowded, "rep").select("rep", "component_id")
+    named = classes.join(shared, "rep", "left").select(*same_set, F.coalesce("component_id", "least").alias("component_id"))
     # copies of one text: a class with many rows is spread
     many = hot_keys(classes.select("set_a", "count").groupBy("set_a").agg(F.sum("count").alias("count")), "set_a")
     spread = features.where(linkable).select("doc_id", *same_set, F.rand(seed).alias("by"))
@@ -213,20 +214,20 @@ def star_pairs(classes: DataFrame, tables: int) -> DataFrame:
 
 
 def shingle_sets(source: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, items`` (sorted shingle hashes) of the wanted documents' texts (``doc_id, set_a``)."""
+    """``rep, items`` (sorted shingle hashes) of the wanted classes (``doc_id`` of a member, ``set_a``, ``rep``)."""
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(shingle)
         for b in batches:
             own = [shingles(t) for t in b["text"]]
             right = [_set_hash(s) == h for s, h in zip(own, b["set_a"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"][right], "items": [s.view(np.int64) for s, r in zip(own, right, strict=True) if r]})
+            yield pd.DataFrame({"rep": b["rep"][right], "items": [s.view(np.int64) for s, r in zip(own, right, strict=True) if r]})
 
-    return source.join(wanted, "doc_id").mapInPandas(to_sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"])
+    return source.join(wanted, "doc_id").mapInPandas(to_sets, "rep long, items array<long>").dropDuplicates(["rep"])
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, hot: dict[int, int], a: str, b: str) -> DataFrame:
-    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("items").alias(f"items_{name}"))
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("items").alias(f"items_{name}"))
     return salted_join(pairs.join(side(b), b), side(a), a, hot, b)
 
 
