@@ -15,7 +15,7 @@ from treeloom.operators import serialize as ser
 from treeloom.plans.catalog import Catalog
 from treeloom.plans.dtd import compile_dtd
 from treeloom.plans.xsd import compile_schema
-from treeloom.plans.xsd_rules import BAD_EXAMPLES, check_schema, check_together
+from treeloom.plans.xsd_rules import BAD_EXAMPLES, GOOD_EXAMPLES, check_schema, check_together
 from treeloom.sources.readers import decode_content, read_documents
 from treeloom.sources.tokenizer import DocumentParser, NodeRows, nodes_of, parse, pseudo_attributes, status_of
 
@@ -114,6 +114,7 @@ def test_dtd_conditional_sections_and_errors():
 @pytest.mark.parametrize("rule", sorted(BAD_EXAMPLES))
 def test_each_bad_schema_breaks_its_rule(rule):
     assert {r for r, _ in check_schema(BAD_EXAMPLES[rule])} == {rule}
+    assert check_schema(GOOD_EXAMPLES[rule]) == []
 
 
 def test_included_namespace():

@@ -434,3 +434,50 @@ BAD_EXAMPLES = {
     "SEM-41": _xsd('<xs:simpleType name="t"><xs:list itemType="xs:int"/></xs:simpleType><xs:simpleType name="u"><xs:list itemType="t"/></xs:simpleType>'),
     "SEM-42": _xsd('<xs:simpleType name="t"><xs:union memberTypes="nothing"/></xs:simpleType>'),
 }
+
+_RESTRICTED = '<xs:simpleType name="u"><xs:restriction base="{}"/></xs:simpleType>'
+_DERIVED = '<xs:complexType name="d"><xs:complexContent><xs:{} base="c">{}</xs:{}></xs:complexContent></xs:complexType>'
+#: For each rule a schema document close to its bad example that breaks none.
+GOOD_EXAMPLES = {
+    "SEM-01": _xsd('<xs:element name="e" type="xs:int"/>'),
+    "SEM-02": _xsd('<xs:notation name="n" public="p"/><xs:notation name="m" system="s"/>'),
+    "SEM-03": _xsd('<xs:notation name="n" public="p"/><xs:element name="e"/>'),
+    "SEM-04": _xsd('<xs:notation name="n" public="p"/><xs:simpleType name="t"><xs:restriction base="xs:NOTATION"><xs:enumeration value="n"/></xs:restriction></xs:simpleType>'),
+    "SEM-05": _xsd('<xs:element name="e" id="x1"/>'),
+    "SEM-06": _xsd('<xs:annotation/><xs:annotation/><xs:element name="e"><xs:annotation><xs:documentation>d</xs:documentation></xs:annotation></xs:element>'),
+    "SEM-07": _xsd('<xs:include schemaLocation="a"/>'),
+    "SEM-08": _xsd('<xs:element name="e" id="x"/><xs:element name="f" id="y"/>'),
+    "SEM-09": _xsd('<xs:group name="g"><xs:all/></xs:group><xs:group name="h"><xs:all/></xs:group>'),
+    "SEM-10": _xsd('<xs:attributeGroup name="g"/><xs:attributeGroup name="h"/>'),
+    "SEM-11": _xsd('<xs:complexType name="c"/><xs:complexType name="d"/>'),
+    "SEM-12": _xsd('<xs:element name="e"/><xs:element name="f"/>'),
+    "SEM-13": _xsd(_INT.format("", "") + _RESTRICTED.format("t")),
+    "SEM-14": _xsd('<xs:import namespace="urn:a" schemaLocation="a"/><xs:import namespace="urn:b" schemaLocation="a"/>'),
+    "SEM-16": _xsd(_INT.format("", '<xs:minInclusive value="1"/><xs:maxInclusive value="1"/>')),
+    "SEM-17": _xsd(_INT.format(' final="list union"', "") + _RESTRICTED.format("t")),
+    "SEM-18": _xsd(_CT.format(' final="restriction"', "") + _DERIVED.format("extension", "", "extension")),
+    "SEM-19": _xsd(_CT.format("", "") + _DERIVED.format("extension", "", "extension")),
+    "SEM-20": _xsd('<xs:element name="e" type="t"/>' + _INT.format("", "")),
+    "SEM-21": _xsd(_INT.format("", '<xs:maxInclusive value="5"/>') + '<xs:simpleType name="u"><xs:restriction base="t"><xs:maxInclusive value="5"/></xs:restriction></xs:simpleType>'),
+    "SEM-22": _xsd('<xs:element name="e" default="1"/><xs:element name="f" fixed="1"/>'),
+    "SEM-23": _xsd('<xs:element name="e" type="xs:int" default="7"/>'),
+    "SEM-24": _xsd(_CT.format("", '<xs:all><xs:element name="e"/></xs:all>')),
+    "SEM-25": _xsd(_KEY.format("a", "@b", "") + _KEY.format("a", "@b", "").replace('"e"', '"f"').replace('"k"', '"l"')),
+    "SEM-26": _xsd(_KEY.format("a", "@b", '<xs:keyref name="r" refer="k"><xs:selector xpath="a"/><xs:field xpath="@b"/></xs:keyref>')),
+    "SEM-27": _xsd(_KEY.format("a", "@b", "")),
+    "SEM-28": _xsd(_CT.format("", '<xs:attribute name="a"/>') + _DERIVED.format("restriction", '<xs:attribute name="a"/>', "restriction")),
+    "SEM-29": _xsd(_KEY.format(".//a|b/c", "./d/@b", "")),
+    "SEM-30": _xsd('<xs:attributeGroup name="g"><xs:attribute name="a" use="optional" default="1"/></xs:attributeGroup>'),
+    "SEM-31": _xsd(_CT.format("", '<xs:sequence minOccurs="2" maxOccurs="2"/>')),
+    "SEM-32": _xsd(_CT.format("", '<xs:sequence><xs:any namespace="##local urn:a"/></xs:sequence>')),
+    "SEM-33": _xsd('<xs:simpleType name="t"><xs:list itemType="xs:int"/></xs:simpleType>'),
+    "SEM-34": _xsd('<xs:simpleType name="t"><xs:union memberTypes="xs:int xs:date"/></xs:simpleType>'),
+    "SEM-35": _xsd(_CT.format("", '<xs:simpleContent><xs:extension base="xs:int"/></xs:simpleContent>')),
+    "SEM-36": _xsd('<xs:group name="g"><xs:choice/></xs:group>'),
+    "SEM-37": _xsd('<xs:element name="e" block="extension substitution"/>'),
+    "SEM-38": _xsd('<xs:element name="e" substitutionGroup="f"/><xs:element name="f"/>'),
+    "SEM-39": _xsd('<xs:element name="e" final="restriction"/><xs:element name="f" substitutionGroup="e"/>'),
+    "SEM-40": _xsd(_CT.format("", "") + _DERIVED.format("extension", "", "extension")),
+    "SEM-41": _xsd(_INT.format("", "") + '<xs:simpleType name="u"><xs:list itemType="t"/></xs:simpleType>'),
+    "SEM-42": _xsd(_INT.format("", "") + '<xs:simpleType name="u"><xs:union memberTypes="t xs:date"/></xs:simpleType>'),
+}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import conversion, grammars, streams, trees, typed, values
+from . import conversion, grammars, streams, suites, trees, typed, values
 
 
 def queries():
-    return trees.QUERIES | conversion.QUERIES | values.QUERIES | grammars.QUERIES | typed.QUERIES | streams.QUERIES
+    return trees.QUERIES | conversion.QUERIES | values.QUERIES | grammars.QUERIES | typed.QUERIES | streams.QUERIES | suites.QUERIES
 
 
 def oracle_sql():
-    return trees.ORACLES | conversion.ORACLES | values.ORACLES | grammars.ORACLES | typed.ORACLES | streams.ORACLES
+    return trees.ORACLES | conversion.ORACLES | values.ORACLES | grammars.ORACLES | typed.ORACLES | streams.ORACLES | suites.ORACLES
