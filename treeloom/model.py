@@ -42,7 +42,7 @@ ASSESSED = T.StructType(
         T.StructField("nil", T.BooleanType()),
         T.StructField("loose", T.BooleanType()),
         T.StructField("skipped", T.BooleanType()),
-        T.StructField("scope", T.ArrayType(T.StringType())),
+        T.StructField("scope", T.MapType(T.StringType(), T.StringType())),  # prefixes and namespaces, where asked for
         T.StructField("sequence", T.StringType()),  # the children's tokens, each with a blank behind
         T.StructField("text", T.StringType()),  # text and CDATA right below
         T.StructField("n_nodes", T.IntegerType()),

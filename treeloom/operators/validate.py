@@ -167,7 +167,7 @@ def accepts_bound(kind: SimpleType, value: Column, scope: Column) -> Column:
     if kind.members:
         return kind.accepts(value) & reduce(Column.__or__, [accepts_bound(m, value, scope) for m in kind.members])
     prefixes = F.transform(list_items(value), prefix_of)
-    return kind.accepts(value) & F.forall(prefixes, lambda p: (p == "") | (p == "xml") | F.array_contains(scope, p))
+    return kind.accepts(value) & F.forall(prefixes, lambda p: (p == "") | (p == "xml") | F.map_contains_key(scope, p))
 
 
 def id_roles(kind: SimpleType, value: Column) -> Column:

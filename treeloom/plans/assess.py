@@ -29,7 +29,7 @@ class Entered(NamedTuple):
     nil: bool = False
     loose: bool = False  # no declaration is needed
     skipped: bool = False  # not to be checked at all
-    scope: list[str] | None = None  # prefixes in scope, where values need them
+    scope: list[tuple[str, str]] | None = None  # prefixes in scope with their namespaces, where they are needed
     tokens: Sequence[str | None] = ()  # ``namespace}local`` of each attribute, null for those that aren't checked
 
 
@@ -44,6 +44,24 @@ class Grammar(Protocol):
         """How an element stands in its parent's sequence, with a blank behind."""
 
 
+def in_scope(bound: Mapping[str, str]) -> list[tuple[str, str]]:
+    """Bindings as a column holds them: the default namespace under the empty prefix, undone ones left out."""
+    return sorted((p, uri) for p, uri in bound.items() if uri and p != "xmlns")
+
+
+class NamespaceScope:
+    """No rules, but every element with the namespaces that are in scope where it stands."""
+
+    def start(self, number: int) -> None:
+        return None
+
+    def enter(self, state: None, ns: str, name: str, attrs: Sequence[str], bound: Mapping[str, str]) -> Entered:
+        return Entered(None, scope=in_scope(bound))
+
+    def token(self, ns: str, name: str) -> str:
+        return f"{ns}}}{name.rpartition(':')[2]} "
+
+
 class DtdGrammar:
     """Elements by their names as written; checks need no more than the sequence of children."""
 
@@ -79,7 +97,8 @@ class SchemaGrammar:
         for number, schema in enumerate(schemas):
             self._add(number, schema)
             kinds += [k for r in self.rules for k in (r.type.simple, *(a.type for a in r.type.attributes.values())) if k]
-        self.wants_scope = any(k.has_base(("QName", "NOTATION")) for k in kinds)
+        spaced = any(a.ns and (a.default is not None or a.fixed is not None) for r in self.rules for a in r.type.attributes.values())
+        self.wants_scope = spaced or any(k.has_base(("QName", "NOTATION")) for k in kinds)
 
     def _add(self, number: int, schema: Schema) -> None:
         for p in schema.places():
@@ -151,5 +170,5 @@ class SchemaGrammar:
         rule = declared if typed is None else typed
         inner = self.inner[rule] if rule is not None else None
         nil = bool(xsi) and xsi.get("nil", "").strip() in ("true", "1")
-        scope = sorted(p for p, uri in bound.items() if uri and p != "xmlns") if self.wants_scope else None
+        scope = in_scope(bound) if self.wants_scope else None
         return Entered((number, inner, mode), declared, typed, named and named.strip(), nil, mode == "lax", False, scope, tokens)

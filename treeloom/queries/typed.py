@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import attribute
 from ..operators import validate as val
-from ..plans.assess import SchemaGrammar
+from ..operators.defaults import fill_by_rule, texts_by_rule
+from ..plans.assess import NamespaceScope, SchemaGrammar
 from ..plans.lineage import stored
 from ..plans.xsd import Schema, compile_schema
 from ..sources.tokenizer import nodes_of, parse
@@ -141,8 +143,38 @@ def xsd_many_schemas_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("c_custkey"), "rule").agg(F.count("*").alias("n"))
 
 
+DEFAULTS_XSD = f"""{XS} xmlns="urn:d" targetNamespace="urn:d" elementFormDefault="qualified"><xs:attribute name="lang" type="xs:string"/>
+<xs:complexType name="one"><xs:simpleContent><xs:extension base="xs:string"><xs:attribute ref="lang" default="en"/><xs:attribute name="p" default="one"/></xs:extension></xs:simpleContent></xs:complexType>
+<xs:complexType name="two"><xs:simpleContent><xs:restriction base="one"><xs:attribute ref="lang" fixed="fr"/></xs:restriction></xs:simpleContent></xs:complexType>
+<xs:element name="d"><xs:complexType><xs:sequence><xs:element name="v" type="one" default="none"/><xs:element name="h"><xs:complexType><xs:sequence><xs:element name="v" default="inner"/></xs:sequence></xs:complexType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def xsd_defaults_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namesakes with defaults of their own, a named type with others, and a default of a namespace that takes the prefix bound there."""
+    key = F.col("c_custkey")
+    prefix = F.get(F.array(*[F.lit(p) for p in ("a", "b", "")]), (key % 3).cast("int"))
+    declared = F.when(prefix == "", ' xmlns="urn:d"').otherwise(text(' xmlns="urn:d" xmlns:', prefix, '="urn:d"'))
+    given = F.when(key % 5 == 0, text(" xmlns:q='urn:d' q:lang='own'")).when(key % 5 == 1, text(f' xmlns:i="{INSTANCE}" i:type="two"')).otherwise("")
+    xml = text("<d", declared, "><v", given, ">", F.when(key % 2 == 0, F.col("c_name")).otherwise(""), "</v><h><v/></h></d>")
+    grammar = SchemaGrammar([compile_schema("s", {"s": DEFAULTS_XSD})])
+    nodes = stored(nodes_of(parse(table(spark, sf_dir, "customer").select(key.alias("doc_id"), xml.alias("xml")), grammar=grammar)))
+    filled = fill_by_rule(nodes, grammar).where("name = 'v'").select("doc_id", "pre", "path", "attrs")
+    lang = F.array_join(F.transform(F.filter("attrs", lambda a: a["name"].rlike("(^|:)lang$")), lambda a: F.concat(a["name"], F.lit("="), a["value"])), ",")
+    return filled.join(texts_by_rule(nodes, grammar), ["doc_id", "pre"]).select(F.col("doc_id").alias("c_custkey"), "path", lang.alias("lang"), attribute(F.col("attrs"), "p").alias("p"), "text")
+
+
+def namespaces_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bindings of each element as a column: inherited, undone and bound anew."""
+    key = F.col("c_custkey")
+    inner = F.when(key % 3 == 0, ' xmlns=""').when(key % 3 == 1, ' xmlns:p="urn:q"').otherwise("")
+    xml = text('<d xmlns="urn:d" xmlns:p="urn:p"><e', inner, '><f xmlns:n="urn:', key, '"/></e><p:e/></d>')
+    nodes = nodes_of(parse(table(spark, sf_dir, "customer").select(key.alias("doc_id"), xml.alias("xml")), grammar=NamespaceScope()))
+    shown = F.array_join(F.transform(F.sort_array(F.map_entries("scope")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return nodes.select(F.col("doc_id").alias("c_custkey"), "path", F.replace(shown, F.lit("xml=http://www.w3.org/XML/1998/namespace"), F.lit("xml")).alias("bound"))
+
+
 QUERIES = {f.__name__: f for f in (
-    xsd_one_name_in_two_namespaces, xsd_type_rules_all_below, xsd_ids_by_type, identity_rising_keys, xsd_qnames_in_scope, xsd_many_schemas_at_once,
+    xsd_one_name_in_two_namespaces, xsd_type_rules_all_below, xsd_ids_by_type, identity_rising_keys, xsd_qnames_in_scope, xsd_many_schemas_at_once, xsd_defaults_by_rule, namespaces_in_scope,
 )}
 
 _NATIONS = "c_nationkey % 7 = 6"
@@ -158,6 +190,9 @@ union all select doc, 'idref-dangling', 'no ID ' || ref from (select doc, unnest
 select doc as doc_id, 'key' as rule, count(*) as n from (select doc, g, k from {_HELD} group by 1, 2, 3 having count(*) > 1) group by 1
 union all select r.doc, 'keyref', count(*) from refs r left join held h on h.doc = r.doc and h.k = r.k where coalesce(h.gs, 0) != 1 group by 1""",
     "xsd_qnames_in_scope": "select c_custkey, rule, 1::bigint as n from customer, (values ('value-type'), ('attribute-type')) v(rule) where c_custkey % 4 = 2 and c_custkey % 3 != 0",
+    "xsd_defaults_by_rule": """select c_custkey, '/d/v' as path, case c_custkey % 5 when 0 then 'q:lang=own' when 1 then case c_custkey % 3 when 0 then 'a:' when 1 then 'b:' else '' end || 'lang=fr' else case c_custkey % 3 when 0 then 'a:' when 1 then 'b:' else '' end || 'lang=en' end as lang, 'one' as p, case when c_custkey % 2 = 0 then c_name else 'none' end as text from customer
+union all select c_custkey, '/d/h/v', '', null, 'inner' from customer""",
+    "namespaces_in_scope": """select c_custkey, path, case path when '/d' then '=urn:d p=urn:p xml' when '/d/p:e' then '=urn:d p=urn:p xml' else case when c_custkey % 3 = 0 then '' else '=urn:d ' end || case when path = '/d/e/f' then 'n=urn:' || c_custkey || ' ' else '' end || case when c_custkey % 3 = 1 then 'p=urn:q' else 'p=urn:p' end || ' xml' end as bound from customer, (values ('/d'), ('/d/e'), ('/d/e/f'), ('/d/p:e')) v(path)""",
     "xsd_many_schemas_at_once": f"""select c_custkey, rule, sum(n)::bigint as n from (select c_custkey, 'schema-missing' as rule, 1 as n from customer where {_NATIONS}
 union all select c_custkey, 'value-type', 1 from customer where not ({_NATIONS}) and c_custkey % 25 > c_nationkey union all select c_custkey, 'value-type', 1 from customer where not ({_NATIONS}) and c_custkey % 6 = 0) group by 1, 2""",
 }
