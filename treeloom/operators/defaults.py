@@ -24,9 +24,16 @@ def merge_defaults(nodes: DataFrame, defaults: DataFrame) -> DataFrame:
     The rules are as many as the grammars declare, so they are gathered by element and
     broadcast; documents aren't moved.
     """
-    by_element = defaults.groupBy("element").agg(
-        F.sort_array(F.collect_list(F.struct("priority", F.col("ns").isNull().alias("any_ns"), "attribute", "ns", "default_value"))).alias("rules")
-    )
+    return merge_gathered(nodes, gathered_rules(defaults))
+
+
+def gathered_rules(defaults: DataFrame, *keys: str) -> DataFrame:
+    """The rules of each element (and of each value of ``keys``, such as the grammar) in one row."""
+    rule = F.struct("priority", F.col("ns").isNull().alias("any_ns"), "attribute", "ns", "default_value")
+    return defaults.groupBy("element", *keys).agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+
+
+def merge_gathered(nodes: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
     own = nodes.withColumn("element", F.when(F.col("kind") == "element", local_of(F.col("name"))))
     fits = F.filter("rules", lambda r: r["ns"].isNull() | (r["ns"] == F.coalesce("ns_uri", F.lit(""))))
     missing = F.filter(fits, lambda r: ~F.exists("attrs", lambda a: a["name"] == r["attribute"]))
@@ -38,7 +45,7 @@ def merge_defaults(nodes: DataFrame, defaults: DataFrame) -> DataFrame:
             F.array_append(out, F.struct(r["attribute"].alias("name"), r["default_value"].alias("value")))
         ),
     )
-    met = own.join(F.broadcast(by_element), "element", "left")
+    met = own.join(F.broadcast(rules), ["element", *keys], "left")
     return met.withColumn("attrs", F.when(F.col("rules").isNotNull(), F.concat("attrs", first)).otherwise(F.col("attrs"))).select(nodes.columns)
 
 

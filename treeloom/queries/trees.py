@@ -23,7 +23,7 @@ def shred_lineitem_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shred_nodes_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # parsed once: the three branches below read what was stored
-    nodes = stored(nodes_of(parse(synth.orders(spark, sf_dir))).where("path in ('/order/line', '/order/line/qty')"))
+    nodes = stored(nodes_of(parse(synth.orders(spark, sf_dir), paths=["/order/line", "/order/line/qty"])))
     lines = nodes.where("path = '/order/line' and kind = 'element'")
     qty = nodes.where("path = '/order/line/qty'")
     values = qty.where("kind = 'text'").select("doc_id", F.col("parent").alias("pre"), F.col("value").cast("long").alias("qty"))

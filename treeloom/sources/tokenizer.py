@@ -6,7 +6,8 @@ A document that isn't well formed gives one row of kind ``error`` and no others.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
+from itertools import repeat
 from typing import TYPE_CHECKING
 from xml.parsers import expat
 
@@ -118,33 +119,38 @@ class DocumentParser:
     """Parses one document after the other into shared rows.
 
     ``external`` maps system identifiers to the text of external entities; nothing else is
-    ever fetched.  With a grammar the rows are ``AssessedRows``.
+    ever fetched.  With a grammar the rows are ``AssessedRows``.  With ``paths`` only the
+    elements of these paths and the leaves right below them are kept; places are counted
+    over all nodes.  A reference to an entity that the document doesn't declare, where it
+    names declarations elsewhere, becomes the text that ``entities`` has for it, or else a
+    node of kind ``entity``.
     """
 
-    def __init__(self, rows: NodeRows, external: Mapping[str, str] | None = None, grammar: Grammar | None = None):
-        self.rows, self.external, self.grammar = rows, external or {}, grammar
+    def __init__(self, rows: NodeRows, external: Mapping[str, str] | None = None, grammar: Grammar | None = None, paths: Collection[str] | None = None, entities: Mapping[str, str] | None = None):
+        self.rows, self.external, self.grammar, self.entities = rows, external or {}, grammar, entities or {}
+        self.paths = None if paths is None else frozenset(paths)
 
-    def parse(self, doc_id: int, chunks: list[str] | str | None) -> None:
+    def parse(self, doc_id: int, chunks: list[str] | str | None, external: Mapping[str, str] | None = None) -> None:
+        """``external`` holds texts for this document alone, before those for all."""
         first = len(self.rows)
         try:
-            self._parse(doc_id, [chunks] if isinstance(chunks, str) else chunks)
+            self._parse(doc_id, [chunks] if isinstance(chunks, str) else chunks, {**self.external, **external} if external else self.external)
         except (expat.ExpatError, ValueError) as e:
             self.rows.cut_back(first)
             self.rows.add((doc_id, 0, 0, -1, 0, 0, ERROR, None, None, str(e), None))
 
-    def _parse(self, doc_id: int, chunks: list[str] | None) -> None:
+    def _parse(self, doc_id: int, chunks: list[str] | None, texts: Mapping[str, str]) -> None:
         if chunks is None:
             raise ValueError("no document")
         rows = self.rows
-        posts = rows.posts
-        base = len(rows)
+        posts, wanted, count = rows.posts, self.paths, 0
         p = expat.ParserCreate("utf-8")
         p.ordered_attributes = p.buffer_text = True
         p.buffer_size = 1 << 16
-        if self.external:
+        if texts:
             p.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_ALWAYS)
-        # for each open element: its place, path, bound prefixes, number of nodes, numbers by name
-        frames: list[list] = [[-1, "", {"xml": XML_URI, "xmlns": XMLNS_URI, "": ""}, 0, {}]]
+        # for each open element: its place, path, bound prefixes, number of nodes, numbers by name, row
+        frames: list[list] = [[-1, "", {"xml": XML_URI, "xmlns": XMLNS_URI, "": ""}, 0, {}, -1]]
         grammar = self.grammar
         opened = [Assessed(grammar.start(0), None)] if grammar else []
         in_cdata: list[str] | None = None
@@ -152,11 +158,17 @@ class DocumentParser:
         data = [c.encode("utf-8", "surrogatepass") for c in chunks]
 
         def leaf(kind: str, name: str | None, value: str | None, attrs: tuple | list = ()) -> None:
+            nonlocal count
             frame = frames[-1]
-            rows.add((doc_id, len(posts) - base, len(frames) - 1, frame[0], frame[3], 0, kind, name, None, value, frame[1]), attrs)
+            count += 1
+            if wanted is not None and frame[1] not in wanted:
+                frame[3] += 1
+                return
+            rows.add((doc_id, count - 1, len(frames) - 1, frame[0], frame[3], 0, kind, name, None, value, frame[1]), attrs)
             frame[3] += 1
 
         def start(name: str, attrs: list[str]) -> None:
+            nonlocal count
             frame = frames[-1]
             bound, named = frame[2], frame[4]
             for k in range(0, len(attrs), 2):
@@ -164,22 +176,25 @@ class DocumentParser:
                     bound = bound | {attrs[k][6:]: attrs[k + 1]}
             occ = named.get(name, 0)
             named[name] = occ + 1
-            pre = len(posts) - base
-            path = f"{frame[1]}/{name}"
+            pre, path = count, f"{frame[1]}/{name}"
+            count += 1
+            kept = wanted is None or path in wanted
             uri = bound.get(name.partition(":")[0] if ":" in name else "")
             row = (doc_id, pre, len(frames) - 1, frame[0], frame[3], occ, "element", name, uri, None, path)
             if grammar:
                 own, tokens = enter(grammar, opened[-1], uri or "", name, attrs, bound)
                 opened.append(own)
-                rows.add(row, attrs, own.note, tokens)
-            else:
+                if kept:
+                    rows.add(row, attrs, own.note, tokens)
+            elif kept:
                 rows.add(row, attrs)
             frame[3] += 1
-            frames.append([pre, path, bound, 0, {}])
+            frames.append([pre, path, bound, 0, {}, len(posts) - 1 if kept else -1])
 
         def end(_name: str) -> None:
             frame = frames.pop()
-            posts[base + frame[0]] = len(posts) - base - 1
+            if frame[5] >= 0:
+                posts[frame[5]] = count - 1
             if grammar:
                 opened.pop().close(frame[3])
 
@@ -226,8 +241,10 @@ class DocumentParser:
             p.CommentHandler, p.ProcessingInstructionHandler = comment, pi
 
         def external(context: str, _base: str | None, system_id: str | None, public_id: str | None) -> int:
-            found = self.external.get(system_id or "", self.external.get(public_id or ""))
+            found = texts.get(system_id or "", texts.get(public_id or ""))
             if found is None:
+                if context:  # a general entity whose text isn't at hand: its name comes first in the context
+                    skipped(context.partition("\f")[0] if "=" not in context.partition("\f")[0] else "", False)
                 return 1
             child = p.ExternalEntityParserCreate(context)
             child.Parse(found.encode("utf-8"), True)
@@ -239,20 +256,34 @@ class DocumentParser:
         def pi(target: str, value: str) -> None:
             leaf("pi", target, value)
 
+        def skipped(name: str, is_parameter: bool) -> None:
+            if not is_parameter and len(frames) > 1:
+                if name in self.entities:
+                    text(self.entities[name])
+                else:
+                    leaf("entity", name, None)
+
         doctype_row: list[str | None] = []
         p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
         p.CommentHandler, p.ProcessingInstructionHandler = comment, pi
         p.StartCdataSectionHandler, p.EndCdataSectionHandler = cdata_start, cdata_end
         p.XmlDeclHandler, p.StartDoctypeDeclHandler, p.EndDoctypeDeclHandler = declaration, doctype, doctype_end
-        p.ExternalEntityRefHandler = external
+        p.ExternalEntityRefHandler, p.SkippedEntityHandler = external, skipped
         for n, piece in enumerate(data):
             p.Parse(piece.removeprefix(_BOM.encode()) if n == 0 else piece, False)
         p.Parse(b"", True)
 
 
-def parse(docs: DataFrame, external: Mapping[str, str] | None = None, grammar: Grammar | None = None, tasks: int | None = None) -> DataFrame:
+def parse(docs: DataFrame, external: Mapping[str, str] | None = None, grammar: Grammar | None = None, tasks: int | None = None, paths: Collection[str] | None = None, entities: Mapping[str, str] | None = None) -> DataFrame:
     """Node rows of ``docs`` (``doc_id, xml``), error rows included.
 
+    ``paths`` keeps the elements of these paths (``/a/b``) with the leaves right below them,
+    and leaves the rest out before it becomes rows; without it all nodes are given.
+
+    ``entities`` has texts for entities that a document uses but doesn't declare; ``external``
+    those of external entities by system or public identifier, and a column ``external``
+    (such a map) the document's own (see ``with_external``).
+
     With a grammar, elements have the columns of ``ASSESSED`` too.  Documents are not moved,
     unless ``tasks`` asks for them to be dealt evenly first: parsing is the costly step, and
     many small documents in one file would otherwise be parsed by one task.
@@ -260,17 +291,18 @@ def parse(docs: DataFrame, external: Mapping[str, str] | None = None, grammar: G
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = AssessedRows() if grammar else NodeRows()
-        parser = DocumentParser(rows, external, grammar)
+        parser = DocumentParser(rows, external, grammar, paths, entities)
         for b in batches:
-            for doc_id, xml in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parser.parse(doc_id, xml)
+            own = b.column(2).to_pylist() if b.num_columns > 2 else repeat(None, b.num_rows)
+            for doc_id, xml, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), own, strict=True):
+                parser.parse(doc_id, xml, dict(texts) if texts else None)
                 if len(rows) >= LARGEST_BATCH:
                     yield rows.batch()
                     parser.rows = rows = type(rows)()
         if len(rows):
             yield rows.batch()
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("xml").cast("string"))
+    read = docs.select(F.col("doc_id").cast("long"), F.col("xml").cast("string"), *["external"] * ("external" in docs.columns))
     schema = T.StructType(NODES.fields + ASSESSED.fields) if grammar else NODES
     return (read.repartition(tasks) if tasks else read).mapInArrow(run, schema)
 
