@@ -190,3 +190,12 @@ def test_shards_edge_cases(spark):
     assert shard_by_bytes(frame(spark, []), 24).count() == 0
     rows = shard_by_bytes(frame(spark, [(None, None), (1, "a"), (1, "a")]), 2).collect()
     assert sorted(r.size for r in rows) == [8, 9, 9]
+
+
+def test_hot_keys_of_either_size(spark):
+    from treeloom.llm.common import salted_join
+
+    many = spark.createDataFrame([(5, n) for n in range(9)] + [(1 << 40, n) for n in range(3)], "k long, n long")
+    one = spark.createDataFrame([(5, "a"), (1 << 40, "b")], "k long, x string")
+    for hot in ({5: 3}, {5: 3, 1 << 40: 2}):
+        assert sorted((r.k, r.n, r.x) for r in salted_join(many, one, "k", hot, "n").collect()) == [(5, n, "a") for n in range(9)] + [(1 << 40, n, "b") for n in range(3)]

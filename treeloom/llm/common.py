@@ -46,7 +46,8 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, hot: dict[int, int],
     """``many.join(one, [key, *also])`` where rows of a hot key are spread by ``by``; ``one`` is repeated for each of its parts."""
     if not hot:
         return many.join(one, [key, *also], how)
-    parts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col(key)], F.lit(1))
+    known = F.create_map(*[F.lit(x).cast(kind) for pair in hot.items() for x, kind in zip(pair, ("long", "int"), strict=True)])
+    parts = F.coalesce(known[F.col(key)], F.lit(1))
     spread = many.withColumn("hot_part", F.pmod(F.xxhash64(by), parts).cast("int"))
     repeated = one.withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return spread.join(repeated, [key, "hot_part", *also], how).drop("hot_part")
