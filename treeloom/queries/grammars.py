@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..model import NODES
 from ..operators import defaults as df
 from ..operators import edit
 from ..operators import identity as ident
 from ..operators import navigate as nav
 from ..operators import serialize as ser
 from ..operators import validate as val
+from ..operators.suite import schema_faults
 from ..plans import wildcards as wild
 from ..plans.assess import DtdGrammar, SchemaGrammar
 from ..plans.catalog import Catalog, resolve_by_join
@@ -19,7 +23,7 @@ from ..plans.dtd import compile_dtd
 from ..plans.lineage import stored
 from ..plans.relaxng import RelaxNg
 from ..plans.xsd import Schema, compile_schema, wildcard_allows
-from ..plans.xsd_rules import BAD_EXAMPLES, check_schema
+from ..plans.xsd_rules import BAD_EXAMPLES
 from ..sources.tokenizer import nodes_of, parse
 from . import synth
 from .synth import element, table
@@ -92,16 +96,26 @@ def dtd_entity_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dtd_rule_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The compiled grammar as tables: attributes with their use."""
-    return compile_dtd(CUSTOMER_DTD).tables(spark)["dtd_attributes"].select("element", "attribute", "type", F.array_join("allowed", "|").alias("allowed"), "use", "default_value")
+    """The compiled grammar as a table, met with the documents: each attribute rule with the number of customers that give the attribute."""
+    rules = compile_dtd(CUSTOMER_DTD).tables(spark)["dtd_attributes"]
+    nodes = nodes_of(parse(_customers(spark, sf_dir), tasks=_tasks(spark)))
+    given = nodes.where("kind = 'element'").select(F.col("name").alias("element"), F.explode("attrs.name").alias("attribute"))
+    used = rules.join(given.groupBy("element", "attribute").agg(F.count("*").alias("n")), ["element", "attribute"], "left")
+    return used.select("element", "attribute", "type", F.array_join("allowed", "|").alias("allowed"), "use", "default_value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def grammar_merge_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two grammars merged: what holds is the first's, where both declare; documents are judged by the merged one."""
     one = compile_dtd("<!ELEMENT a (b)><!ELEMENT b EMPTY><!ATTLIST a x CDATA 'one'>")
     two = compile_dtd("<!ELEMENT a (c)><!ELEMENT c (#PCDATA|b)*><!ATTLIST a x CDATA 'two' y CDATA 'y'>")
     merged = one.merged(two)
-    rows = [("element", n, m[3]) for n, m in merged.models.items()] + [("attribute", f"{e}/{a}", r.default) for (e, a), r in merged.attributes.items()]
-    return spark.createDataFrame(rows, "kind string, name string, declared string")
+    xml = _variant(4, "<a><b/></a>", "<a><c/></a>", "<c>t<b/>t</c>", "<c><b>t</b></c>")
+    nodes = nodes_of(parse(_by_customer(spark, sf_dir, xml), grammar=DtdGrammar(), tasks=_tasks(spark)))
+    bad = val.dtd_violations(nodes, merged).select("doc_id", "rule")
+    rules = {(None, a.element, a.name): a.default for a in merged.attributes.values() if a.default is not None}
+    roots = nav.roots(df.merge_defaults(nodes.select(*NODES.fieldNames()), df.default_table(spark, rules)))
+    told = roots.join(bad, "doc_id", "left").groupBy("doc_id", "name", *[tx.attribute(F.col("attrs"), a).alias(a) for a in ("x", "y")]).agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
+    return told.groupBy((F.col("doc_id") % 4).alias("k"), "name", "x", "y", "rules").agg(F.count("*").alias("n"))
 
 
 def id_idref_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +197,10 @@ def xsd_sequence_choice_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xsd_wildcard_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spaces = spark.createDataFrame([("",), ("urn:t",), ("urn:o",)], "ns string")
-    return spaces.select("ns", *[wildcard_allows(w, F.col("ns"), "urn:t").alias(n) for n, w in (("any_", "##any"), ("other_", "##other"), ("local_", "##local"), ("target_", "##targetNamespace"), ("list_", "urn:o ##local"))])
+    """Namespaces of customers' documents beside five kinds of wildcard."""
+    xml = _variant(3, "<e/>", '<e xmlns="urn:t"/>', '<o:e xmlns:o="urn:o"/>')
+    spaces = nodes_of(parse(_by_customer(spark, sf_dir, xml), tasks=_tasks(spark))).groupBy(F.coalesce("ns_uri", F.lit("")).alias("ns")).agg(F.count("*").alias("n"))
+    return spaces.select("ns", "n", *[wildcard_allows(w, F.col("ns"), "urn:t").alias(n) for n, w in (("any_", "##any"), ("other_", "##other"), ("local_", "##local"), ("target_", "##targetNamespace"), ("list_", "urn:o ##local"))])
 
 
 _XS = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"'
@@ -274,17 +290,28 @@ SUBSTITUTION_XSD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:e
 
 
 def substitution_group_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members by a recursive query over the declarations, beside the compiler's."""
+    """Members by a recursive query over the declarations, beside the compiler's; with the number of documents in which each stands for a head."""
     schema = _schema(SUBSTITUTION_XSD)
-    spark.createDataFrame([(n[1], r.head[1] if r.head else None) for n, r in schema.globals.items()], "name string, head string").createOrReplaceTempView("treeloom_heads")
-    found = spark.sql("with recursive m(head, name, steps) as (select name, name, 0 from treeloom_heads union all select m.head, h.name, m.steps + 1 from m join treeloom_heads h on h.head = m.name) select head, name, steps from m")
+    heads = f"heads_{uuid.uuid4().hex}"
+    spark.createDataFrame([(n[1], r.head[1] if r.head else None) for n, r in schema.globals.items()], "name string, head string").createOrReplaceTempView(heads)
+    found = spark.sql(f"with recursive m(head, name, steps) as (select name, name, 0 from {heads} union all select m.head, h.name, m.steps + 1 from m join {heads} h on h.head = m.name) select head, name, steps from m")
     known = spark.createDataFrame([(h[1], n[1]) for h in schema.globals for n in schema.members(h)], "head string, name string").withColumn("usable", F.lit(True))
-    return found.join(F.broadcast(known), ["head", "name"], "left").select("head", "name", F.col("steps").cast("int").alias("steps"), F.coalesce("usable", F.lit(False)).alias("usable"))
+    xml = F.concat(F.lit("<d>"), _variant(5, "<a/>", "<b/>", "<c/>", "<z/>", "<h/>"), F.lit("</d>"))
+    grammar = SchemaGrammar([schema])
+    nodes = nodes_of(parse(_by_customer(spark, sf_dir, xml), grammar=grammar, tasks=_tasks(spark)))
+    wrong = val.xsd_violations(nodes, grammar).where("pre = 0").select("doc_id").distinct()
+    stands = nodes.where("level = 1").join(wrong, "doc_id", "left_anti").groupBy("name").agg(F.count("*").alias("n")).withColumn("head", F.lit("h"))
+    out = found.join(F.broadcast(known), ["head", "name"], "left").join(stands, ["head", "name"], "left")
+    return out.select("head", "name", F.col("steps").cast("int").alias("steps"), F.coalesce("usable", F.lit(False)).alias("usable"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def xsd_schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that schema documents break, one document for each rule."""
-    return spark.createDataFrame([(name, rule) for name, text in BAD_EXAMPLES.items() for rule in sorted({r for r, _ in check_schema(text)})], "example string, rule string")
+    """A schema document for each supplier and part, by its number one of those that break a rule; the rules found."""
+    names = sorted(BAD_EXAMPLES)
+    key = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_suppkey"))
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("k") % len(names)).cast("int"))
+    judged = key.select(of(names).alias("example"), schema_faults(of([BAD_EXAMPLES[n] for n in names])).alias("faults"))
+    return judged.select("example", F.explode(F.array_distinct(F.transform("faults", lambda f: f["rule"]))).alias("rule")).groupBy("example", "rule").agg(F.count("*").alias("n"))
 
 
 def xsd_native_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,10 +378,13 @@ def catalog_suffix_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_delegate_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public and system identifiers of customers' documents, resolved by a catalog that delegates, groups and chains."""
     ids = [("-//T//DTD X//EN", "urn:s"), ("-//T//DTD Y//EN", ""), ("-//T//DTD Z//EN", ""), ("-//D//One//EN", ""), ("-//D//Two//EN", ""), ("urn:publicid:-:T:DTD+X:EN", ""), ("none", "a/b.dtd"), ("none", "urn:s"), ("none", "x/none")]
-    rows = spark.createDataFrame(ids, "public_id string, system_id string")
+    xml = F.concat(F.lit('<!DOCTYPE c PUBLIC "'), _variant(9, *[p for p, _ in ids]), F.lit('" "'), _variant(9, *[s for _, s in ids]), F.lit('"><c/>'))
+    doctypes = nodes_of(parse(_by_customer(spark, sf_dir, xml), tasks=_tasks(spark))).where("kind = 'doctype'")
+    rows = doctypes.groupBy(*[tx.attribute(F.col("attrs"), n).alias(n) for n in ("public_id", "system_id")]).agg(F.count("*").alias("n"))
     c = _catalog()
-    return rows.select("public_id", "system_id", c.match_public(F.col("public_id")).alias("public"), c.match_system(F.col("system_id")).alias("system"), c.resolve_entity(F.col("public_id"), F.col("system_id")).alias("entity"))
+    return rows.select("public_id", "system_id", "n", c.match_public(F.col("public_id")).alias("public"), c.match_system(F.col("system_id")).alias("system"), c.resolve_entity(F.col("public_id"), F.col("system_id")).alias("entity"))
 
 
 LIBRARY_RNG = {
@@ -397,30 +427,44 @@ def rng_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wildcard_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersection and union of wildcards, with the numbers of customers' elements that each covers."""
     tokens = ["##any", "##other", "##local urn:a", "##targetNamespace urn:b"]
+    xml = _variant(4, "<e/>", '<e xmlns="urn:t"/>', '<e xmlns="urn:a"/>', '<e xmlns="urn:b"/>')
+    spaces = nodes_of(parse(_by_customer(spark, sf_dir, xml), tasks=_tasks(spark))).groupBy(F.coalesce("ns_uri", F.lit("")).alias("ns")).agg(F.count("*").alias("n"))
     rows = []
     for a in tokens:
         for b in tokens:
             x, y = wild.parse(a, "urn:t"), wild.parse(b, "urn:t")
-            rows.append((a, b, wild.shown(wild.intersection(x, y)), wild.shown(wild.union(x, y)), wild.is_subset(x, y)))
-    return spark.createDataFrame(rows, "a string, b string, both string, either string, inside boolean")
+            both, either = wild.intersection(x, y), wild.union(x, y)
+            rows.append((a, b, wild.shown(both), wild.shown(either), wild.is_subset(x, y), both[0], sorted(both[1]) if len(both) > 1 else [], either[0], sorted(either[1]) if len(either) > 1 else []))
+    names = ("a", "b", "both", "either", "inside", "b_form", "b_spaces", "e_form", "e_spaces")
+    as_column = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<string>") if isinstance(v, list) else F.lit(v)
+    pairs = F.array(*[F.struct(*[as_column(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+    covers = lambda side: F.when(F.col(f"{side}_form") == "any", F.lit(True)).when(F.col(f"{side}_form") == "not", ~F.array_contains(f"{side}_spaces", F.col("ns"))).otherwise(F.array_contains(f"{side}_spaces", F.col("ns")))
+    met = spaces.select("ns", "n", F.inline(pairs))
+    count = lambda side: F.coalesce(F.sum(F.when(covers(side), F.col("n"))), F.lit(0)).cast("long")
+    return met.groupBy("a", "b", "both", "either", "inside").agg(count("b").alias("n_both"), count("e").alias("n_either"))
 
 
 def type_derivation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of each type with the methods on the way, by a recursive query over the compiled derivations."""
+    """Ancestors of each type with the methods on the way, by a recursive query over the compiled derivations; with the number of instances that name the type and are valid."""
     derived = '<xs:complexType name="{0}"><xs:complexContent><xs:{2} base="{1}"/></xs:complexContent></xs:complexType>'
-    schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="a"/>' + "".join(derived.format(*d) for d in (("b", "a", "extension"), ("c", "b", "restriction"), ("d", "a", "restriction"))) + "</xs:schema>")
-    spark.createDataFrame(schema.derivation(), "type string, base string, method string").createOrReplaceTempView("treeloom_derivation")
-    return spark.sql("with recursive up(type, ancestor, methods) as (select type, base, method from treeloom_derivation union all select u.type, d.base, concat(u.methods, ',', d.method) from up u join treeloom_derivation d on d.type = u.ancestor) select type, ancestor, methods, contains(methods, 'extension') as by_extension from up")
+    schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="a"/>' + "".join(derived.format(*d) for d in (("b", "a", "extension"), ("c", "b", "restriction"), ("d", "a", "restriction"))) + '<xs:element name="e" type="a" block="extension"/></xs:schema>')
+    steps = f"derivation_{uuid.uuid4().hex}"
+    spark.createDataFrame(schema.derivation(), "type string, base string, method string").createOrReplaceTempView(steps)
+    closed = spark.sql(f"with recursive up(type, ancestor, methods) as (select type, base, method from {steps} union all select u.type, d.base, concat(u.methods, ',', d.method) from up u join {steps} d on d.type = u.ancestor) select type, ancestor, methods, contains(methods, 'extension') as by_extension from up")
+    xml = F.concat(F.lit('<e xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:type="'), _variant(4, "a", "b", "c", "d"), F.lit('"/>'))
+    grammar = SchemaGrammar([schema])
+    nodes = nodes_of(parse(_by_customer(spark, sf_dir, xml), grammar=grammar, tasks=_tasks(spark)))
+    valid = nodes.join(val.xsd_violations(nodes, grammar).select("doc_id").distinct(), "doc_id", "left_anti").groupBy(F.col("xsi_type").alias("type")).agg(F.count("*").alias("n"))
+    return closed.join(valid, "type", "left").select("type", "ancestor", "methods", "by_extension", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def value_space_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed value is compared as a value: 1, 1.0 and +01.00 are one decimal."""
     schema = _schema('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="v" type="xs:decimal" fixed="1.0"/></xs:schema>')
-    texts = ["1", "1.0", "+01.00", "1.01", "-1"]
-    docs = spark.createDataFrame([(k, f"<v>{t}</v>") for k, t in enumerate(texts)], "doc_id long, xml string")
-    bad = _judged(docs, schema)
-    return bad.select("doc_id", "rule")
+    xml = F.concat(F.lit("<v>"), _variant(5, "1", "1.0", "+01.00", "1.01", "-1"), F.lit("</v>"))
+    return _counted(_judged(_by_customer(spark, sf_dir, xml), schema, _tasks(spark)))
 
 
 def append_and_remove_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,6 +494,7 @@ _ALGEBRA = [
     ("##local urn:a", "##any", _A, "any", True), ("##local urn:a", "##other", "in:urn:a", "not:urn:t", False), ("##local urn:a", "##local urn:a", _A, _A, True), ("##local urn:a", "##targetNamespace urn:b", "in:", "in:|urn:a|urn:b|urn:t", False),
     ("##targetNamespace urn:b", "##any", _B, "any", True), ("##targetNamespace urn:b", "##other", "in:urn:b", "not:", False), ("##targetNamespace urn:b", "##local urn:a", "in:", "in:|urn:a|urn:b|urn:t", False), ("##targetNamespace urn:b", "##targetNamespace urn:b", _B, _B, True),
 ]
+_COVERS = "{0} = 'any' or (starts_with({0}, 'not:') and not list_contains(string_split({0}[5:], '|'), ns)) or (starts_with({0}, 'in:') and {0} != 'in:' and list_contains(string_split({0}[4:], '|'), ns))"
 _ROLES = "(select conv_id, string_agg(role, ' ' order by turn, role) || ' ' as s from conversations group by 1)"
 _LINES = "select l.* from lineitem l join orders o on o.o_orderkey = l.l_orderkey"
 _KIDS = "(select c_custkey, list_aggregate([['a', 'b', 'c'][cast((c_custkey + i) % 3 as integer) + 1] for i in range(0, c_custkey % 4 + 1)], 'string_agg', '') as s from customer)"
@@ -463,8 +508,8 @@ ORACLES = {
     "dtd_default_merge": "select 'plain' as kind, c_custkey % 5 != 0 as keyed, count(*) as n from customer group by 1, 2",
     "dtd_internal_defaults": "select n_nationkey::bigint as n_nationkey, 'k' as kind, cast(1 + len(list_filter(string_split(n_name, ' '), lambda x: x != '')) as integer) as tokens from nation",
     "dtd_entity_expansion": "select r_regionkey::bigint as r_regionkey, r_name || '[x&y]moutside' as text from region",
-    "dtd_rule_tables": "select * from (values ('customer', 'key', 'NMTOKEN', '', 'required', null), ('customer', 'seg', 'ENUMERATION', 'AUTOMOBILE|BUILDING|FURNITURE|MACHINERY', 'implied', null), ('customer', 'kind', 'CDATA', '', 'optional', 'plain'), ('customer', 'code', 'ID', '', 'implied', null)) x(element, attribute, type, allowed, use, default_value)",
-    "grammar_merge_keep_first": "select * from (values ('element', 'a', '(b)'), ('element', 'b', 'EMPTY'), ('element', 'c', '(#PCDATA|b)*'), ('attribute', 'a/x', 'one'), ('attribute', 'a/y', 'y')) x(kind, name, declared)",
+    "dtd_rule_tables": "select x.*, case attribute when 'key' then (select count(*) from customer where c_custkey % 5 != 0) when 'seg' then (select count(*) from customer) else 0 end as n from (values ('customer', 'key', 'NMTOKEN', '', 'required', null), ('customer', 'seg', 'ENUMERATION', 'AUTOMOBILE|BUILDING|FURNITURE|MACHINERY', 'implied', null), ('customer', 'kind', 'CDATA', '', 'optional', 'plain'), ('customer', 'code', 'ID', '', 'implied', null)) x(element, attribute, type, allowed, use, default_value)",
+    "grammar_merge_keep_first": "select c_custkey % 4 as k, name, x, y, rules, count(*) as n from customer join (values (0, 'a', 'one', 'y', ''), (1, 'a', 'one', 'y', 'content-model'), (2, 'c', null, null, ''), (3, 'c', null, null, 'content-empty')) v(m, name, x, y, rules) on c_custkey % 4 = m group by all",
     "id_idref_parts": "select p_partkey // 1000 as doc_id, 'idref-dangling' as rule, 'no ID p' || (p_partkey + 1) as message from part p where not exists (select 1 from part q where q.p_partkey = p.p_partkey + 1 and q.p_partkey // 1000 = p.p_partkey // 1000)",
     "xsd_order_violations": f"select rule, count(*) as n from ({_RULES} union all select 'unique', '', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by 1",
     "violations_rollup": f"select rule, message, count(*) as n, count(distinct doc) as docs from ({_RULES} union all select 'unique', 'repeated value of lineNumber', l_orderkey from (select l_orderkey, l_linenumber from ({_LINES}) group by 1, 2 having count(*) > 1)) group by rollup (rule, message)",
@@ -474,25 +519,25 @@ ORACLES = {
     "xsd_blocked_types": "select c_custkey, 'type-blocked' as rule, case c_custkey % 4 when 1 then 1 else 2 end::bigint as n from customer where c_custkey % 4 in (1, 3) union all select c_custkey, 'content-model', 1 from customer where c_custkey % 3 = 0",
     "xsd_by_location": "select c_custkey, case when c_custkey % 5 = 0 then 'schema-missing' else 'value-type' end as rule, 1::bigint as n from customer where c_custkey % 7 != 0 and (c_custkey % 5 = 0 or (c_custkey % 2 = 0) = (c_custkey % 3 = 0))",
     "xsd_sequence_choice_all": f"select c_custkey % 12 as class, regexp_full_match(s, 'ab?c*') as seq, regexp_full_match(s, '[ab]{{1,3}}') as cho, contains(s, 'a') and contains(s, 'b') and length(s) = len(list_distinct(string_split(s, ''))) as al, count(*) as n from {_KIDS} group by 1, 2, 3, 4",
-    "xsd_wildcard_namespaces": "select * from (values ('', true, false, true, false, true), ('urn:t', true, false, false, true, false), ('urn:o', true, true, false, false, true)) x(ns, any_, other_, local_, target_, list_)",
+    "xsd_wildcard_namespaces": "select x.* exclude (k), (select count(*) from customer where c_custkey % 3 = k) as n from (values (0, '', true, false, true, false, true), (1, 'urn:t', true, false, false, true, false), (2, 'urn:o', true, true, false, false, true)) x(k, ns, any_, other_, local_, target_, list_)",
     "xsd_default_fixed": "select c_custkey, case when c_custkey % 2 = 1 then c_mktsegment else 'NONE' end as seg, '1' as v, case when c_custkey % 2 = 1 then c_name else 'nobody' end as name from customer",
     "xsd_union_list": "select p_partkey, v, e1 or e2 as either, case when e1 then 'small' when e2 then 'word' end as member, w as words, w and n = 2 as two from (select p_partkey, v, coalesce(try_cast(v as integer) <= 20, false) as e1, regexp_full_match(v, '[a-z]+') as e2, regexp_full_match(v, '[a-z]+( [a-z]+)*') as w, len(string_split(v, ' ')) as n from (select p_partkey, case when p_partkey % 2 = 0 then cast(p_size as varchar) else lower(p_name) end as v from part))",
     "xsd_xsi_type_nil": "select c_custkey % 6 as k, rule, count(*) as n from customer, (values (1, 'content-model'), (1, 'element-undeclared'), (4, 'nil-content'), (5, 'nil-not-allowed')) v(m, rule) where c_custkey % 6 = m group by 1, 2",
-    "substitution_group_closure": "select head, name, steps, usable from (values ('h', 'h', 0, false), ('h', 'a', 1, true), ('h', 'b', 2, true), ('h', 'c', 3, true), ('a', 'a', 0, true), ('a', 'b', 1, true), ('a', 'c', 2, true), ('b', 'b', 0, true), ('b', 'c', 1, true), ('c', 'c', 0, true), ('z', 'z', 0, true), ('d', 'd', 0, true)) x(head, name, steps, usable)",
+    "substitution_group_closure": "select head, name, steps, usable, case when head = 'h' and name in ('a', 'b', 'c') then (select count(*) from customer where c_custkey % 5 = case name when 'a' then 0 when 'b' then 1 else 2 end) else 0 end as n from (values ('h', 'h', 0, false), ('h', 'a', 1, true), ('h', 'b', 2, true), ('h', 'c', 3, true), ('a', 'a', 0, true), ('a', 'b', 1, true), ('a', 'c', 2, true), ('b', 'b', 0, true), ('b', 'c', 1, true), ('c', 'c', 0, true), ('z', 'z', 0, true), ('d', 'd', 0, true)) x(head, name, steps, usable)",
     "xsd_native_differential": "select l_returnflag in ('A', 'N') as flag_ok, l_quantity between 1 and 45 as qty_ok, count(*) as n from lineitem group by 1, 2",
-    "xsd_schema_rules": "select example, example as rule from (values " + ", ".join(f"('{r}')" for r in BAD_EXAMPLES) + ") x(example)",
+    "xsd_schema_rules": "select example, example as rule, count(*) as n from (select [" + ", ".join(f"'{r}'" for r in sorted(BAD_EXAMPLES)) + f"][cast(k % {len(BAD_EXAMPLES)} as int) + 1] as example from (select p_partkey as k from part union all select s_suppkey from supplier)) group by 1",
     "identity_unique_lineitem": f"select l_orderkey, l_linenumber, count(*) as n from ({_LINES}) group by 1, 2 having count(*) > 1",
     "identity_key_lineitem": f"select (select count(*) from (select 1 from ({_LINES}) group by l_orderkey, l_partkey, l_quantity having count(*) > 1)) as repeated, (select count(*) from ({_LINES})) as incomplete",
     "identity_keyref_orders_customer": "select o_custkey, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 4 != 0) group by 1",
     "catalog_rewrite_pages": "select page_id, case when starts_with(url, 'http://www.') then 'www/' || url[12:] when starts_with(url, 'http://') then 'web/' || url[8:] end as target from pages",
     "catalog_suffix_pages": "select page_id, case when ends_with(url, '#top') then '/c/top' when ends_with(url, '/1') then '/c/one' end as target from pages",
-    "catalog_delegate_public": "select * from (values ('-//T//DTD X//EN', 'urn:s', '/c/x.dtd', '/c/s.dtd', '/c/x.dtd'), ('-//T//DTD Y//EN', '', '/c/sub/y.dtd', null, '/c/sub/y.dtd'), ('-//T//DTD Z//EN', '', '/c/z.dtd', null, '/c/z.dtd'), ('-//D//One//EN', '', '/c/d1.dtd', null, '/c/d1.dtd'), ('-//D//Two//EN', '', null, null, null), ('urn:publicid:-:T:DTD+X:EN', '', '/c/x.dtd', null, '/c/x.dtd'), ('none', 'a/b.dtd', null, '/c/any.dtd', '/c/any.dtd'), ('none', 'urn:s', null, '/c/s.dtd', '/c/s.dtd'), ('none', 'x/none', null, null, null)) x(public_id, system_id, \"public\", \"system\", entity)",
+    "catalog_delegate_public": "select x.* exclude (k), (select count(*) from customer where c_custkey % 9 = k) as n from (values (0, '-//T//DTD X//EN', 'urn:s', '/c/x.dtd', '/c/s.dtd', '/c/x.dtd'), (1, '-//T//DTD Y//EN', '', '/c/sub/y.dtd', null, '/c/sub/y.dtd'), (2, '-//T//DTD Z//EN', '', '/c/z.dtd', null, '/c/z.dtd'), (3, '-//D//One//EN', '', '/c/d1.dtd', null, '/c/d1.dtd'), (4, '-//D//Two//EN', '', null, null, null), (5, 'urn:publicid:-:T:DTD+X:EN', '', '/c/x.dtd', null, '/c/x.dtd'), (6, 'none', 'a/b.dtd', null, '/c/any.dtd', '/c/any.dtd'), (7, 'none', 'urn:s', null, '/c/s.dtd', '/c/s.dtd'), (8, 'none', 'x/none', null, null, null)) x(k, public_id, system_id, \"public\", \"system\", entity)",
     "rng_defaults": "select name, region, lang, seg, count(*) as n from customer, (values ('customer', 'global', null, true), ('name', null, 'en', false), ('bal100', null, 'en', false)) v(name, region, lang, seg) group by 1, 2, 3, 4",
     "default_precedence": "select 'dtd' as p, 'dtd' as q, 'xsd' as r, cast(null as varchar) as s, count(*) as n from customer",
     "rng_references": "select 'g' || (r_regionkey % 2) || '.rng' as href, count(*) as n from region group by 1",
-    "wildcard_algebra": "select * from (values " + ", ".join(f"('{a}', '{b}', '{x}', '{y}', {z})" for a, b, x, y, z in _ALGEBRA) + ") x(a, b, \"both\", either, inside)",
-    "type_derivation_closure": "select * from (values ('b', 'a', 'extension', true), ('c', 'b', 'restriction', false), ('c', 'a', 'restriction,extension', true), ('d', 'a', 'restriction', false)) x(type, ancestor, methods, by_extension)",
-    "value_space_fixed": "select doc_id::bigint as doc_id, 'value-fixed' as rule from (values (3), (4)) x(doc_id)",
+    "wildcard_algebra": "with spaces as (select ['', 'urn:t', 'urn:a', 'urn:b'][cast(c_custkey % 4 as int) + 1] as ns, count(*) as n from customer group by 1), algebra as (select * from (values " + ", ".join(f"('{a}', '{b}', '{x}', '{y}', {z})" for a, b, x, y, z in _ALGEBRA) + ") x(a, b, \"both\", either, inside)) select a, b, \"both\", either, inside, cast(coalesce(sum(n) filter (" + _COVERS.format('"both"') + "), 0) as bigint) as n_both, cast(coalesce(sum(n) filter (" + _COVERS.format("either") + "), 0) as bigint) as n_either from algebra, spaces group by all",
+    "type_derivation_closure": "select x.*, case type when 'd' then (select count(*) from customer where c_custkey % 4 = 3) else 0 end as n from (values ('b', 'a', 'extension', true), ('c', 'b', 'restriction', false), ('c', 'a', 'restriction,extension', true), ('d', 'a', 'restriction', false)) x(type, ancestor, methods, by_extension)",
+    "value_space_fixed": "select c_custkey, 'value-fixed' as rule, 1::bigint as n from customer where c_custkey % 5 >= 3",
     "append_and_remove_children": """select n_nationkey::bigint as n_nationkey, '<n><name>' || n_name || '</name>' || case when n_regionkey = 2 then '' else '<r k="' || n_regionkey || '" a="1"/>' end || case when n_regionkey = 2 then '<r a="1" k="2"/>' else '' end || '<!--added--><e/></n>' as xml from nation""",
     "schema_locations": "select 'urn:a' as ns, 'a.xsd' as location, count(*) as n from region union all select '', 'n.xsd', count(*) from region union all select 'urn:' || r_regionkey, 'b.xsd', 1 from region",
 }
