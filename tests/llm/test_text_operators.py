@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import time
 
@@ -302,3 +303,34 @@ def test_extract_pages_keeps_rows(spark):
     rows = [(i, "u", h, "t", 3) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0], "t", 3), (None, None, "<p>z", "t", 3)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_suppression_equals_plain_comparison(spark):
+    from treeloom.llm.license_scan import _FOUND, standing
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        found = set()
+        for _ in range(rng.choice((0, 1, 5, 40))):
+            first, place = rng.randrange(30), rng.randrange(6)
+            found.add((first, first + rng.randrange(8), (10, 20, 30)[place % 3], place, f"l{place}", 0.5))
+        rows.append((k, sorted(found, key=lambda _: rng.random())))
+
+    def covered(d, e):
+        inside = e[0] <= d[0] and e[1] >= d[1]
+        more = (e[1] - e[0]) - (d[1] - d[0])
+        return inside and (e[2] > d[2] or (e[2] == d[2] and (more > 0 or (more == 0 and e[3] < d[3]))))
+
+    frame = spark.createDataFrame(rows, f"k int, found {_FOUND}")
+    got = {r.k: sorted(map(tuple, r.kept)) for r in frame.select("k", standing(frame["found"], [10, 20, 30]).alias("kept")).collect()}
+    assert got == {k: sorted(d for d in found if not any(covered(d, e) for e in found if e != d)) for k, found in rows}
+
+
+def test_a_text_of_many_notices_ends(spark):
+    from treeloom.llm.license_scan import scan_licenses
+
+    text = "Licensed under the Apache License, Version 2.0. All rights reserved. " * 4000
+    began = time.time()
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_base == 4000 and row.detections.count(",") >= 3999 and time.time() - began < 60

@@ -75,6 +75,27 @@ def _framed_phrase(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
+def standing(found: Column, levels: Sequence[int]) -> Column:
+    """The detections that no other one suppresses, in one pass.
+
+    Ordered by their first word, longer ones first, then by priority and place, everything
+    that may suppress a detection comes before it.  So it is suppressed exactly if one
+    before it, of its priority at least, reaches its last word or beyond; the furthest word
+    reached is kept for each priority.
+    """
+    ordered = F.sort_array(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("back"), (-d["priority"]).alias("above"), d["place"].alias("place"), d.alias("d"))))
+    nothing = F.struct(*[F.lit(-1).alias(f"to{p}") for p in levels], F.array().cast(_FOUND).alias("out"))
+
+    def step(state: Column, row: Column) -> Column:
+        d, reached = row["d"], F.lit(-1)
+        for p in levels:
+            reached = F.when(d["priority"] == p, state[f"to{p}"]).otherwise(reached)
+        further = [F.when(d["priority"] >= p, F.greatest(state[f"to{p}"], d["last"])).otherwise(state[f"to{p}"]).alias(f"to{p}") for p in levels]
+        return F.struct(*further, F.when(reached >= d["last"], state["out"]).otherwise(F.array_append(state["out"], d)).alias("out"))
+
+    return F.aggregate(ordered, nothing, step, lambda state: state["out"])
+
+
 def scan_licenses(docs: DataFrame, signatures: Sequence[Rule] | None = None) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections`` for every row."""
     signatures = rules() if signatures is None else signatures
@@ -106,15 +127,7 @@ def scan_licenses(docs: DataFrame, signatures: Sequence[Rule] | None = None) ->
         F.when(F.col("framed").isNotNull(), F.array_distinct(F.flatten(F.transform(gated, of_rule)))).otherwise(none).alias("all"),
     )
 
-    def covers(e: Column, d: Column) -> Column:
-        inside = (e["first"] <= d["first"]) & (e["last"] >= d["last"])
-        more = (e["last"] - e["first"]) - (d["last"] - d["first"])
-        above = (more > 0) | ((more == 0) & (e["place"] < d["place"]))
-        return inside & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & above))
-
-    kept = seen.withColumn(
-        "detections", F.sort_array(F.filter("all", lambda d: ~F.exists("all", lambda e: covers(e, d))))
-    )
+    kept = seen.withColumn("detections", F.sort_array(standing(F.col("all"), sorted({r.priority for r in signatures}))))
     names = lambda found: F.array_distinct(F.transform(found, lambda d: d["label"]))
     base_names = names(F.col("base"))
     every = F.array_distinct(F.concat(base_names, names(F.col("detections"))))
