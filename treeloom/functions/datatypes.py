@@ -184,6 +184,23 @@ def utc_millis(value: Column, type_name: str) -> Column:
     return days * 86_400_000 + day_part - zone_minutes(value) * 60_000
 
 
+def compare_decimals(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for decimal numbers of any length, digit by digit; null where one isn't a decimal number."""
+    order = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    def parts(v: Column) -> tuple[Column, Column, Column]:
+        plain = F.regexp_replace(v, r"\A[+-]", "")
+        whole = F.regexp_replace(F.substring_index(plain, ".", 1), r"\A0+", "")
+        fraction = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.substring_index(plain, ".", -1), r"0+\z", "")).otherwise("")
+        sign = F.when((whole == "") & (fraction == ""), 0).when(v.startswith("-"), -1).otherwise(1)
+        return sign, whole, fraction
+
+    (sa, wa, fa), (sb, wb, fb) = parts(a), parts(b)
+    larger = F.when(F.length(wa) != F.length(wb), order(F.length(wa), F.length(wb))).when(wa != wb, order(wa, wb)).otherwise(order(fa, fb))
+    out = F.when(sa != sb, order(sa, sb)).otherwise(sa * larger)
+    return F.when(_full(a, _DECIMAL) & _full(b, _DECIMAL), out)
+
+
 def compare(a: Column, b: Column, type_name: str) -> Column:
     """-1, 0 or 1; null where the values are incomparable."""
     t = type_name.split(":")[-1]
@@ -201,7 +218,8 @@ def compare(a: Column, b: Column, type_name: str) -> Column:
     if t in ("gMonth", "gDay", "gMonthDay"):
         key = lambda v: F.regexp_replace(v, r"(Z|[+-]\d{2}:\d{2})\z", "")
         return order(key(a), key(b))
-    exact = order(a.try_cast("decimal(38,12)"), b.try_cast("decimal(38,12)"))
+    short = (F.length(a) <= 12) & (F.length(b) <= 12)  # these fit a decimal exactly
+    exact = F.when(short, order(a.try_cast("decimal(38,12)"), b.try_cast("decimal(38,12)"))).otherwise(compare_decimals(a, b))
     return F.coalesce(exact, order(a.try_cast("double"), b.try_cast("double")), order(a, b))
 
 

@@ -58,5 +58,4 @@ def register_count(spark: SparkSession, name: str = "count_elements") -> None:
 
 def apply_handler(spark: SparkSession, docs: DataFrame, name: str = "count_elements") -> DataFrame:
     register_count(spark, name)
-    docs.createOrReplaceTempView("treeloom_handler_docs")
-    return spark.sql(f"select r.* from treeloom_handler_docs d, lateral {name}(d.doc_id, d.xml) r")
+    return spark.sql(f"select r.* from {{docs}} d, lateral {name}(d.doc_id, d.xml) r", docs=docs)

@@ -12,10 +12,10 @@ import posixpath
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.datatypes import canonical_value, list_items
+from ..functions.datatypes import Facets, canonical_value, list_items
 from ..functions.text import is_ncname, is_nmtoken, prefix_of
 from ..model import ASSESSED, XSI
 from ..plans.assess import SchemaGrammar
@@ -207,6 +207,15 @@ def xsd_violations(nodes: DataFrame, schema: Schema | SchemaGrammar, number: str
     return all_of([out, *id_violations(met, kinds), *identity_violations(nodes, judged, grammar)])
 
 
+def declarations(spark: SparkSession, grammar: SchemaGrammar) -> DataFrame:
+    """The rules as a table: element, its content, the type of its value, its attributes and those required, by ``rule_id``."""
+    rows = [
+        (k, r.ns, r.name, r.type.kind, r.type.simple.name if r.type.simple else None, sorted(a.name for a in r.type.attributes.values()), sorted(a.name for a in r.type.attributes.values() if a.use == "required"), r.default, r.fixed, r.nillable)
+        for k, r in enumerate(grammar.rules)
+    ]
+    return spark.createDataFrame(rows, "rule_id int, ns string, name string, content string, value_type string, attributes array<string>, required array<string>, default_value string, fixed string, nillable boolean")
+
+
 def with_rules(judged: DataFrame, grammar: SchemaGrammar) -> tuple[DataFrame, list[SimpleType]]:
     """Assessed elements beside their rules, and the distinct simple types by number."""
     spark, rules = judged.sparkSession, grammar.rules
@@ -246,6 +255,15 @@ def with_rules(judged: DataFrame, grammar: SchemaGrammar) -> tuple[DataFrame, li
     return met.withColumn("content_value", value).withColumn("given", F.coalesce(given, F.array().cast("array<struct<name:string,value:string,token:string>>"))), kinds
 
 
+#: Attributes of the ``xml`` namespace that any element may have, with their types.
+BUILT_IN = {
+    "}xml:lang": SimpleType("language", "anySimpleType", members=(SimpleType("language", "language"), SimpleType("none", "string", Facets(enumeration=("",))))),
+    "}xml:space": SimpleType("space", "NCName", Facets(enumeration=("default", "preserve"))),
+    "}xml:base": SimpleType("anyURI", "anyURI"),
+    "}xml:id": SimpleType("ID", "ID"),
+}
+
+
 def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -> Column:
     """All that is wrong with an element, its content and attributes, as one array of rules and messages."""
     c, rules = F.col, grammar.rules
@@ -291,21 +309,28 @@ def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -
             fault(~unchanged, "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
         )
 
-    checked = F.filter("given", lambda a: (c("content") != "ANY") & ~(a["name"].startswith("xml:") & F.try_element_at("attr_kinds", a["token"]).isNull()))
+    def of_built_in(a: Column) -> Column:
+        good = F.lit(True)
+        for token, kind in BUILT_IN.items():
+            good = F.when(a["token"] == token, kind.accepts(a["value"])).otherwise(good)
+        return F.array(fault(~good, "attribute-type", F.concat(F.lit("bad value for attribute "), a["name"], F.lit(" of "), c("name"))))
+
+    undeclared_xml = lambda a: a["name"].startswith("xml:") & F.try_element_at("attr_kinds", a["token"]).isNull()
+    built_in = F.flatten(F.transform(F.filter("given", undeclared_xml), of_built_in))
+    checked = F.filter("given", lambda a: (c("content") != "ANY") & ~undeclared_xml(a))
     lacking = F.array_except("needed", F.transform("given", lambda a: a["token"]))
     missing = F.transform(lacking, lambda n: F.struct(F.lit("attribute-required").alias("rule"), F.concat(F.lit("missing attribute "), F.regexp_extract(n, r"\A[^}]*\}(.*)\z", 1), F.lit(" of "), c("name")).alias("message")))
-    return F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(checked, of_attribute)), missing)).otherwise(F.array(undeclared, of_element[0]))
+    return F.when(c("rule_id").isNotNull(), F.concat(F.array(*of_element), F.flatten(F.transform(checked, of_attribute)), built_in, missing)).otherwise(F.array(undeclared, of_element[0]))
 
 
 def id_violations(met: DataFrame, kinds: list[SimpleType]) -> list[DataFrame]:
     """IDs that repeat in a document, and references to none; both by type, in elements and attributes."""
     ways = {k: t for k, t in enumerate(kinds) if t.has_base(("ID", "IDREF", "IDREFS"))}
-    if not ways:
-        return []
     roles = lambda which, value: chosen(which, {k: id_roles(t, value) for k, t in ways.items()}, F.array().cast("array<struct<role:string,value:string>>"))
     of_element = F.when((F.col("content") == "SIMPLE") & ~F.col("nil"), roles(F.col("value_kind"), F.col("content_value")))
     which = lambda a: F.coalesce(F.try_element_at("attr_kinds", a["token"]), F.try_element_at("attr_top", a["token"]))
-    of_attributes = F.flatten(F.transform("given", lambda a: roles(which(a), a["value"])))
+    own = lambda a: F.when(which(a).isNull() & (a["token"] == "}xml:id"), id_roles(BUILT_IN["}xml:id"], a["value"])).otherwise(roles(which(a), a["value"]))
+    of_attributes = F.flatten(F.transform("given", own))
     empty = F.array().cast("array<struct<role:string,value:string>>")
     held = F.concat(F.coalesce(of_element, empty), F.coalesce(of_attributes, empty))
     found = stored(met.where(F.col("rule_id").isNotNull()).select("doc_id", "pre", F.inline(held)))

@@ -207,6 +207,15 @@ class Schema:
         self.globals = {name: self._element(node, doc, "") for name, (node, doc) in self.parts["element"].items()}
         self._substitute()
 
+    def merged(self, other: Schema) -> Schema:
+        """Both schemas in one: of two components of one kind and name the first's holds, of elements the other's."""
+        out = Schema.__new__(Schema)
+        out.read, out.documents, out.types = self.read, self.documents | other.documents, {}
+        out.parts = {kind: (own | other.parts[kind] if kind == "element" else other.parts[kind] | own) for kind, own in self.parts.items()}
+        out.globals = {name: out._element(node, doc, "") for name, (node, doc) in out.parts["element"].items()}
+        out._substitute()
+        return out
+
     # -- documents
 
     def _load(self, path: str, including: str | None) -> None:

@@ -217,9 +217,12 @@ class DocumentParser:
                 opened[-1].texts.append("".join(in_cdata))
             in_cdata = None
 
-        def declaration(version: str | None, encoding: str | None, standalone: int) -> None:
+        def text_declaration(version: str | None, encoding: str | None, standalone: int) -> None:
             if encoding and encoding.upper() not in SUPPORTED_ENCODINGS:
                 raise ValueError(f"unsupported encoding: {encoding}")
+
+        def declaration(version: str | None, encoding: str | None, standalone: int) -> None:
+            text_declaration(version, encoding, standalone)
             parts = [("version", version), ("encoding", encoding), ("standalone", {1: "yes", 0: "no"}.get(standalone))]
             leaf("declaration", "xml", None, [x for part in parts if part[1] is not None for x in part])
 
@@ -246,8 +249,11 @@ class DocumentParser:
                 if context:  # a general entity whose text isn't at hand: its name comes first in the context
                     skipped(context.partition("\f")[0] if "=" not in context.partition("\f")[0] else "", False)
                 return 1
+            if "\0" in found:
+                raise ValueError("NUL in an external entity")
             child = p.ExternalEntityParserCreate(context)
-            child.Parse(found.encode("utf-8"), True)
+            child.XmlDeclHandler = text_declaration
+            child.Parse(found.encode("utf-8", "surrogatepass"), True)
             return 1
 
         def comment(value: str) -> None:
