@@ -192,3 +192,16 @@ def test_plain_steps_and_intervals_select_alike(spark):
     for plain in ("a/b", "./a/*", "child::a/child::c/b", ".", "p:b"):
         assert found(plain) == found(f"{plain}|zz")  # alternatives meet by interval
 
+
+
+def test_scopes_inside_each_other_meet_their_nodes(spark):
+    xml = "<a><b><c>1</c><b><c>2</c><d><c>3</c></d></b></b><c>4</c><b><c/>5</b></a>"
+    nodes = nodes_of(parse(spark.createDataFrame([(1, xml), (2, "<a><b><b><b><c/></b></b></b></a>")], "doc_id long, xml string")))
+    rows = nodes.collect()
+    scopes = nodes.where("name = 'b'")
+    inside = {(s.doc_id, s.pre, n.pre) for s in rows if s.name == "b" for n in rows if n.doc_id == s.doc_id and s.pre < n.pre <= s.post}
+    got = nav.descendants(scopes, nodes).select("doc_id", "anc_pre", "pre").collect()
+    assert {tuple(r) for r in got} == inside and len(got) == len(inside)
+    want = {(d, s, p) for d, s, p in inside if any(n.doc_id == d and n.pre == p and n.name == "c" for n in rows)}
+    assert {(r.doc_id, r.anc_pre, r.pre) for r in nav.select(scopes, nodes, ".//c").collect()} == want
+    assert sorted((r.doc_id, r.pre, r.ns_uri) for r in nav.namespace_by_ancestor(nodes).collect()) == sorted((n.doc_id, n.pre, "") for n in rows if n.kind == "element")

@@ -30,10 +30,28 @@ def first_child(parents: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return found.groupBy("doc_id", "parent").agg(F.min_by("pre", "sib").alias("child"))
 
 
+def below(scopes: DataFrame, nodes: DataFrame, self_too: bool = False) -> DataFrame:
+    """Nodes (elements must be among them) beside each scope above them (``anc_pre``), or that they are, with ``self_too``.
+
+    The last element of a level that has opened before a node is its ancestor there, so one
+    pass in document order gives each node its ancestors at the levels where scopes stand;
+    these meet the scopes by equality.  No interval join: work follows the nodes, times the
+    levels of scopes, however many scopes a document has.
+    """
+    scopes = scopes.withColumn("anc_level", F.size(F.split("path", "/")) - 2)
+    levels = sorted(r[0] for r in scopes.select("anc_level").distinct().collect())
+    upto = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_element = F.col("kind") == "element"
+    at = lambda level: F.last(F.when(is_element & (F.col("level") == level), F.col("pre")), ignorenulls=True).over(upto)
+    reaches = lambda level: (F.col("level") > level) | (is_element & (F.col("level") == level)) if self_too else F.col("level") > level
+    above = F.array_compact(F.array(*[F.when(reaches(level), at(level)) for level in levels]).cast("array<int>"))
+    met = nodes.select("*", above.alias("above")).select(*nodes.columns, F.explode("above").alias("anc_pre"))
+    return met.join(scopes.select("doc_id", F.col("pre").alias("anc_pre"), "anc_level"), ["doc_id", "anc_pre"]).select(*nodes.columns, "anc_pre", "anc_level")
+
+
 def descendants(ancestors: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes below each ancestor; the ancestor's place is ``anc_pre``.  Documents meet by id, subtrees by interval."""
-    up = ancestors.select(F.col("doc_id").alias("anc_doc"), F.col("pre").alias("anc_pre"), F.col("post").alias("anc_post"), F.col("level").alias("anc_level"))
-    return nodes.join(up, F.expr("doc_id = anc_doc and pre > anc_pre and pre <= anc_post")).drop("anc_doc", "anc_post")
+    """Nodes below each ancestor (an element with its ``path``); the ancestor's place is ``anc_pre``, its level ``anc_level``."""
+    return below(ancestors, nodes)
 
 
 def _text(rows: DataFrame, *by: str) -> DataFrame:
@@ -52,7 +70,7 @@ def own_text(nodes: DataFrame, with_cdata: bool = False) -> DataFrame:
 def deep_text(ancestors: DataFrame, nodes: DataFrame, with_cdata: bool = False) -> DataFrame:
     """``doc_id, pre, text``: all text below each of ``ancestors``."""
     kinds = ["text", "cdata"] if with_cdata else ["text"]
-    found = _text(descendants(ancestors, nodes.where(F.col("kind").isin(kinds))), "doc_id", "anc_pre").withColumnRenamed("anc_pre", "pre")
+    found = _text(descendants(ancestors, nodes).where(F.col("kind").isin(kinds)), "doc_id", "anc_pre").withColumnRenamed("anc_pre", "pre")
     return ancestors.select("doc_id", "pre").join(found, ["doc_id", "pre"], "left").na.fill("", ["text"])
 
 
@@ -87,7 +105,8 @@ def select(scopes: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
     """Elements that ``selector`` reaches from each scope, with ``anc_pre``.
 
     A selector of plain steps goes down one level a step, by equality on the parent, so a
-    large document is spread over tasks by its parents; alternatives and ``.//`` meet by interval.
+    large document is spread over tasks by its parents; alternatives and ``.//`` take one pass
+    in document order (see ``below``).
     """
     plain = re.sub(r"\s+", "", selector)
     if "|" not in plain and not plain.startswith((".//", "/")):
@@ -101,12 +120,10 @@ def select(scopes: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
             if k < len(names) - 1:
                 at = met.select("doc_id", "anc_pre", F.col("pre").alias("parent"))
         return met
-    up = scopes.select(
-        F.col("doc_id").alias("anc_doc"), F.col("pre").alias("anc_pre"), F.col("post").alias("anc_post"), F.length("path").alias("anc_path")
-    )
-    inside = elements(nodes).join(up, F.expr("doc_id = anc_doc and pre >= anc_pre and pre <= anc_post"))
+    own = scopes.select("doc_id", F.col("pre").alias("anc_pre"), F.length("path").alias("anc_path"))
+    inside = below(scopes, elements(nodes), self_too=True).join(own, ["doc_id", "anc_pre"])
     relative = F.col("path").substr(F.col("anc_path") + 1, F.length("path"))
-    return inside.where(relative.rlike(compile_selector(selector))).drop("anc_doc", "anc_post", "anc_path")
+    return inside.where(relative.rlike(compile_selector(selector))).select(*nodes.columns, "anc_pre")
 
 
 def field(selected: DataFrame, nodes: DataFrame, path: str, alias: str) -> DataFrame:
@@ -132,7 +149,7 @@ def namespace_by_ancestor(nodes: DataFrame) -> DataFrame:
         F.col("doc_id").alias("b_doc"), F.col("pre").alias("b_pre"), F.col("post").alias("b_post"), F.col("level").alias("b_level"),
         F.when(F.col("a.name") == "xmlns", "").otherwise(F.expr("substring(a.name, 7)")).alias("b_prefix"), F.col("a.value").alias("b_uri"),
     )
-    met = el.withColumn("prefix", prefix_of(F.col("name"))).join(
-        bound, F.expr("doc_id = b_doc and prefix = b_prefix and pre >= b_pre and pre <= b_post"), "left"
-    )
-    return met.groupBy("doc_id", "pre").agg(F.coalesce(F.max_by("b_uri", "b_level"), F.lit("")).alias("ns_uri"))
+    holders = el.where(F.exists("attrs", lambda a: (a["name"] == "xmlns") | a["name"].startswith("xmlns:")))
+    met = below(holders, el.withColumn("prefix", prefix_of(F.col("name"))), self_too=True)
+    found = met.join(bound, F.expr("doc_id = b_doc and anc_pre = b_pre and prefix = b_prefix")).groupBy("doc_id", "pre").agg(F.max_by("b_uri", "b_level").alias("ns_uri"))
+    return el.select("doc_id", "pre").join(found, ["doc_id", "pre"], "left").na.fill("", ["ns_uri"])
