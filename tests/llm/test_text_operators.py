@@ -334,3 +334,11 @@ def test_a_text_of_many_notices_ends(spark):
     began = time.time()
     row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row.n_base == 4000 and row.detections.count(",") >= 3999 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<!--", "<!-- >", "</", "<?", "<a ", "<!x", "<![x", "&", "<"])
+def test_unfinished_marks_take_linear_time(piece):
+    page = "<article><p>" + "word " * 50 + "</p></article>" + piece * (100_000 // len(piece))
+    began = time.time()
+    assert ht.main_text(page).startswith("word word")
+    assert time.time() - began < 1

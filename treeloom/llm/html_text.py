@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -109,6 +110,15 @@ class LineCollector(HTMLParser):
         self.names, self.above = [""], [0]
         self.tags = self.linked = 0
         self.text: list[str] = []
+        self.comments_end = True  # a comment that opens may still be closed
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """The end of a comment is looked for once: where one isn't closed, none behind it is."""
+        if not self.comments_end:
+            return -1
+        found = super().parse_comment(i, report)
+        self.comments_end = found >= 0
+        return found
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """What begins like a marked section is a comment up to the next ``>``."""
@@ -256,9 +266,12 @@ def content_lines(page: LineCollector, cover: float = 0.9) -> list[str]:
 
 
 def collect(html: str, kept: frozenset[int]) -> LineCollector:
-    page = LineCollector(kept)
-    page.feed(html)
+    """Lines of a page, given at once.  Behind the last ``>`` no tag or comment can end, so what stands there is text, up to a marked section."""
+    page, last = LineCollector(kept), html.rfind(">") + 1
+    page.feed(html[:last])
     page.close()
+    if not page.cdata_elem:  # a script or style that isn't closed takes the rest
+        page.handle_data(unescape(html[last:].partition("<![")[0]))
     page.flush()
     return page
 
