@@ -91,6 +91,8 @@ class SchemaGrammar:
         self.tops: dict[tuple[int, str, str], int] = {}
         self.named: dict[tuple[int, str, str], int] = {}
         self.inner: list[str] = []  # by rule: the type that its children follow
+        self.memo: dict[tuple, tuple] = {}
+        self.names: dict[tuple[str, ...], tuple] = {}
         self.wilds: dict[str, list[tuple[wild.Constraint, str]]] = {}
         self.referred: dict[str, frozenset[tuple[str, str]]] = {}
         kinds: list[SimpleType] = []
@@ -129,9 +131,33 @@ class SchemaGrammar:
         return f"{ns}}}{name.rpartition(':')[2]} "
 
     def enter(self, state: tuple[int, str | None, str], ns: str, name: str, attrs: Sequence[str], bound: Mapping[str, str]) -> Entered:
-        number, own, mode = state
-        if mode == "skip":
+        if state[2] == "skip":
             return Entered(state, skipped=True)
+        plain, tokens = self._plain_tokens(attrs) if attrs else (True, ())
+        if not plain or self.wants_scope:
+            return self._enter(state, ns, name, attrs, bound)
+        # nothing but the state and the name decides
+        known = self.memo.get((state, ns, name))
+        if known is None:
+            found = self._enter(state, ns, name, (), bound)
+            known = found[:-1]
+            if found.declared is not None:  # as many as the grammar has places
+                self.memo[state, ns, name] = known
+        return Entered._make((*known, tokens))
+
+    def _plain_tokens(self, attrs: Sequence[str]) -> tuple[bool, list[str | None] | None]:
+        """Whether no attribute has a prefix, and the tokens then; remembered for a bounded number of lists of names."""
+        names = tuple(attrs[::2])
+        found = self.names.get(names)
+        if found is None:
+            plain = not any(":" in n for n in names)
+            found = (plain, [None if n == "xmlns" else f"}}{n}" for n in names] if plain else None)
+            if len(self.names) < 10_000:
+                self.names[names] = found
+        return found
+
+    def _enter(self, state: tuple[int, str | None, str], ns: str, name: str, attrs: Sequence[str], bound: Mapping[str, str]) -> Entered:
+        number, own, mode = state
         local = name.rpartition(":")[2]
         xsi, tokens = {}, ()
         if attrs:

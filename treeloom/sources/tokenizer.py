@@ -6,7 +6,7 @@ A document that isn't well formed gives one row of kind ``error`` and no others.
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from itertools import repeat
 from typing import TYPE_CHECKING
 from xml.parsers import expat
@@ -108,11 +108,11 @@ class AssessedRows(NodeRows):
         return pa.RecordBatch.from_arrays([*plain.columns, *added], [*plain.schema.names, *[f.name for f in ASSESSED]])
 
 
-def enter(grammar: Grammar, parent: Assessed, ns: str, name: str, attrs: list[str], bound: Mapping[str, str]) -> tuple[Assessed, list]:
+def enter(grammar: Grammar, parent: Assessed, ns: str, name: str, attrs: list[str], bound: Mapping[str, str]) -> tuple[Assessed, Sequence[str | None]]:
     """Open an element below ``parent``; its note has the fields of ``ASSESSED`` but the last, which is returned beside."""
     found = grammar.enter(parent.state, ns, name, attrs, bound)
     parent.children.append(grammar.token(ns, name))
-    return Assessed(found.state, [*found[1:8], "", "", 0]), list(found.tokens)
+    return Assessed(found[0], [*found[1:8], "", "", 0]), found[8]
 
 
 class DocumentParser:
@@ -172,7 +172,7 @@ class DocumentParser:
             frame = frames[-1]
             bound, named = frame[2], frame[4]
             for k in range(0, len(attrs), 2):
-                if attrs[k].startswith("xmlns") and (attrs[k] == "xmlns" or attrs[k][5] == ":"):
+                if attrs[k][:5] == "xmlns" and (attrs[k] == "xmlns" or attrs[k][5] == ":"):
                     bound = bound | {attrs[k][6:]: attrs[k + 1]}
             occ = named.get(name, 0)
             named[name] = occ + 1
@@ -352,7 +352,7 @@ def assess(nodes: DataFrame, grammar: Grammar, number: str | None = None) -> Dat
                     bound = bound | own_names if own_names else bound
                     own, tokens = enter(grammar, parent, row["ns_uri"] or "", row["name"], attrs, bound)
                     kept = {f.name: row[f.name] for f in fields[: -len(ASSESSED)]}
-                    open_.append((own, kept | {"tokens": tokens or [None] * (len(attrs) // 2), "n": 0}, bound))
+                    open_.append((own, kept | {"tokens": list(tokens) or [None] * (len(attrs) // 2), "n": 0}, bound))
             if len(done) >= LARGEST_BATCH:
                 yield pa.RecordBatch.from_pylist(done, arrow)
                 done.clear()
