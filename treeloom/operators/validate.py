@@ -31,8 +31,8 @@ def violation(rows: DataFrame, rule: str, message: Column) -> DataFrame:
 
 
 def fault(broken: Column, rule: str, message: Column) -> Column:
-    """A rule and message where ``broken`` holds, null members elsewhere."""
-    return F.struct(F.when(broken, F.lit(rule)).alias("rule"), F.when(broken, message).alias("message"))
+    """A rule and message where ``broken`` holds, null elsewhere."""
+    return F.when(broken, F.struct(F.lit(rule).alias("rule"), message.alias("message")))
 
 
 def all_of(parts: list[DataFrame]) -> DataFrame:
@@ -251,10 +251,19 @@ def with_rules(judged: DataFrame, grammar: SchemaGrammar) -> tuple[DataFrame, li
     met = elements.join(F.broadcast(table), "rule_id", "left").join(F.broadcast(declarations), "declared", "left").withColumn("bare", bare)
     value = F.when(F.col("bare") & F.col("default_value").isNotNull(), F.col("default_value")).otherwise(F.col("text"))
     given = F.filter(F.arrays_zip("attrs", "tokens"), lambda a: a["tokens"].isNotNull())
-    given = F.transform(given, lambda a: F.struct(a["attrs"]["name"].alias("name"), a["attrs"]["value"].alias("value"), a["tokens"].alias("token")))
-    return met.withColumn("content_value", value).withColumn("given", F.coalesce(given, F.array().cast("array<struct<name:string,value:string,token:string>>"))), kinds
+    # look-ups by name are made once for each attribute: its type, a wildcard that covers it, the type declared at the top, a fixed value
+    look = lambda a: F.struct(a["attrs"]["name"].alias("name"), a["attrs"]["value"].alias("value"), a["tokens"].alias("token"), F.try_element_at("attr_kinds", a["tokens"]).alias("own"), F.try_element_at("attr_fixed", a["tokens"]).alias("fixed"))
+    wild = F.col("attr_wild")
+    covers = lambda a: F.coalesce(a["own"].isNull() & _covers(wild, F.substring_index(a["token"], "}", 1)) & wild.isNotNull(), F.lit(False))
+    more = lambda a: F.struct(*[a[n].alias(n) for n in ("name", "value", "token", "own", "fixed")], covers(a).alias("covered"), F.when(a["own"].isNull(), F.try_element_at("attr_top", a["token"])).alias("top"))
+    looked_up = F.transform(F.transform(given, look), more)
+    none = F.array().cast("array<struct<name:string,value:string,token:string,own:int,fixed:string,covered:boolean,top:int>>")
+    return met.withColumn("content_value", value).withColumn("given", F.when(F.size("attrs") > 0, F.coalesce(looked_up, none)).otherwise(none)), kinds
 
 
+#: Up to so many content models are tested as literals.
+MOST_LITERALS = 100
+
 #: Attributes of the ``xml`` namespace that any element may have, with their types.
 BUILT_IN = {
     "}xml:lang": SimpleType("language", "anySimpleType", members=(SimpleType("language", "language"), SimpleType("none", "string", Facets(enumeration=("",))))),
@@ -278,6 +287,10 @@ def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -
             compared[k] = canonical_value(c("text"), base) != canonical_value(F.lit(r.fixed), base)
     changed = chosen(c("declared"), compared, c("text") != c("fixed"))
     simple = filled & (c("content") == "SIMPLE")
+    # patterns that are literals are compiled once; more of them than make a fair expression come from the rules' rows
+    models = {k: rf"\A{r.type.pattern}\z" for k, r in enumerate(rules) if r.type.kind in ("ELEMENT", "MIXED")}
+    few = len(models) <= MOST_LITERALS
+    in_model = chosen(c("rule_id"), {k: c("sequence").rlike(m) for k, m in models.items()}, F.lit(True)) if few else F.rlike(c("sequence"), c("pattern"))
     of_element = [
         fault(c("xsi_type").isNotNull() & c("typed").isNull(), "type-unknown", F.concat(F.lit("no type "), c("xsi_type"), F.lit(" for "), c("name"))),
         fault(c("abstract_type") | F.coalesce("abstract_element", F.lit(False)), "element-abstract", named("abstract ")),
@@ -285,7 +298,7 @@ def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -
         fault(c("nil") & ~F.coalesce("nillable", F.lit(False)), "nil-not-allowed", named("not nillable: ")),
         fault(c("nil") & ~c("bare"), "nil-content", named("content in nilled ")),
         fault(filled & (c("content") == "EMPTY") & (c("n_nodes") > 0) & ~c("bare"), "content-empty", named("content in empty element ")),
-        fault(filled & c("content").isin("ELEMENT", "MIXED") & ~F.rlike(c("sequence"), c("pattern")), "content-model", named("children don't match in ")),
+        fault(filled & c("content").isin("ELEMENT", "MIXED") & ~in_model, "content-model", named("children don't match in ")),
         fault(filled & (c("content") == "ELEMENT") & own_text, "content-text", named("text in ")),
         fault(simple & (c("sequence") != ""), "content-simple", named("children in simple ")),
         fault(simple & ~accepted(c("value_kind"), c("content_value")), "value-type", named("bad value of ")),
@@ -295,16 +308,14 @@ def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -
     fixed_bases = sorted({a.type.base for r in rules for a in r.type.attributes.values() if a.fixed is not None})
 
     def of_attribute(a: Column) -> Column:
-        own, wild = F.try_element_at("attr_kinds", a["token"]), c("attr_wild")
-        covered = own.isNull() & F.coalesce(_covers(wild, F.substring_index(a["token"], "}", 1)) & wild.isNotNull(), F.lit(False))
-        shared = F.when(covered, F.try_element_at("attr_top", a["token"]))
-        fixed, unchanged = F.try_element_at("attr_fixed", a["token"]), F.lit(True)
+        own, covered, fixed, unchanged = a["own"], a["covered"], a["fixed"], F.lit(True)
+        shared = F.when(covered, a["top"])
         for base in fixed_bases:
             same = [k for k, t in enumerate(kinds) if t.base == base]
             unchanged = F.when(fixed.isNotNull() & own.isin(same), canonical_value(a["value"], base) == canonical_value(fixed, base)).otherwise(unchanged)
         label = F.concat(F.lit("attribute "), a["name"], F.lit(" of "), c("name"))
         return F.array(
-            fault(own.isNull() & (~covered | ((wild["strictness"] == "strict") & shared.isNull())), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
+            fault(own.isNull() & (~covered | ((c("attr_wild")["strictness"] == "strict") & shared.isNull())), "attribute-undeclared", F.concat(F.lit("undeclared "), label)),
             fault(~accepted(F.coalesce(own, shared), a["value"]), "attribute-type", F.concat(F.lit("bad value for "), label)),
             fault(~unchanged, "attribute-fixed", F.concat(F.lit("fixed value changed for "), label)),
         )
@@ -315,7 +326,7 @@ def faults_of(met: DataFrame, grammar: SchemaGrammar, kinds: list[SimpleType]) -
             good = F.when(a["token"] == token, kind.accepts(a["value"])).otherwise(good)
         return F.array(fault(~good, "attribute-type", F.concat(F.lit("bad value for attribute "), a["name"], F.lit(" of "), c("name"))))
 
-    undeclared_xml = lambda a: a["name"].startswith("xml:") & F.try_element_at("attr_kinds", a["token"]).isNull()
+    undeclared_xml = lambda a: a["name"].startswith("xml:") & a["own"].isNull()
     built_in = F.flatten(F.transform(F.filter("given", undeclared_xml), of_built_in))
     checked = F.filter("given", lambda a: (c("content") != "ANY") & ~undeclared_xml(a))
     lacking = F.array_except("needed", F.transform("given", lambda a: a["token"]))
@@ -328,7 +339,7 @@ def id_violations(met: DataFrame, kinds: list[SimpleType]) -> list[DataFrame]:
     ways = {k: t for k, t in enumerate(kinds) if t.has_base(("ID", "IDREF", "IDREFS"))}
     roles = lambda which, value: chosen(which, {k: id_roles(t, value) for k, t in ways.items()}, F.array().cast("array<struct<role:string,value:string>>"))
     of_element = F.when((F.col("content") == "SIMPLE") & ~F.col("nil"), roles(F.col("value_kind"), F.col("content_value")))
-    which = lambda a: F.coalesce(F.try_element_at("attr_kinds", a["token"]), F.try_element_at("attr_top", a["token"]))
+    which = lambda a: F.coalesce(a["own"], a["top"])
     own = lambda a: F.when(which(a).isNull() & (a["token"] == "}xml:id"), id_roles(BUILT_IN["}xml:id"], a["value"])).otherwise(roles(which(a), a["value"]))
     of_attributes = F.flatten(F.transform("given", own))
     empty = F.array().cast("array<struct<role:string,value:string>>")
