@@ -10,17 +10,17 @@ from treeloom.queries.typed import IDS_XSD, INSTANCE, NARROWED_XSD, NESTED_XSD,
 from treeloom.sources.tokenizer import assess, nodes_of, parse
 
 
-def broken(spark, schema, xml):
-    """Rules that a document breaks, by either way of reading it."""
+def broken(spark, schema, texts):
+    """Rules that each document breaks, by either way of reading them."""
     sources = {"s": schema} if isinstance(schema, str) else schema
     compiled = compile_schema(next(iter(sources)), sources)
-    docs = spark.createDataFrame([(7, xml)], "doc_id long, xml string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, xml string")
     grammar = SchemaGrammar([compiled])
     at_once = val.xsd_violations(nodes_of(parse(docs, grammar=grammar)), grammar)
     later = val.xsd_violations(nodes_of(parse(docs)).repartition(3, "pre"), compiled)
-    one, other = (sorted((r.pre, r.rule, r.message) for r in df.collect()) for df in (at_once, later))
+    one, other = (sorted((r.doc_id, r.pre, r.rule, r.message) for r in df.collect()) for df in (at_once, later))
     assert one == other
-    return sorted(r for _, r, _ in one)
+    return [sorted(r for d, _, r, _ in one if d == n) for n in range(len(texts))]
 
 
 SPACES = '<t:d xmlns:t="urn:t" xmlns:o="urn:o"><t:p><t:v>{}</t:v></t:p><o:p><v>{}</v></o:p></t:d>'
@@ -31,7 +31,7 @@ LOCAL = f"""{XS}><xs:element name="d"><xs:complexType><xs:sequence>
 TYPED = f'<d xmlns:i="{INSTANCE}"><e{{}}><p><v>{{}}</v></p></e><n{{}}>{{}}</n></d>'
 
 
-@pytest.mark.parametrize("schema, xml, rules", [
+CASES = [
     (TWO_SPACES, SPACES.format("1", "w"), []),
     (TWO_SPACES, SPACES.format("w", "1"), ["value-type", "value-type"]),
     (TWO_SPACES, SPACES.format("1", "w").replace("<v>w</v>", "<t:v>1</t:v>"), ["content-model", "element-undeclared"]),
@@ -51,9 +51,14 @@ TYPED = f'<d xmlns:i="{INSTANCE}"><e{{}}><p><v>{{}}</v></p></e><n{{}}>{{}}</n></
     (IDS_XSD, '<g><x u="p9"><k>p1</k><r>p1 p3</r></x><x><k>p1</k><r>p1</r></x></g>', ["id-repeated", "id-repeated", "idref-dangling", "idref-dangling"]),
     (QNAME_XSD, '<q:d xmlns:q="urn:q"><q:e a="q:x">y</q:e></q:d>', []),
     (QNAME_XSD, '<q:d xmlns:q="urn:q"><q:e a="z:x">z:y</q:e></q:d>', ["attribute-type", "value-type"]),
-])
-def test_rules_broken(spark, schema, xml, rules):
-    assert broken(spark, schema, xml) == sorted(rules)
+]
+SCHEMAS = {"spaces": TWO_SPACES, "narrowed": NARROWED_XSD, "local": LOCAL, "nested": NESTED_XSD, "ids": IDS_XSD, "qname": QNAME_XSD}
+
+
+@pytest.mark.parametrize("name", SCHEMAS)
+def test_rules_broken(spark, name):
+    own = [(xml, sorted(rules)) for schema, xml, rules in CASES if schema is SCHEMAS[name]]
+    assert len(own) > 1 and broken(spark, SCHEMAS[name], [xml for xml, _ in own]) == [rules for _, rules in own]
 
 
 def test_rows_assessed_afterwards_equal_those_assessed_while_parsing(spark):
