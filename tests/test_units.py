@@ -45,6 +45,14 @@ def test_chunks_of_any_cut_give_the_same_nodes(cut):
     assert whole.columns == pieces.columns
 
 
+@pytest.mark.parametrize("unit", ["x", "é", "a&amp;", "a\n"])
+def test_a_text_longer_than_the_parsers_buffer_is_one_node(unit):
+    text = (unit * 200_000).replace("&amp;", "&")
+    c = columns(f"<a>{unit * 200_000}<b/>{unit * 200_000}<!-- c -->t<![CDATA[{text}]]>t</a>")
+    assert c["kind"] == ["element", "text", "element", "text", "comment", "text", "cdata", "text"]
+    assert [c["value"][k] for k in (1, 3, 6)] == [text] * 3 and c["sib"][1:] == list(range(7))
+
+
 def test_serialised_samples_come_back(spark):
     samples = [
         '<?xml version="1.1" standalone="yes"?><!-- a --><?p q?><r xmlns:n="urn:n"><n:c x="&quot;&lt;"><![CDATA[<&>]]>t&amp;</n:c><e/></r><!-- z -->',

@@ -154,6 +154,7 @@ class DocumentParser:
         grammar = self.grammar
         opened = [Assessed(grammar.start(0), None)] if grammar else []
         in_cdata: list[str] | None = None
+        run: list[str] = []  # pieces of a text that doesn't fit the parser's buffer
         subset_at = 0
         data = [c.encode("utf-8", "surrogatepass") for c in chunks]
 
@@ -167,8 +168,15 @@ class DocumentParser:
             rows.add((doc_id, count - 1, len(frames) - 1, frame[0], frame[3], 0, kind, name, None, value, frame[1]), attrs)
             frame[3] += 1
 
+        def end_of_text() -> None:
+            whole = "".join(run)
+            run.clear()
+            leaf("text", None, whole)
+
         def start(name: str, attrs: list[str]) -> None:
             nonlocal count
+            if run:
+                end_of_text()
             frame = frames[-1]
             bound, named = frame[2], frame[4]
             for k in range(0, len(attrs), 2):
@@ -192,6 +200,8 @@ class DocumentParser:
             frames.append([pre, path, bound, 0, {}, len(posts) - 1 if kept else -1])
 
         def end(_name: str) -> None:
+            if run:
+                end_of_text()
             frame = frames.pop()
             if frame[5] >= 0:
                 posts[frame[5]] = count - 1
@@ -202,12 +212,14 @@ class DocumentParser:
             if in_cdata is not None:
                 in_cdata.append(value)
             elif len(frames) > 1:
-                leaf("text", None, value)
+                run.append(value)
                 if grammar:
                     opened[-1].texts.append(value)
 
         def cdata_start() -> None:
             nonlocal in_cdata
+            if run:
+                end_of_text()
             in_cdata = []
 
         def cdata_end() -> None:
@@ -253,19 +265,30 @@ class DocumentParser:
                 raise ValueError("NUL in an external entity")
             child = p.ExternalEntityParserCreate(context)
             child.XmlDeclHandler = text_declaration
+            if run:
+                end_of_text()
             child.Parse(found.encode("utf-8", "surrogatepass"), True)
+            if run:
+                end_of_text()
             return 1
 
         def comment(value: str) -> None:
+            if run:
+                end_of_text()
             leaf("comment", None, value)
 
         def pi(target: str, value: str) -> None:
+            if run:
+                end_of_text()
             leaf("pi", target, value)
 
         def skipped(name: str, is_parameter: bool) -> None:
             if not is_parameter and len(frames) > 1:
+                if run:
+                    end_of_text()
                 if name in self.entities:
                     text(self.entities[name])
+                    end_of_text()
                 else:
                     leaf("entity", name, None)
 
