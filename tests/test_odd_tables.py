@@ -25,3 +25,9 @@ def test_long_and_empty_texts(spark, tmp_path, name):
     rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
     got, want = beside_sql(spark, tmp_path, name, documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["first_child_by_name", "path_selector_descendant"])
+def test_documents_that_several_branches_read_are_parsed_once(spark, name):
+    plan = engine.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # what was parsed is read from the shared folder

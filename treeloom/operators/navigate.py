@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,11 @@ def first_child(parents: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     return found.groupBy("doc_id", "parent").agg(F.min_by("pre", "sib").alias("child"))
 
 
-def below(scopes: DataFrame, nodes: DataFrame, self_too: bool = False) -> DataFrame:
+def below(scopes: DataFrame, nodes: DataFrame, self_too: bool = False, wanted: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Nodes (elements must be among them) beside each scope above them (``anc_pre``), or that they are, with ``self_too``.
 
+    Of the nodes those for which ``wanted`` holds are given; ``keep`` names columns of ``scopes`` to be kept.
+
     The last element of a level that has opened before a node is its ancestor there, so one
     pass in document order gives each node its ancestors at the levels where scopes stand;
     these meet the scopes by equality.  No interval join: work follows the nodes, times the
@@ -45,8 +48,9 @@ def below(scopes: DataFrame, nodes: DataFrame, self_too: bool = False) -> DataFr
     at = lambda level: F.last(F.when(is_element & (F.col("level") == level), F.col("pre")), ignorenulls=True).over(upto)
     reaches = lambda level: (F.col("level") > level) | (is_element & (F.col("level") == level)) if self_too else F.col("level") > level
     above = F.array_compact(F.array(*[F.when(reaches(level), at(level)) for level in levels]).cast("array<int>"))
-    met = nodes.select("*", above.alias("above")).select(*nodes.columns, F.explode("above").alias("anc_pre"))
-    return met.join(scopes.select("doc_id", F.col("pre").alias("anc_pre"), "anc_level"), ["doc_id", "anc_pre"]).select(*nodes.columns, "anc_pre", "anc_level")
+    placed = nodes.select("*", above.alias("above"))
+    met = (placed if wanted is None else placed.where(wanted)).select(*nodes.columns, F.explode("above").alias("anc_pre"))
+    return met.join(scopes.select("doc_id", F.col("pre").alias("anc_pre"), "anc_level", *keep), ["doc_id", "anc_pre"]).select(*nodes.columns, "anc_pre", "anc_level", *keep)
 
 
 def descendants(ancestors: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,12 +63,16 @@ def _text(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("text"))
 
 
-def own_text(nodes: DataFrame, with_cdata: bool = False) -> DataFrame:
-    """``doc_id, pre, text``: the text nodes right below each element."""
+def _own_texts(nodes: DataFrame, with_cdata: bool) -> DataFrame:
+    """``doc_id, pre, text`` of the elements that have text nodes right below them."""
     kinds = ["text", "cdata"] if with_cdata else ["text"]
     rows = nodes.where(F.col("kind").isin(kinds) & (F.col("parent") >= 0))
-    found = _text(rows, "doc_id", "parent").withColumnRenamed("parent", "pre")
-    return elements(nodes).select("doc_id", "pre").join(found, ["doc_id", "pre"], "left").na.fill("", ["text"])
+    return _text(rows, "doc_id", "parent").withColumnRenamed("parent", "pre")
+
+
+def own_text(nodes: DataFrame, with_cdata: bool = False) -> DataFrame:
+    """``doc_id, pre, text``: the text nodes right below each element."""
+    return elements(nodes).select("doc_id", "pre").join(_own_texts(nodes, with_cdata), ["doc_id", "pre"], "left").na.fill("", ["text"])
 
 
 def deep_text(ancestors: DataFrame, nodes: DataFrame, with_cdata: bool = False) -> DataFrame:
@@ -120,10 +128,13 @@ def select(scopes: DataFrame, nodes: DataFrame, selector: str) -> DataFrame:
             if k < len(names) - 1:
                 at = met.select("doc_id", "anc_pre", F.col("pre").alias("parent"))
         return met
-    own = scopes.select("doc_id", F.col("pre").alias("anc_pre"), F.length("path").alias("anc_path"))
-    inside = below(scopes, elements(nodes), self_too=True).join(own, ["doc_id", "anc_pre"])
+    pattern = compile_selector(selector)
+    # what can't end a path that the selector reaches is dropped before scopes are met, but after ancestors are known
+    ends = F.col("path").rlike(pattern.replace(r"\A", "", 1))
+    own = scopes.withColumn("anc_path", F.length("path"))
+    inside = below(own, elements(nodes), self_too=True, wanted=ends, keep=["anc_path"])
     relative = F.col("path").substr(F.col("anc_path") + 1, F.length("path"))
-    return inside.where(relative.rlike(compile_selector(selector))).select(*nodes.columns, "anc_pre")
+    return inside.where(relative.rlike(pattern)).select(*nodes.columns, "anc_pre")
 
 
 def field(selected: DataFrame, nodes: DataFrame, path: str, alias: str) -> DataFrame:
@@ -131,9 +142,10 @@ def field(selected: DataFrame, nodes: DataFrame, path: str, alias: str) -> DataF
     path = re.sub(r"\s+", "", path).removeprefix("./") if path != "." else path
     if path.startswith(("@", "attribute::")):
         return selected.withColumn(alias, attribute(F.col("attrs"), path.removeprefix("@").removeprefix("attribute::").split(":")[-1]))
-    texts = own_text(nodes, with_cdata=True)
     if path == ".":
-        return selected.join(texts.withColumnRenamed("text", alias), ["doc_id", "pre"], "left")
+        texts = _own_texts(nodes, with_cdata=True)
+        return selected.join(texts.withColumnRenamed("text", alias), ["doc_id", "pre"], "left").na.fill("", [alias])
+    texts = own_text(nodes, with_cdata=True)
     below = select(selected.select("doc_id", "pre", "post", "path").distinct(), nodes, path)
     found = below.join(texts, ["doc_id", "pre"]).groupBy("doc_id", F.col("anc_pre").alias("pre")).agg(F.min_by("text", "pre").alias(alias))
     return selected.join(found, ["doc_id", "pre"], "left")
