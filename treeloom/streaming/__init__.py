@@ -134,9 +134,11 @@ def parse_stream(chunks: DataFrame) -> DataFrame:
 
 def split_chunks(docs: DataFrame, size: int, text: str = "xml") -> DataFrame:
     """Documents cut into chunks of ``size`` characters, as a source for tests and replays."""
-    count = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
-    cut = docs.select("doc_id", F.col(text).alias("whole"), count.alias("n")).select("doc_id", "whole", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    return cut.select("doc_id", F.col("chunk").cast("int"), (F.col("chunk") == F.col("n") - 1).alias("last"), F.col("whole").substr(F.col("chunk") * size + 1, F.lit(size)).alias("text"))
+    # cut in one pass; a substring for each chunk would go through the text from its start each time
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = docs.select("doc_id", F.when(F.length(text) > 0, cut).otherwise(F.array(F.col(text))).alias("pieces"))
+    each = pieces.select("doc_id", (F.size("pieces") - 1).alias("end"), F.posexplode("pieces").alias("chunk", "text"))
+    return each.select("doc_id", "chunk", (F.col("chunk") == F.col("end")).alias("last"), "text")
 
 
 def windowed_counts(records: DataFrame, time: str, width: str, late: str | None = None) -> DataFrame:
