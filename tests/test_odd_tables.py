@@ -31,3 +31,18 @@ def test_long_and_empty_texts(spark, tmp_path, name):
 def test_documents_that_several_branches_read_are_parsed_once(spark, name):
     plan = engine.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # what was parsed is read from the shared folder
+
+
+def test_manifests_hold_a_block_of_customers_at_most(spark, monkeypatch):
+    from treeloom.queries import suites
+
+    told = []
+    monkeypatch.setattr(suites, "BLOCK", 20, raising=False)
+    monkeypatch.setattr(suites, "run_suite", lambda manifests, files, f=suites.run_suite: told.append(manifests) or f(manifests, files))
+    con = duckdb.connect()
+    for t in ("nation", "customer"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    df, want = suites.suite_by_region(spark, "/root/testdata/sf0.001"), con.sql(engine.oracle_sql()["suite_by_region"])
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table(want.columns, want.fetchall())
+    held = [r.xml.count("<t:instanceTest ") for r in told[0].collect()]
+    assert sum(held) == 150 and max(held) <= 20
